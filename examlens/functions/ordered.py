@@ -19,23 +19,37 @@ def _key_block(keys: list[str]) -> list[str]:
 
 
 def carry_forward(
-    df: DataFrame, keys: list[str], order: str, values: dict[str, Column], block: int
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    values: dict[str, Column],
+    block: int,
+    firsts: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """For each name, the last non-null value at or before the row."""
-    d = df.select("*", F.floor(F.col(order) / block).alias("_block"), *[
-        F.when(v.isNotNull(), F.struct(F.col(order).alias("at"), v.alias("v"))).alias(f"_v_{n}")
-        for n, v in values.items()
-    ])
+    """For each name, the last non-null value at or before the row.
+
+    ``firsts`` adds the first non-null value of the whole key.
+    """
+    firsts = firsts or {}
+    at = F.col(order).alias("at")
+    wrap = lambda v: F.when(v.isNotNull(), F.struct(at, v.alias("v")))
+    d = df.select(
+        "*", F.floor(F.col(order) / block).alias("_block"),
+        *[wrap(v).alias(f"_v_{n}") for n, v in values.items()],
+    )
     per_block = d.groupBy(*_key_block(keys)).agg(
-        *[F.max(f"_v_{n}").alias(f"_s_{n}") for n in values]
+        *[F.max(f"_v_{n}").alias(f"_s_{n}") for n in values],
+        *[F.min(wrap(v)).alias(f"_f_{n}") for n, v in firsts.items()],
+    )
+    over_key = Window.partitionBy(*keys)
+    before = over_key.orderBy("_block").rowsBetween(*_BEFORE)
+    carry = per_block.select(
+        *_key_block(keys),
+        *[F.last(f"_s_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in values],
+        *[F.min(f"_f_{n}").over(over_key)["v"].alias(n) for n in firsts],
     )
-    over_blocks = Window.partitionBy(*keys).orderBy("_block").rowsBetween(*_BEFORE)
-    carry = per_block.select(*_key_block(keys), *[
-        F.last(f"_s_{n}", ignorenulls=True).over(over_blocks).alias(f"_c_{n}") for n in values
-    ])
     in_block = Window.partitionBy(*_key_block(keys)).orderBy(order).rowsBetween(*_UP_TO_HERE)
-    joined = d.join(carry, _key_block(keys))
-    return joined.select(*df.columns, *[
+    return d.join(carry, _key_block(keys)).select(*df.columns, *firsts, *[
         F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(in_block), F.col(f"_c_{n}"))["v"].alias(n)
         for n in values
     ])

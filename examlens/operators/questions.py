@@ -103,77 +103,59 @@ def split_inline_options(classified: DataFrame) -> DataFrame:
 # --- numbering -------------------------------------------------------------
 
 
-def _forward(last: Column, n: Column, cfg: Parser) -> Column:
-    return (n > last) & (n <= last + cfg.max_jump)
+# The folds over a block's numbers are SQL lambdas: ``s`` is a state, ``n`` a number.
 
 
-def _step(state: Column, n: Column, cfg: Parser) -> Column:
+def _step(s: str, n: str, cfg: Parser) -> str:
     """Next state without restarts; the state is the last accepted number, -1 at first."""
-    ok = F.when(state < 0, n <= cfg.max_first_number).otherwise(_forward(state, n, cfg))
-    return F.when(ok, n).otherwise(state)
+    return (
+        f"case when case when {s} < 0 then {n} <= {cfg.max_first_number}"
+        f" else {n} > {s} and {n} <= {s} + {cfg.max_jump} end then {n} else {s} end"
+    )
 
 
-def _step_r(state: Column, n: Column, cfg: Parser) -> Column:
+def _step_r(s: str, n: str, cfg: Parser) -> str:
     """Next state with one restart at 1 allowed; 0 at first."""
-    last, cls = state % 100, F.floor(state / 100).cast("int")
-    run = F.when(n == last + 1, F.least(cls + 1, F.lit(5)) * 100 + n).otherwise(
-        F.when(cls >= cfg.weak_min_items, _BROKEN_OPEN * 100 + n).otherwise(_FORWARD * 100 + n)
-    )
-    onward = (
-        F.when(cls <= 5, run)
-        .when(cls == _RESTARTED, _RESTARTED * 100 + n)
-        .otherwise(_FORWARD * 100 + n)
-    )
-    restart = (n == 1) & (last >= 1) & cls.isin(5, _BROKEN_OPEN)
+    last, cls = f"{s} % 100", f"{s} div 100"
     return (
-        F.when(state == 0, F.when(n <= cfg.max_first_number, 100 + n).otherwise(state))
-        .when(_forward(last, n, cfg), onward)
-        .when(restart, F.lit(_RESTARTED * 100 + 1))
-        .otherwise(state)
+        f"case when {s} = 0 then case when {n} <= {cfg.max_first_number} then 100 + {n} else {s} end"
+        f" when {n} > {last} and {n} <= {last} + {cfg.max_jump} then"
+        f"  case when {cls} > 5 then if({cls} = {_RESTARTED}, {_RESTARTED}, {_FORWARD}) * 100 + {n}"
+        f"   when {n} = {last} + 1 then least({cls} + 1, 5) * 100 + {n}"
+        f"   else if({cls} >= {cfg.weak_min_items}, {_BROKEN_OPEN}, {_FORWARD}) * 100 + {n} end"
+        f" when {n} = 1 and {last} >= 1 and {cls} in (5, {_BROKEN_OPEN}) then {_RESTARTED}01"
+        f" else {s} end"
     )
 
 
-def _summary(cands: Column, low: int, high: int, step) -> Column:
+def _summary(low: int, high: int, step, cfg: Parser) -> str:
     """Per entering state, where the block's numbers lead, as line * 1000 + state index."""
-    identity = F.transform(F.sequence(F.lit(low), F.lit(high)), lambda s: (s - low).cast("bigint"))
-
-    def before(table: Column, c: Column) -> Column:
-        def entry(old: Column, i: Column) -> Column:
-            state = (i + low).cast("int")
-            nxt = step(state, c["num"])
-            end = F.get(table, (nxt - low).cast("int"))
-            here = (c["line_no"].cast("bigint") + 1) * _LINE
-            return F.when(nxt == state, old).when(end >= _LINE, end).otherwise(here + end)
-
-        return F.transform(table, entry)
-
-    return F.aggregate(F.reverse(cands), identity, before)
+    nxt = f"cast({step(f'(i + {low})', 'c.num', cfg)} as int)"
+    return (
+        f"aggregate(reverse(cands), transform(sequence({low}, {high}), s -> cast(s - {low} as bigint)),"
+        f" (t, c) -> transform(t, (old, i) -> case when {nxt} = i + {low} then old"
+        f" when get(t, {nxt} - {low}) >= {_LINE} then get(t, {nxt} - {low})"
+        f" else (cast(c.line_no as bigint) + 1) * {_LINE} + get(t, {nxt} - {low}) end))"
+    )
 
 
-def _accepted(cands: Column, entering: Column, step) -> Column:
+def _accepted(entering: str, step, cfg: Parser) -> str:
     """Accepted starts of a block given the entering state."""
-    return F.aggregate(
-        cands,
-        F.struct(
-            entering.cast("int").alias("state"),
-            F.array().cast("array<struct<line_no:int,num:int,state:int>>").alias("hits"),
-        ),
-        lambda acc, c: F.struct(
-            step(acc["state"], c["num"]).cast("int").alias("state"),
-            F.when(step(acc["state"], c["num"]) == acc["state"], acc["hits"]).otherwise(
-                F.concat(acc["hits"], F.array(F.struct(
-                    c["line_no"].alias("line_no"),
-                    c["num"].alias("num"),
-                    step(acc["state"], c["num"]).cast("int").alias("state"),
-                )))
-            ).alias("hits"),
-        ),
-    )["hits"]
+    nxt = f"cast({step('acc.state', 'c.num', cfg)} as int)"
+    return (
+        f"aggregate(cands, named_struct('state', cast({entering} as int),"
+        f" 'hits', cast(array() as array<struct<line_no:int,num:int,state:int>>)),"
+        f" (acc, c) -> if({nxt} = acc.state, acc, named_struct('state', {nxt},"
+        f" 'hits', concat(acc.hits, array(named_struct('line_no', c.line_no, 'num', c.num, 'state', {nxt})))))).hits"
+    )
 
 
-def _entry(table: Column, index: Column) -> Column:
-    """A block-0 summary has only the entry for the initial state."""
-    return F.get(table, index.cast("int"))
+def _only_initial(hits: str, initial: int, low: int) -> str:
+    """Summary of a first block: the entry of the initial state alone."""
+    return (
+        f"array(case when size({hits}) > 0 then (cast({hits}[size({hits}) - 1].line_no as bigint) + 1) * {_LINE}"
+        f" + {hits}[size({hits}) - 1].state - ({low}) else cast({initial} - ({low}) as bigint) end)"
+    )
 
 
 def _block_numbers(classified: DataFrame, cfg: Parser) -> DataFrame:
@@ -194,62 +176,37 @@ def _block_numbers(classified: DataFrame, cfg: Parser) -> DataFrame:
             F.min(F.when(F.col("kind").isin("range", "lead"), F.col("line_no"))).alias("shared_line"),
         )
     )
-    step = lambda s, n: _step(s, n, cfg)
-    step_r = lambda s, n: _step_r(s, n, cfg)
-    first_block = F.col("_block") == 0
-    cands = F.col("cands")
-
-    def alone(hits: Column, initial: int, low: int) -> Column:
-        end = F.try_element_at(hits, F.lit(-1))
-        return F.array(F.when(F.size(hits) > 0, (end["line_no"].cast("bigint") + 1) * _LINE + end["state"] - low)
-                       .otherwise(F.lit(initial - low).cast("bigint")))
-
-    tables = blocks.select(
+    summaries = blocks.withColumns({
+        "ha": F.expr(f"case when _block = 0 then {_accepted('-1', _step, cfg)} end"),
+        "hr": F.expr(f"case when _block = 0 then {_accepted('0', _step_r, cfg)} end"),
+    }).select(
         "exam_id", "_block", "opt", "shared_line",
-        F.when(first_block, alone(_accepted(cands, F.lit(-1), step), -1, -1))
-        .otherwise(_summary(cands, -1, 99, step)).alias("ta"),
-        F.when(first_block, alone(_accepted(cands, F.lit(0), step_r), 0, 0))
-        .otherwise(_summary(cands, 0, _STATES_R - 1, step_r)).alias("tr"),
+        F.expr(f"case when _block = 0 then {_only_initial('ha', -1, -1)} else {_summary(-1, 99, _step, cfg)} end").alias("ta"),
+        F.expr(f"case when _block = 0 then {_only_initial('hr', 0, 0)} else {_summary(0, _STATES_R - 1, _step_r, cfg)} end").alias("tr"),
     )
     opt_type = "struct<line_no:int,letter:string,k:int>"
-    out_type = f"array<struct<block:int,sa:int,la:bigint,sr:int,lr:bigint,opt:{opt_type}>>"
-
-    def follow(acc: Column, b: Column) -> Column:
-        a, r = _entry(b["ta"], acc["sa"] + 1), _entry(b["tr"], acc["sr"])
-        return F.struct(
-            (a % _LINE - 1).cast("int").alias("sa"),
-            F.when(a >= _LINE, F.floor(a / _LINE) - 1).otherwise(acc["la"]).alias("la"),
-            (r % _LINE).cast("int").alias("sr"),
-            F.when(r >= _LINE, F.floor(r / _LINE) - 1).otherwise(acc["lr"]).alias("lr"),
-            F.coalesce(b["opt"], acc["opt"]).alias("opt"),
-            F.concat(acc["out"], F.array(F.struct(
-                b["_block"].alias("block"), acc["sa"].alias("sa"), acc["la"].alias("la"),
-                acc["sr"].alias("sr"), acc["lr"].alias("lr"), acc["opt"].alias("opt"),
-            ))).alias("out"),
-        )
-
-    start = F.struct(
-        F.lit(-1).alias("sa"), F.lit(-1).cast("bigint").alias("la"),
-        F.lit(0).alias("sr"), F.lit(-1).cast("bigint").alias("lr"),
-        F.lit(None).cast(opt_type).alias("opt"), F.array().cast(out_type).alias("out"),
-    )
+    entry_type = f"struct<_block:int,in_a:int,line_a:bigint,in_r:int,line_r:bigint,in_opt:{opt_type}>"
+    a, r = "get(b.ta, acc.sa + 1)", "get(b.tr, acc.sr)"
     entering = (
-        tables.groupBy("exam_id")
+        summaries.groupBy("exam_id")
         .agg(
             F.array_sort(F.collect_list(F.struct("_block", "ta", "tr", "opt"))).alias("bs"),
             F.min("shared_line").alias("shared_line"),
         )
-        .select("exam_id", "shared_line", F.inline(F.aggregate("bs", start, follow)["out"]))
-        .select(
-            "exam_id", F.col("block").alias("_block"), "shared_line",
-            F.col("sa").alias("in_a"), F.col("la").alias("line_a"),
-            F.col("sr").alias("in_r"), F.col("lr").alias("line_r"), F.col("opt").alias("in_opt"),
-        )
+        .select("exam_id", "shared_line", F.expr(
+            f"""inline(aggregate(bs,
+             named_struct('sa', -1, 'la', -1L, 'sr', 0, 'lr', -1L, 'opt', cast(null as {opt_type}), 'out', cast(array() as array<{entry_type}>)),
+             (acc, b) -> named_struct(
+               'sa', cast({a} % {_LINE} - 1 as int), 'la', if({a} >= {_LINE}, {a} div {_LINE} - 1, acc.la),
+               'sr', cast({r} % {_LINE} as int), 'lr', if({r} >= {_LINE}, {r} div {_LINE} - 1, acc.lr),
+               'opt', coalesce(b.opt, acc.opt),
+               'out', concat(acc.out, array(named_struct('_block', b._block, 'in_a', acc.sa, 'line_a', acc.la,
+                 'in_r', acc.sr, 'line_r', acc.lr, 'in_opt', acc.opt))))).out)"""))
     )
     return blocks.select("exam_id", "_block", "cands").join(entering, ["exam_id", "_block"]).select(
         "exam_id", "_block", "shared_line", "in_a", "line_a", "in_r", "line_r", "in_opt",
-        _accepted(cands, F.col("in_a"), step).alias("hits_a"),
-        _accepted(cands, F.col("in_r"), step_r).alias("hits_r"),
+        F.expr(_accepted("in_a", _step, cfg)).alias("hits_a"),
+        F.expr(_accepted("in_r", _step_r, cfg)).alias("hits_r"),
     )
 
 

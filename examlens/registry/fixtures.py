@@ -175,6 +175,13 @@ from (select exam_id, cast(floor(line_no/100) as int) q_order, min(page) page,
 SPARK_SQL["fx_questions"] = _QUESTIONS
 DUCK_SQL["fx_questions"] = _QUESTIONS.replace("as string", "as varchar")
 
+SPARK_SQL["fx_exam_info"] = """
+select exam_id, case exam_id%3 when 0 then ' a ' when 1 then 'B' else null end booklet, exam_id%4<>3 has_key,
+ case exam_id%5 when 0 then 'escriturario' when 1 then 'nope' when 2 then 'agente-comercial' when 3 then 'agente-tecnologia' else null end template_id,
+ case when exam_id%7=0 then 2 when exam_id%7=1 then 9 end page_start, case when exam_id%6=0 then 2 when exam_id%6=1 then 1 end page_end
+from (select distinct exam_id from fx_lines) t
+"""
+
 TABLES = ("documents", "pages", "events", "orders", "conversations", "labels")
 
 
