@@ -47,9 +47,9 @@ _ALL_PAIRS = " union all ".join(
 STEPS = [
     ("typed", f"select *, {_TYPE} tp from fx_key_lines"),
     ("headed", r"select *, regexp_matches(text,'(?i)\b(gabarito|prova)\b') and (tp is not null or regexp_matches(text,'(?i)\bgabarito\b')) h from typed"),
-    ("sectioned", "select exam_id, line_no, text, case when bool_or(h) over (partition by exam_id) then section else -1 end section, booklet from (select *, "
+    ("sectioned", "select exam_id, line_no, text, case when any_h then section else -1 end section, booklet from (select *, bool_or(h) over (partition by exam_id) any_h, "
                   "last_value(case when h then line_no end ignore nulls) over w section, case when last_value(case when h then line_no end ignore nulls) over w is not null then arg_max(case when h then coalesce(tp,'-') end, case when h then line_no end) over w end booklet "
-                  "from headed window w as (partition by exam_id order by line_no rows between unbounded preceding and current row)) t where section is not null or not bool_or(h) over (partition by exam_id)"),
+                  "from headed window w as (partition by exam_id order by line_no rows between unbounded preceding and current row)) t where section is not null or not any_h"),
     ("pairs", _ALL_PAIRS),
     ("sizes", "select s.exam_id, s.section, nullif(max(s.booklet),'-') booklet, count(p.q_order) pairs from sectioned s left join pairs p on p.exam_id=s.exam_id and p.line_no=s.line_no group by s.exam_id, s.section"),
     ("wish", "select exam_id, nullif(regexp_extract(upper(trim(booklet)),'^([A-D])$',1),'') w from fx_exam_info"),
