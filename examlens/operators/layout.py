@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from examlens.config import LAYOUT, Layout
 from examlens.functions.ordered import position
 from examlens.functions.text import trimmed, zone_key
+from examlens.sources.sinks import materialize
 
 PAGE = ["exam_id", "page"]
 
@@ -81,7 +82,9 @@ def repeated_zone_text(tagged: DataFrame, pages: DataFrame, cfg: Layout = LAYOUT
     )
 
 
-def strip_headers_footers(tagged: DataFrame, repeated: DataFrame, pages: DataFrame) -> DataFrame:
+def strip_headers_footers(
+    tagged: DataFrame, repeated: DataFrame, pages: DataFrame, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Zone fragments that repeat, are page numbers or a single character go.
 
     Repeated strings reach the fragments as one short array per page (each is on
@@ -90,7 +93,7 @@ def strip_headers_footers(tagged: DataFrame, repeated: DataFrame, pages: DataFra
     """
     total = pages.groupBy("exam_id").agg(F.count("*").alias("_n"))
     per_exam = repeated.groupBy("exam_id").agg(F.collect_set("str_key").alias("_strs"))
-    per_page = pages.select(*PAGE).join(total, "exam_id").join(per_exam, "exam_id", "left")
+    per_page = pages.select(*PAGE, *keep).join(total, "exam_id").join(per_exam, "exam_id", "left")
     key = zone_key(F.col("str"))
     drop = (
         F.coalesce(F.array_contains("_strs", key), F.lit(False))
@@ -99,7 +102,7 @@ def strip_headers_footers(tagged: DataFrame, repeated: DataFrame, pages: DataFra
     )
     return tagged.join(per_page, PAGE, "left").filter(
         F.col("zone").isNull() | (F.coalesce("_n", F.lit(0)) < 2) | ~drop
-    ).select(*[c for c in tagged.columns if c != "zone"])
+    ).select(*[c for c in tagged.columns if c != "zone"], *keep)
 
 
 def _bucket(cfg: Layout):
@@ -116,51 +119,77 @@ def x_histogram(body: DataFrame, pages: DataFrame, cfg: Layout = LAYOUT) -> Data
     return grid.join(counts, [*PAGE, "bucket"], "left").select(*PAGE, "bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def detect_columns(body: DataFrame, pages: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
-    """Pages with a wide, sparse gap near the middle have two columns.
+def _center(cfg: Layout) -> tuple[int, int]:
+    return math.floor(cfg.center_margin * cfg.buckets), math.floor((1 - cfg.center_margin) * cfg.buckets)
+
+
+def _split_x(per_page: DataFrame, cfg: Layout) -> DataFrame:
+    """Split position from ``_n`` fragments and their buckets ``_bs``, null for one column.
 
     The central buckets become a string with ``1`` where a bucket is sparse; the
     gap is its longest run of ones, the last one on a tie.
     """
-    low = math.floor(cfg.center_margin * cfg.buckets)
-    high = math.floor((1 - cfg.center_margin) * cfg.buckets)
+    low, high = _center(cfg)
     width = math.floor(cfg.gap_width_share * cfg.buckets)
-    sizes = pages.select(*PAGE, "page_width")
-    counts = body.join(sizes, PAGE).groupBy(*PAGE, "page_width", _bucket(cfg).alias("_b")).agg(F.count("*").alias("_c"))
-    per_page = counts.groupBy(*PAGE, "page_width").agg(
-        F.sum("_c").alias("_n"),
-        F.map_from_entries(F.collect_list(F.when(F.col("_b").between(low, high), F.struct("_b", "_c")))).alias("_m"),
-    )
+    allowed = F.ceil(F.lit(cfg.gap_density) * F.col("_n"))
     sparse = F.array_join(
         F.transform(
             F.sequence(F.lit(low), F.lit(high)),
-            lambda b: F.when(
-                F.coalesce(F.try_element_at("_m", b), F.lit(0)) <= F.ceil(F.lit(cfg.gap_density) * F.col("_n")), "1"
-            ).otherwise("0"),
+            lambda b: F.when(F.size(F.filter("_bs", lambda x: x == b)) <= allowed, "1").otherwise("0"),
         ),
         "",
     )
     best = F.array_max(F.transform(F.regexp_extract_all("_s", F.lit("1+"), 0), lambda r: F.length(r)))
-    from_end = F.instr(F.reverse("_s"), F.repeat(F.lit("1"), F.col("_w")))
-    end = F.lit(high) - from_end + 1
+    end = F.lit(high) - F.instr(F.reverse("_s"), F.repeat(F.lit("1"), F.col("_w"))) + 1
     middle = (end + end - F.col("_w") + 1) / 2
     split = F.floor(middle * (F.col("page_width") / cfg.buckets) + 0.5).cast("int")
-    found = (
-        per_page.withColumn("_s", sparse)
+    return (
+        per_page.withColumn("_s", F.when(F.col("_n") >= cfg.min_fragments, sparse).otherwise(""))
         .withColumn("_w", F.coalesce(best, F.lit(0)))
-        .filter((F.col("_n") >= cfg.min_fragments) & (F.col("_w") >= width))
-        .select(*PAGE, split.alias("split_x"))
+        .withColumn("split_x", F.when(F.col("_w") >= width, split))
+        .drop("_s", "_w", "_n", "_bs")
+    )
+
+
+def detect_columns(body: DataFrame, pages: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
+    """Pages with a wide, sparse gap near the middle have two columns."""
+    sizes = pages.select(*PAGE, "page_width")
+    b = _bucket(cfg)
+    per_page = body.join(sizes, PAGE).groupBy(*PAGE, "page_width").agg(
+        F.count("*").alias("_n"), F.collect_list(F.when(b.between(*_center(cfg)), b)).alias("_bs")
     )
+    found = _split_x(per_page, cfg).select(*PAGE, "split_x")
     return sizes.join(found, PAGE, "left").select(
         *PAGE, F.col("split_x").isNotNull().alias("double_column"), "split_x", "page_width"
     )
 
 
+def _side():
+    return F.when(F.col("split_x").isNull(), "single").when(F.col("x") < F.col("split_x"), "left").otherwise("right")
+
+
+def columns_in_place(body: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
+    """B5 and B6 in one pass: each page's fragments are gathered, split and spread again.
+
+    ``body`` carries ``page_width``; a page is one group, so no other shuffle is needed.
+    """
+    columns = [c for c in body.columns if c not in (*PAGE, "page_width")]
+    per_page = body.groupBy(*PAGE, "page_width").agg(F.collect_list(F.struct(*columns)).alias("_fs"))
+    low, high = _center(cfg)
+    last = F.lit(cfg.buckets - 1)
+    buckets = F.transform("_fs", lambda f: F.least(F.floor(f["x"] / (F.col("page_width") / cfg.buckets)), last).cast("int"))
+    gathered = per_page.withColumns({
+        "_n": F.size("_fs"), "_bs": F.filter(buckets, lambda b: b.between(low, high)),
+    })
+    spread = _split_x(gathered, cfg).select(*PAGE, "split_x", F.inline("_fs"))
+    return spread.select(*PAGE, *columns, _side().alias("column"))
+
+
 def assign_columns(body: DataFrame, layout: DataFrame) -> DataFrame:
     """Left, right or single."""
     return body.join(layout.select(*PAGE, "split_x"), PAGE, "left").select(
         *body.columns,
-        F.when(F.col("split_x").isNull(), "single").when(F.col("x") < F.col("split_x"), "left").otherwise("right").alias("column"),
+        _side().alias("column"),
     )
 
 
@@ -205,11 +234,15 @@ def reading_order(lines: DataFrame) -> DataFrame:
     return position(lines, ["exam_id"], F.col("page"), [rank, F.col("line_y"), F.col("line_ord")], "line_no")
 
 
+def page_lines(fragments: DataFrame, pages: DataFrame, mode: str = "lag", cfg: Layout = LAYOUT) -> DataFrame:
+    """B1 to B8 composed: the lines of every page, not yet numbered over the exam."""
+    tagged = tag_zones(fragments, pages, cfg)
+    body = strip_headers_footers(tagged, repeated_zone_text(tagged, pages, cfg), pages, keep=("page_width",))
+    return build_lines(group_lines(columns_in_place(body, cfg), mode, cfg), cfg)
+
+
 def reconstruct_layout(
     fragments: DataFrame, pages: DataFrame, mode: str = "lag", cfg: Layout = LAYOUT
 ) -> DataFrame:
-    """B1 to B9 composed."""
-    tagged = tag_zones(fragments, pages, cfg)
-    body = strip_headers_footers(tagged, repeated_zone_text(tagged, pages, cfg), pages)
-    columned = assign_columns(body, detect_columns(body, pages, cfg))
-    return reading_order(build_lines(group_lines(columned, mode, cfg), cfg))
+    """B1 to B9 composed. The lines are written once, being read for counts and for rows."""
+    return reading_order(materialize(page_lines(fragments, pages, mode, cfg), "lines"))

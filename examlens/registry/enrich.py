@@ -178,14 +178,14 @@ _CLEAN = """select exam_id, position, case when q_order>0 then q_order else posi
  select exam_id, position, q_order, trim(question_text) question_text, list_filter(raw, lambda x, i: x<>'' and list_position(raw,x)=i) opts from (
  select exam_id, q_order as position, case when q_order%7=0 then 0 else q_order end q_order, question_text, list_transform([coalesce(oa,''),coalesce(ob,''),coalesce(oa,''),' '||coalesce(oc,'')||'  ',''], lambda x: trim(x)) raw from fx_questions) a) b where question_text<>'' and len(opts)>=2"""
 _MSG = "select doc_id, case doc_id%5 when 0 then 'ZERO_VALID_QUESTIONS' when 1 then 'PIPELINE_RUNTIME_ERROR:'||text when 2 then 'Invalid '||lang||' PDF' else text end as m from documents"
-_EVENTS = "select user_id exam_id, event_id, ['start','extracted','fail','publish','reprocess'][event_id%5+1] event, cast(event_id%3 as int) question_count, 'broken '||event_type message, ts as at from events"
+_EVENTS = "select user_id exam_id, event_id, ['start','extracted','fail','publish','reprocess'][event_id%5+1] event, cast(event_id%3 as int) question_count, 'broken '||event_type message, ts as ev_at from events"
 _STATUS = f"""select exam_id, event, status old_status, coalesce(nw,status) new_status,
  case when status is null then 'EXAM_NOT_FOUND' when nw is not null or (event='publish' and status='completed') then null when event='publish' and status='reviewing' then 'NO_QUESTIONS' when event='reprocess' then 'EXAM_NOT_FAILED' else 'INVALID_STATE' end reject_code,
  case when nw='failed' then case when event='extracted' then '{t.MSG_NONE_FOUND}' else message end end error_message,
  case when nw in ('reviewing','completed') then question_count when nw is null or nw<>'queued' then total_questions end total_questions,
- case when nw in ('completed','failed') then at end processed_at from (
+ case when nw in ('completed','failed') then ev_at end processed_at from (
  select v.*, x.status, x.total_questions, case when event='start' and status='queued' then 'processing' when event='extracted' and status='processing' then case when question_count>0 then 'reviewing' else 'failed' end when event='fail' and status='processing' then 'failed' when event='publish' and status='reviewing' and question_count>0 then 'completed' when event='reprocess' and status='failed' then 'queued' end nw
- from (select *, row_number() over (partition by exam_id order by at desc, event_id desc) rn from ev) v left join fx_exams x on x.exam_id=v.exam_id where rn=1) t"""
+ from (select *, row_number() over (partition by exam_id order by ev_at desc, event_id desc) rn from ev) v left join fx_exams x on x.exam_id=v.exam_id where rn=1) t"""
 
 
 def _clipped(steps):

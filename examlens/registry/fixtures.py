@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from examlens.sources.sinks import materialize
+
 SPARK_SQL = {
     "fx_lines": r"""
 with w as (select doc_id, filter(split(regexp_replace(text,'\\s+',' '),' '), x -> x <> '') w from documents),
@@ -194,7 +196,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_staged: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view as a table: derived by Spark once per session and folder, then read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _staged:
+        _staged[key] = materialize(derive(spark, sf_dir, name), name)
+    return _staged[key]
+
+
+def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = SPARK_SQL[name]
     inputs = {}
     for parent in _parents(sql):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame that is used more than once to the shared folder and read it back.
+
+    Unlike a cache it survives lost executors, and each use reads only the columns it needs.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/examlens/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def bucket_of(buckets: int):
     return F.pmod(F.xxhash64("exam_id"), F.lit(buckets)).cast("int")
 
