@@ -1,0 +1,276 @@
+"""Sequential variants of two operators whose state depends on their own output.
+
+Both run over sorted partitions and carry the state from one Arrow batch to the
+next, so memory holds one open question or line and never a whole group.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from examlens.config import LAYOUT, PARSER, Layout, Parser
+from examlens.functions.text import LETTERS, extract
+from examlens.operators import questions as q
+
+
+def group_lines_exact(columned: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
+    """B7 exact: the tolerance follows the mean font of the line so far."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ordinal, last_y, fonts, n = None, 0, 0.0, 0.0, 0
+        for f in frames:
+            out = []
+            for k, y, font in zip(zip(f["exam_id"], f["page"], f["column"]), f["y"], f["font_size"]):
+                if k != key:
+                    key, ordinal, fonts, n = k, 0, 0.0, 0
+                elif abs(y - last_y) > max(fonts / n * cfg.line_y_factor, cfg.line_y_floor):
+                    ordinal, fonts, n = ordinal + 1, 0.0, 0
+                last_y, fonts, n = y, fonts + font, n + 1
+                out.append(ordinal)
+            yield f.assign(line_ord=pd.Series(out, index=f.index, dtype="int32"))
+
+    ordered = columned.repartition("exam_id", "page").sortWithinPartitions("exam_id", "page", "column", "y", "x", "str")
+    return ordered.mapInPandas(run, columned.withColumn("line_ord", F.lit(0)).schema)
+
+
+class _Exam:
+    """Reads the labelled lines of one exam; every line is a dict of ``classify_lines`` columns."""
+
+    def __init__(self, exam_id: int, images: set[int], cfg: Parser):
+        self.exam_id, self.images, self.cfg = exam_id, images, cfg
+        self.place = "scan"  # scan, shared, stem or an option letter
+        self.item: dict | None = None  # the open question
+        self.waiting: tuple[int, int] | None = None  # bare number and its page
+        self.bank: list[dict] = []  # confirmed questions
+        self.run_at = 0  # where the last unbroken run of the bank begins
+        self.last: int | None = None  # last confirmed number
+        self.forced: int | None = None  # number to be discarded whatever its score
+        self.building: dict | None = None  # shared text being read
+        self.pending: dict | None = None  # shared text waiting for its questions
+        self.range: tuple[int, int] | None = None
+        self.shared: list[dict] = []
+
+    # -- numbering
+
+    def admits(self, n: int) -> bool:
+        cfg = self.cfg
+        if self.last is None:
+            return n <= cfg.max_first_number
+        if 0 < n - self.last <= cfg.max_jump:
+            return True
+        run = self.bank[self.run_at:]
+        if n != 1 or n > self.last or self.run_at or len(run) < cfg.weak_min_items:
+            return False
+        mean = lambda field: sum(x[field] for x in run) / len(run)
+        if mean("score") > cfg.weak_max_score and mean("useful_options") > cfg.weak_max_useful:
+            return False
+        if self.item and run[0]["num"] <= self.item["num"] <= run[-1]["num"] + 1:
+            self.forced = self.item["num"]
+        self.bank, self.last = [], None
+        return True
+
+    # -- questions
+
+    def open(self, n: int, page: int, text: str) -> None:
+        if self.place == "shared":
+            self.pending, self.building = self.building, None
+        else:
+            self.close()
+        self.item = {"num": n, "page": page, "text": text.strip(), "options": dict.fromkeys(LETTERS, ""), "shared_id": None}
+        self.offer_shared()
+        self.place = "stem"
+
+    def offer_shared(self) -> None:
+        if not (self.pending and self.range):
+            return
+        first, last = self.range
+        if first <= self.item["num"] <= last:
+            self.item["shared_id"] = self.pending["id"]
+            self.pending["range"] = self.pending["range"] or self.range
+        if self.item["num"] > last:
+            self.shared.append(self.pending)
+            self.pending = self.range = None
+
+    def close(self) -> None:
+        item, cfg = self.item, self.cfg
+        if item is None:
+            return
+        item["text"] = item["text"].strip()
+        item["options"] = {k: v.strip() for k, v in item["options"].items()}
+        self.offer_shared()
+        self.judge(item)
+        good = (
+            item["stem_words"] >= cfg.min_stem_words
+            and item["useful_options"] >= cfg.min_useful_options
+            and item["score"] >= cfg.min_score
+        )
+        if self.forced == item["num"]:
+            good, self.forced = False, None
+        if good:
+            if self.bank and self.bank[-1]["num"] + 1 != item["num"]:
+                self.run_at = len(self.bank)
+            elif not self.bank:
+                self.run_at = 0
+            self.bank.append(item)
+            self.last = item["num"]
+        self.item = None
+
+    def judge(self, item: dict) -> None:
+        words = {k: len(v.split()) for k, v in item["options"].items()}
+        stem = len(item["text"].split())
+        filled = [k for k in LETTERS if item["options"][k]]
+        good = sum(words[k] >= q.OPTION_WORDS for k in filled)
+        source = item["page"] in self.images and stem < self.cfg.source_stem_words
+        cut = stem > 5 and item["text"][-1] not in ".?!:;"
+        points = (
+            (q.STEM_POINTS if stem >= q.STEM_WORDS else 0)
+            + q.OPTION_POINTS * len(filled)
+            + (q.OPTION_WORDS_POINTS if good == 5 else 0)
+            - (q.SOURCE_PENALTY if source else 0)
+            - (q.TRUNCATED_PENALTY if cut else 0)
+            - q.MISSING_PENALTY * (5 - len(filled))
+        )
+        reasons = [
+            (stem < q.STEM_WORDS, f"enunciado curto ({stem} palavras)"),
+            *[(k not in filled, f"alternativa {k} vazia") for k in LETTERS],
+            (good < 3, "alternativas com poucas palavras"),
+            (source, "requer PDF (imagem detectada)"),
+            (cut, "enunciado pode estar truncado"),
+        ]
+        item.update(
+            score=max(0, min(100, points)), details=[text for holds, text in reasons if holds],
+            stem_words=stem, useful_options=sum(w >= 2 for w in words.values()), requires_source=source,
+        )
+
+    # -- lines
+
+    def add(self, text: str) -> None:
+        """Continuation of whatever is open."""
+        if self.place == "stem":
+            self.item["text"] += " " + text
+        elif self.place in LETTERS:
+            self.item["options"][self.place] += " " + text
+
+    def read(self, line: dict) -> None:
+        kind, text = line["kind"], line["text"]
+        if kind == "alone":
+            if self.admits(line["num"]):
+                self.waiting = (line["num"], line["page"])
+            elif self.place == "stem":
+                self.add(text)
+            return
+        if self.waiting:
+            (n, page), self.waiting = self.waiting, None
+            if kind != "option":
+                self.open(n, page, text)
+                return
+        if kind == "start":
+            if self.admits(line["num"]):
+                self.open(line["num"], line["page"], line["rest"])
+            else:
+                self.add(text)
+        elif kind == "option" and self.item:
+            parts = line["parts"]
+            for p in parts[1:]:
+                self.item["options"][p[0]] = p[1:].strip()
+            self.item["options"][line["letter"]] = parts[0].strip()
+            self.place = line["letter"]
+        elif line["lo"] is not None and self.place in ("scan", "stem"):
+            self.read_range(text, (line["lo"], line["hi"]))
+        elif line["lead"] and self.place == "scan":
+            self.building = {"id": f"shared-pre-{line['line_no']}", "text": text, "range": None}
+            self.place = "shared"
+        elif self.place == "shared":
+            self.building["text"] += " " + text
+            if line["lo"] is not None and not self.range:
+                self.range = self.building["range"] = (line["lo"], line["hi"])
+                self.building["id"] = "shared-%d-%d" % self.range
+        else:
+            self.add(text)
+
+    def read_range(self, text: str, span: tuple[int, int]) -> None:
+        self.range = span
+        if self.pending:
+            self.pending["range"] = span
+            self.pending["text"] += " " + text
+        elif self.place == "scan":
+            self.building = {"id": "shared-%d-%d" % span, "text": text, "range": span}
+            self.place = "shared"
+        else:
+            self.add(text)
+
+    def finish(self) -> list[dict]:
+        if self.place == "shared":
+            self.pending = self.building
+        self.close()
+        if self.pending:
+            self.shared.append(self.pending)
+        texts: dict[str, str] = {}
+        for s in self.shared:
+            texts.setdefault(s["id"], s["text"].strip())
+        for item in self.bank:
+            if item["shared_id"] is None and item["num"] <= 10:
+                covering = [s["id"] for s in self.shared if s["range"] and s["range"][0] <= item["num"] <= s["range"][1]]
+                item["shared_id"] = covering[0] if covering else None
+            item["context_text"] = texts.get(item["shared_id"])
+        return [
+            {"exam_id": self.exam_id, **{k.lower(): v for k, v in i["options"].items()}, **{k: v for k, v in i.items() if k != "options"}}
+            for i in self.bank
+        ]
+
+
+_SCHEMA = (
+    "exam_id bigint, num int, page int, text string, a string, b string, c string, d string, e string, "
+    "shared_id string, context_text string, requires_source boolean, score int, details array<string>, "
+    "stem_words int, useful_options int"
+)
+_FIELDS = [f.split()[0] for f in _SCHEMA.split(", ")]
+
+
+def parse_questions_exact(lines: DataFrame, pages: DataFrame | None = None, cfg: Parser = PARSER) -> DataFrame:
+    """D13 exact: acceptance of a number depends on what was confirmed before it.
+
+    Labels and splits are made by Spark; Python only follows the sequence. An
+    exam is read by one task, line by line, holding at most its 99 confirmed
+    questions; very large exams are what the native mode is for.
+    """
+    labelled = q.classify_lines(q.strip_scratch(lines)).select(
+        "exam_id", "page", "line_no", "text", "kind", "num", "letter", "rest",
+        F.when(F.col("kind") == "option", q._inline(F.col("rest"))).alias("parts"),
+        extract(F.col("text"), q.SHARED_RANGE, 1).cast("int").alias("lo"),
+        extract(F.col("text"), q.SHARED_RANGE, 2).cast("int").alias("hi"),
+        F.regexp_like("text", F.lit(q.SHARED_LEAD)).alias("lead"),
+    )
+    if pages is None:
+        labelled = labelled.withColumn("image", F.lit(False))
+    else:
+        img = pages.filter("has_images").select("exam_id", "page", F.lit(True).alias("_img"))
+        labelled = labelled.join(img, ["exam_id", "page"], "left").withColumn(
+            "image", F.coalesce("_img", F.lit(False))).drop("_img")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        exam: _Exam | None = None
+        for f in frames:
+            done: list[dict] = []
+            ints = ("num", "lo", "hi")
+            for line in f.to_dict("records"):
+                for c in ints:
+                    line[c] = None if pd.isna(line[c]) else int(line[c])
+                if exam is None or exam.exam_id != line["exam_id"]:
+                    if exam:
+                        done += exam.finish()
+                    exam = _Exam(line["exam_id"], set(), cfg)
+                if line["image"]:
+                    exam.images.add(line["page"])
+                exam.read(line)
+            if done:
+                yield pd.DataFrame(done, columns=_FIELDS)
+        if exam:
+            yield pd.DataFrame(exam.finish(), columns=_FIELDS)
+
+    ordered = labelled.repartition("exam_id").sortWithinPartitions("exam_id", "line_no")
+    return ordered.mapInPandas(run, _SCHEMA)

@@ -172,6 +172,13 @@ def _o(select, *more):
     return with_views(*STEPS, *more, select)
 
 
+def _chunks(size: int) -> str:
+    return f"""with recursive parts as (select doc_id, unnest(string_split(text,chr(10))) part, unnest(range(len(string_split(text,chr(10))))) i from documents),
+ walk(doc_id,i,chunk,size) as (select doc_id, i, 0, length(part)+1 from parts where i=0 union all
+ select p.doc_id, p.i, case when w.size+length(p.part)>{size} then w.chunk+1 else w.chunk end, case when w.size+length(p.part)>{size} then length(p.part) else w.size+length(p.part)+1 end from walk w join parts p on p.doc_id=w.doc_id and p.i=w.i+1)
+ """
+
+
 ORACLES = {
     "pending_questions": _o("select exam_id, q_order, question_id, question_text, array_to_string(opts,'|') options from pend"),
     "make_batches": _o("select exam_id, q_order, question_id, batch_no, idx from batches"),
@@ -190,10 +197,8 @@ ORACLES = {
                              "(select doc_id, array_to_string(list_filter(string_split(text,chr(10)), lambda x: trim(x)<>''), chr(10)||chr(10)||'---'||chr(10)||chr(10)) t, len(string_split(text,chr(10))) p from documents) u",
     "choose_text": "select doc_id, length(t)>=180 usable, cast(length(t) as int) extraction_chars, case when length(t)>0 then t else 'Arquivo: '||filename||'. OCR não extraiu conteúdo suficiente.' end source_text, case when length(t)>=180 then 'LOW_CONFIDENCE:50' else 'LOW_CONFIDENCE:50|LOW_EXTRACTION_CHARS:'||length(t) end fallback_reason from "
                    "(select doc_id, 'f'||doc_id||'.pdf' filename, case when length(p)<180 and length(coalesce(s,''))>length(p) then s else p end t from (select doc_id, case when doc_id%5=0 then '' when doc_id%2=0 then string_split(text,chr(10))[1] else text end p, case when doc_id%3=0 then text end s from documents) a) b",
-    "chunk_text": f"""with recursive parts as (select doc_id, unnest(string_split(text,chr(10))) part, unnest(range(len(string_split(text,chr(10))))) i from documents),
- walk(doc_id,i,chunk,size) as (select doc_id, i, 0, length(part)+1 from parts where i=0 union all
- select p.doc_id, p.i, case when w.size+length(p.part)>{CHUNK} then w.chunk+1 else w.chunk end, case when w.size+length(p.part)>{CHUNK} then length(p.part) else w.size+length(p.part)+1 end from walk w join parts p on p.doc_id=w.doc_id and p.i=w.i+1)
- select w.doc_id, w.chunk, string_agg(p.part, chr(10) order by p.i) as text from walk w join parts p on p.doc_id=w.doc_id and p.i=w.i group by w.doc_id, w.chunk""",
+    "chunk_text": _chunks(CHUNK) + "select w.doc_id, w.chunk, string_agg(p.part, chr(10) order by p.i) as text from walk w join parts p on p.doc_id=w.doc_id and p.i=w.i group by w.doc_id, w.chunk",
+    "chunk_text_default": _chunks(30000) + "select w.doc_id, w.chunk, cast(length(string_agg(p.part, chr(10) order by p.i)) as int) chars from walk w join parts p on p.doc_id=w.doc_id and p.i=w.i group by w.doc_id, w.chunk",
     "merge_chunk_questions": with_views(
         ("found", "select exam_id, q_order position, (q_order-1)%7+1 q_order, question_text, oa, unnest(range(1,2+(exam_id+q_order)%3)) chunk from fx_questions"),
         "select exam_id, q_order, chunk, position, question_text, oa from (select *, row_number() over (partition by exam_id, q_order order by chunk, position) rn from found) t where rn=1"),

@@ -88,6 +88,8 @@ ORACLES = {
     "detect_columns": _o("select * from lay"),
     "assign_columns": _o("select * from columned"),
     "group_lines": _o("select * from lined"),
+    # One font size: the mean font of a line is the font of its last fragment.
+    "group_lines_exact": _o("select * from lined"),
     "build_lines": _o("select * from built"),
     "reading_order": _o('select exam_id, page, line_no, text, "column", line_y, line_x, font_size from ordered'),
     "reconstruct_layout": _o('select exam_id, page, line_no, text, "column", line_y, line_x, font_size from ordered'),
