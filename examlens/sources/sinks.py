@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def replace_for_exams(target: DataFrame, new: DataFrame, touched: DataFrame) -> DataFrame:
@@ -47,6 +48,13 @@ def write_exam_table(df: DataFrame, path: str, buckets: int = 64) -> None:
     df.withColumn("exam_bucket", bucket_of(buckets)).write.mode("overwrite").partitionBy("exam_bucket").parquet(path)
 
 
+def read_exam_table(spark: SparkSession, path: str, schema: StructType, keep_bucket: bool = False) -> DataFrame:
+    """The table with its declared columns; it may still be empty."""
+    stored = StructType([*schema.fields, StructField("exam_bucket", IntegerType())])
+    df = spark.read.schema(stored).parquet(path)
+    return df if keep_bucket else df.drop("exam_bucket")
+
+
 def replace_in_table(spark: SparkSession, path: str, new: DataFrame, touched: DataFrame, buckets: int = 64) -> None:
     """A6 on files: only the hash buckets of the touched exams are read and written again.
 
@@ -58,7 +66,7 @@ def replace_in_table(spark: SparkSession, path: str, new: DataFrame, touched: Da
     hit = [r[0] for r in touched.select(bucket_of(buckets).alias("b")).distinct().collect()]
     if not hit:
         return
-    old = spark.read.parquet(path).filter(F.col("exam_bucket").isin(hit))
+    old = read_exam_table(spark, path, new.schema, keep_bucket=True).filter(F.col("exam_bucket").isin(hit))
     columns = [c for c in old.columns if c != "exam_bucket"]
     merged = replace_for_exams(old.select(*columns), new, touched).withColumn("exam_bucket", bucket_of(buckets)).checkpoint()
     # A bucket that lost all its rows is not part of the output and is emptied on its own.
