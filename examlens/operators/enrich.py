@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from examlens.functions.text import LETTERS, collapsed, normalize_answer, trimmed
 from examlens.templates import subject_ranges, templates
@@ -118,7 +119,7 @@ def with_known_template(uploads: DataFrame) -> DataFrame:
     return uploads.join(F.broadcast(templates(uploads.sparkSession).select("template_id")), "template_id", "left_semi")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
