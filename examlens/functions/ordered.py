@@ -3,6 +3,7 @@
 A running value over a key is computed in two levels: inside fixed ranges
 ("blocks") of the order column, and over one summary row per block. The wide
 rows are only ever shuffled by (key, block); the per-key window sees summaries.
+The windows need that partitioning anyway, so the summaries are joined by merge.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def carry_forward(
         *[F.min(f"_f_{n}").over(over_key)["v"].alias(n) for n in firsts],
     )
     in_block = Window.partitionBy(*_key_block(keys)).orderBy(order).rowsBetween(*_UP_TO_HERE)
-    return d.join(carry, _key_block(keys)).select(*df.columns, *firsts, *[
+    return d.join(carry.hint("merge"), _key_block(keys)).select(*df.columns, *firsts, *[
         F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(in_block), F.col(f"_c_{n}"))["v"].alias(n)
         for n in values
     ])
@@ -69,7 +70,7 @@ def running_sum(
     base = per_block.select(*_key_block(keys), F.sum("_total").over(over_blocks).alias("_base"))
     in_block = Window.partitionBy(*_key_block(keys)).orderBy(*order).rowsBetween(*_BEFORE)
     zero = F.lit(0)
-    return d.join(base, _key_block(keys)).select(
+    return d.join(base.hint("merge"), _key_block(keys)).select(
         *df.columns,
         (F.coalesce("_base", zero) + F.coalesce(F.sum("_value").over(in_block), zero)).alias(name),
     )

@@ -10,11 +10,9 @@ SPACES = (
     "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-# The same set for use inside a bracket expression (Java and RE2 syntax).
-WS = (
-    r"\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
-)
+# The same set as a character class (Java syntax), by Unicode property: that is
+# several times faster than listing the characters.
+WS = r"[\p{IsWhite_Space}\x{feff}&&[^\x{85}]]"
 LETTERS = ["A", "B", "C", "D", "E"]
 
 

@@ -90,12 +90,13 @@ def section_sizes(sectioned: DataFrame) -> DataFrame:
     )
 
 
-def select_key_section(sizes: DataFrame, exams: DataFrame) -> DataFrame:
+def select_key_section(sections: DataFrame, exams: DataFrame) -> DataFrame:
     """C4: the sections to read, given ``exams(exam_id, booklet)`` as the wanted booklets.
 
-    Per exam only a set of at most four booklet letters and one best section are kept.
+    ``sections(exam_id, section, booklet, pairs, ...)``. Per exam only a set of
+    at most four booklet letters and one best section are kept.
     """
-    choice = sizes.groupBy("exam_id").agg(
+    choice = sections.groupBy("exam_id").agg(
         F.collect_set("booklet").alias("_types"),
         F.max_by("section", F.struct("pairs", -F.col("section"))).alias("_best"),
     )
@@ -107,7 +108,7 @@ def select_key_section(sizes: DataFrame, exams: DataFrame) -> DataFrame:
         .when(F.size("_types") > 1, F.col("section") == F.col("_best"))
         .otherwise(True)
     )
-    return sizes.join(choice, "exam_id").filter(keep).select(*sizes.columns)
+    return sections.join(choice, "exam_id").filter(keep).select(*sections.columns)
 
 
 def resolve_answers(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -132,10 +133,11 @@ def apply_annulments(resolved: DataFrame, annulled: DataFrame) -> DataFrame:
 
 
 def _resolved_sections(sectioned: DataFrame) -> DataFrame:
-    """One row per (exam, section, question) in a single pass over the lines.
+    """One row per section with its booklet, its pairs and what it says per question.
 
-    Sections without pairs keep one row with a null question, so that their
-    booklet still counts when a section is selected.
+    The numbers of a section have at most three digits, so ``found`` is short.
+    Everything else is derived from it: the frame is used twice, and with a
+    single aggregate both uses share one shuffle.
     """
     note = F.when(F.regexp_like("text", F.lit(ANNULLED)), extract(F.col("text"), "([0-9]{1,3})").cast("int"))
     notes = F.when(note.isNotNull(), F.array(F.struct(
@@ -146,25 +148,32 @@ def _resolved_sections(sectioned: DataFrame) -> DataFrame:
     )
     is_pair = F.col("pattern") > 0
     usable = is_pair & F.col("q_order").between(1, MAX_NUMBER)
-    return events.groupBy("exam_id", "section", "q_order").agg(
+    per_question = events.groupBy("exam_id", "section", "q_order").agg(
         F.max("booklet").alias("booklet"),
         F.count_if(is_pair).alias("pairs"),
-        F.count_if(usable).alias("usable_pairs"),
+        F.count_if(usable).alias("usable"),
         F.min(F.when(usable, F.struct("line_no", "pattern", "pos", "answer"))).alias("first"),
         F.coalesce(F.bool_or(F.col("pattern") == 0), F.lit(False)).alias("note"),
     )
+    found = per_question.groupBy("exam_id", "section").agg(
+        F.collect_list(F.struct("q_order", "booklet", "pairs", "usable", "first", "note")).alias("found"))
+    return found.select(
+        "exam_id", "section",
+        F.array_max(F.transform("found", lambda f: f["booklet"])).alias("booklet"),
+        F.aggregate("found", F.lit(0).cast("bigint"), lambda n, f: n + f["pairs"]).alias("pairs"),
+        "found",
+    )
 
 
 def resolve_keys(lines: DataFrame, exams: DataFrame, block: int = PARSER.block_lines) -> DataFrame:
     """C1-C6 composed: answer or annulment per question of the selected sections."""
-    per_section = _resolved_sections(split_key_sections(lines, block))
-    sizes = per_section.groupBy("exam_id", "section").agg(F.max("booklet").alias("booklet"), F.sum("pairs").alias("pairs"))
-    chosen = select_key_section(sizes, exams).select("exam_id", "section")
+    chosen = select_key_section(_resolved_sections(split_key_sections(lines, block)), exams)
     return (
-        per_section.filter("q_order is not null")
-        .join(chosen, ["exam_id", "section"], "left_semi")
+        chosen.select("exam_id", F.explode("found").alias("f"))
+        .select("exam_id", "f.q_order", "f.first", "f.note", "f.usable")
+        .filter("q_order is not null")
         .groupBy("exam_id", "q_order")
-        .agg(F.min("first")["answer"].alias("answer"), F.bool_or("note").alias("note"), F.sum("usable_pairs").alias("pairs"))
+        .agg(F.min("first")["answer"].alias("answer"), F.bool_or("note").alias("note"), F.sum("usable").alias("pairs"))
         .filter("answer is not null or note")
         .select("exam_id", "q_order",
                 F.when(F.col("note"), F.lit("*")).otherwise(F.col("answer")).alias("answer"),

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examlens.config import PARSER, Parser
-from examlens.functions.text import LETTERS, WS, extract, trimmed, word_count
+from examlens.functions.text import LETTERS, SPACES, WS, extract, trimmed, word_count
 
 # Line patterns.
 SCRATCH = r"(?is)(?<![A-Za-z0-9_])RASCUNHO(?![A-Za-z0-9_]).*"
@@ -158,22 +158,35 @@ def _only_initial(hits: str, initial: int, low: int) -> str:
     )
 
 
+_IS_NUMBER = "kind in ('alone', 'start')"
+_SPACES_SQL = "".join(f"\\u{ord(c):04x}" for c in SPACES)
+
+
+def _block(cfg: Parser) -> str:
+    return f"cast(line_no div {cfg.block_lines} as int)"
+
+
+def _option_mark() -> str:
+    """Last option letter of an option line and how many options follow the first on it."""
+    tail = f"regexp_extract_all(rest, r'{INLINE_OPTION}', 1)"
+    return f"struct(line_no, coalesce(try_element_at({tail}, -1), letter) as letter, size({tail}) as k)"
+
+
 def _block_numbers(classified: DataFrame, cfg: Parser) -> DataFrame:
     """One row per (exam, block): accepted starts and what carries in from earlier blocks."""
-    is_num = F.col("kind").isin("alone", "start")
-    is_opt = F.col("kind") == "option"
-    tail = F.regexp_extract_all(F.col("rest"), F.lit(INLINE_OPTION), 1)
+    # One collected column feeds both uses of the blocks, so their shuffle is reused.
+    mark = F.expr(
+        f"if(kind = 'body', null, struct(line_no, kind, num, if(kind = 'option', {_option_mark()}, null) as opt))")
     blocks = (
-        classified.withColumn("_block", F.floor(F.col("line_no") / cfg.block_lines).cast("int"))
+        classified.withColumn("_block", F.expr(_block(cfg)))
+        .filter("exam_id is not null and _block is not null")
         .groupBy("exam_id", "_block")
-        .agg(
-            F.array_sort(F.collect_list(F.when(is_num, F.struct("line_no", "num")))).alias("cands"),
-            F.max(F.when(is_opt, F.struct(
-                "line_no",
-                F.coalesce(F.try_element_at(tail, F.lit(-1)), F.col("letter")).alias("letter"),
-                F.size(tail).alias("k"),
-            ))).alias("opt"),
-            F.min(F.when(F.col("kind").isin("range", "lead"), F.col("line_no"))).alias("shared_line"),
+        .agg(F.array_sort(F.collect_list(mark)).alias("marks"))
+        .select(
+            "exam_id", "_block",
+            F.filter("marks", lambda m: m["num"].isNotNull()).alias("cands"),
+            F.expr("try_element_at(filter(marks, m -> m.kind = 'option'), -1).opt").alias("opt"),
+            F.expr("get(filter(marks, m -> m.kind in ('range', 'lead')), 0).line_no").alias("shared_line"),
         )
     )
     summaries = blocks.withColumns({
@@ -221,7 +234,7 @@ def sequence_gate(classified: DataFrame, allow_reset: bool = False, cfg: Parser
     nums = classified.filter(F.col("kind").isin("alone", "start"))
     blocks = _block_numbers(classified, cfg)
     return (
-        nums.withColumn("_block", F.floor(F.col("line_no") / cfg.block_lines).cast("int"))
+        nums.withColumn("_block", F.expr(_block(cfg)))
         .join(blocks, ["exam_id", "_block"])
         .select("exam_id", "page", "line_no", "num", _hit("hits_r" if allow_reset else "hits_a").alias("accepted"))
     )
@@ -237,105 +250,79 @@ def segment_questions(classified: DataFrame, cfg: Parser = PARSER) -> DataFrame:
     shared-text lead on. ``mark`` orders the option markers: a repeated marker
     replaces what was read for its letter before.
     """
-    lines = classified.withColumn("_block", F.floor(F.col("line_no") / cfg.block_lines).cast("int"))
-    joined = lines.join(_block_numbers(classified, cfg), ["exam_id", "_block"])
-    w = Window.partitionBy("exam_id", "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-
-    def running(value: Column) -> Column:
-        return F.last(value, ignorenulls=True).over(w)
-
-    state_here = F.get(
-        F.filter("hits_r", lambda h: h["line_no"] == F.col("line_no")), F.lit(0)
-    )["state"]
-    tail = F.regexp_extract_all(F.col("rest"), F.lit(INLINE_OPTION), 1)
-    opt = F.when(F.col("kind") == "option", F.struct(
-        "line_no", F.coalesce(F.try_element_at(tail, F.lit(-1)), F.col("letter")).alias("letter"), F.size(tail).alias("k")
-    ))
-    rows = (
-        joined.withColumn("is_a", _hit("hits_a"))
-        .withColumn("is_r", _hit("hits_r"))
-        .withColumn("num_a", F.coalesce(running(F.when(F.col("is_a"), F.col("num"))), F.col("in_a")))
-        .withColumn("line_a", F.coalesce(running(F.when(F.col("is_a"), F.col("line_no"))).cast("bigint"), F.col("line_a")))
-        .withColumn("state_r", F.coalesce(running(F.when(F.col("is_r"), state_here)), F.col("in_r")))
-        .withColumn("line_r", F.coalesce(running(F.when(F.col("is_r"), F.col("line_no"))).cast("bigint"), F.col("line_r")))
-        .withColumn("opt", F.coalesce(running(opt), F.col("in_opt")))
-    )
-    after_restart = F.floor(F.col("state_r") / 100) == _RESTARTED
-    both = F.filter(
-        F.array(
-            F.struct(F.lit("A").alias("variant"), F.col("num_a").alias("num"),
-                     F.col("is_a").alias("is_start"), F.col("line_a").alias("start_line")),
-            F.when(after_restart, F.struct(
-                F.lit("R").alias("variant"), (F.col("state_r") % 100).cast("int").alias("num"),
-                F.col("is_r").alias("is_start"), F.col("line_r").alias("start_line"))),
-        ),
-        lambda v: v.isNotNull(),
-    )
-    restart_here = F.col("is_r") & after_restart & ~F.col("is_a") & (F.col("state_r") == _RESTARTED * 100 + 1)
-    v = F.col("v")
-    in_question = F.col("num") >= 0
-    has_opt = in_question & F.col("opt").isNotNull() & (F.col("opt")["line_no"] > F.col("start_line"))
-    out = rows.select(
-        "exam_id", "page", "line_no", "kind", "letter", "rest", "text", "first", "last", "opt", "shared_line",
-        F.when(restart_here, F.col("num_a")).alias("open_num"),
-        F.explode(both).alias("v"),
-    ).select(
-        "exam_id", "page", "line_no", "kind", "letter", "rest", "text", "first", "last",
-        "opt", "shared_line", "open_num",
-        v["variant"].alias("variant"), v["num"].alias("num"),
-        v["is_start"].alias("is_start"), v["start_line"].alias("start_line"),
-    )
-    rejected = F.col("kind").isin("alone", "start") & ~F.col("is_start")
-    role = F.when(in_question, F.when(has_opt, F.col("opt")["letter"]).otherwise("stem"))
+    lines = classified.withColumn("_block", F.expr(_block(cfg)))
+    # The window below needs lines by (exam, block), so the join is a merge on that.
+    joined = lines.join(_block_numbers(classified, cfg).hint("merge"), ["exam_id", "_block"])
+    w = "over (partition by exam_id, _block order by line_no rows between unbounded preceding and current row)"
+    found = joined.selectExpr(
+        "*",
+        f"case when {_IS_NUMBER} then get(filter(hits_a, h -> h.line_no = line_no), 0) end hit_a",
+        f"case when {_IS_NUMBER} then get(filter(hits_r, h -> h.line_no = line_no), 0) end hit_r",
+        f"case when kind = 'option' then {_option_mark()} end here",
+    )
+    rows = found.selectExpr(
+        "exam_id", "page", "line_no", "kind", "letter", "rest", "text", "first", "last", "shared_line",
+        "hit_a is not null is_a", "hit_r is not null is_r",
+        f"last(hit_a) ignore nulls {w} run_a", f"last(hit_r) ignore nulls {w} run_r",
+        f"coalesce(last(here) ignore nulls {w}, in_opt) opt", "in_a", "line_a", "in_r", "line_r",
+    ).selectExpr(
+        "*", "coalesce(run_a.num, in_a) num_a", "coalesce(run_r.state, in_r) state_r",
+    )
+    variants = rows.selectExpr(
+        "exam_id", "page", "line_no", "kind", "letter", "rest", "text", "first", "last", "shared_line", "opt",
+        f"case when is_r and not is_a and state_r = {_RESTARTED}01 then num_a end open_num",
+        f"""inline(filter(array(
+          struct('A' as variant, num_a as num, is_a as is_start, coalesce(cast(run_a.line_no as bigint), line_a) as start_line),
+          case when state_r div 100 = {_RESTARTED} then
+          struct('R' as variant, cast(state_r % 100 as int) as num, is_r as is_start, coalesce(cast(run_r.line_no as bigint), line_r) as start_line) end),
+          v -> v is not null))""",
+    )
     return (
-        out.withColumn("role", role)
-        .withColumn("mark", F.when(has_opt, F.col("opt")["line_no"].cast("bigint") * 16 + F.col("opt")["k"]).otherwise(F.lit(0).cast("bigint")))
-        .filter(in_question | ((F.col("line_no") >= F.col("shared_line")) & ~rejected))
-        .filter(~(rejected & (F.col("kind") == "alone") & in_question & has_opt))
-        .select("exam_id", "variant", "num", "page", "line_no", "is_start", "kind", "letter",
-                "role", "mark", "first", "last", "open_num",
-                F.when(F.col("is_start") | (in_question & (F.col("kind") == "option")), F.col("rest"))
-                .otherwise(F.col("text")).alias("text"))
+        variants.selectExpr(
+            "*", "num >= 0 in_question", "coalesce(num >= 0 and opt.line_no > start_line, false) has_opt",
+            f"{_IS_NUMBER} and not is_start rejected",
+        )
+        .filter("(in_question or (line_no >= shared_line and not rejected))"
+                " and not (rejected and kind = 'alone' and in_question and has_opt)")
+        .selectExpr(
+            "exam_id", "variant", "num", "page", "line_no", "is_start", "kind", "letter",
+            "case when in_question then if(has_opt, opt.letter, 'stem') end role",
+            "if(has_opt, cast(opt.line_no as bigint) * 16 + opt.k, 0L) mark",
+            "first", "last", "open_num",
+            "if(is_start or (in_question and kind = 'option'), rest, text) text",
+        )
     )
 
 
-def _joined_text(pieces: Column) -> Column:
-    return trimmed(F.array_join(F.transform(pieces, lambda p: p["text"]), " "))
+def _joined_text(condition: str) -> str:
+    pieces = f"array_join(transform(filter(ps, p -> {condition}), p -> p.text), ' ')"
+    return f"btrim({pieces}, '{_SPACES_SQL}')"
 
 
 def assemble_questions(segments: DataFrame) -> DataFrame:
     """One row per (exam, variant, question), and per shared text (``num`` -1)."""
-    is_opt = (F.col("num") >= 0) & (F.col("kind") == "option")
-    pieces = segments.select(
-        "*", F.posexplode(F.when(is_opt, _inline(F.col("text"))).otherwise(F.array("text"))).alias("k", "part")
-    )
-    later = F.col("k") > 0
-    piece = F.struct(
-        "line_no", "k",
-        F.when(later, F.substring("part", 1, 1))
-        .when(is_opt, F.col("letter")).otherwise(F.coalesce("role", F.lit("stem"))).alias("role"),
-        F.when(is_opt, F.col("line_no").cast("bigint") * 16 + F.col("k")).otherwise(F.col("mark")).alias("mark"),
-        F.when(later, trimmed(F.expr("substring(part, 2)")))
-        .when(is_opt, trimmed(F.col("part"))).otherwise(F.col("part")).alias("text"),
-    )
-    grouped = pieces.groupBy("exam_id", "variant", "num").agg(
-        F.array_sort(F.collect_list(piece)).alias("ps"),
-        F.max(F.when(F.col("is_start"), F.col("page"))).alias("page"),
-        F.min("line_no").alias("first_line"),
-        F.min(F.when(F.col("kind") == "range", F.struct("line_no", "first", "last"))).alias("rng"),
-        F.max("open_num").alias("open_num"),
+    is_opt = "(num >= 0 and kind = 'option')"
+    pieces = segments.withColumn("parts", F.when(F.expr(is_opt), _inline(F.col("text"))).otherwise(F.array("text")))
+    grouped = (
+        pieces.selectExpr("*", "posexplode(parts) as (k, part)")
+        .groupBy("exam_id", "variant", "num")
+        .agg(
+            F.expr(f"""array_sort(collect_list(struct(line_no, k,
+              case when k > 0 then substring(part, 1, 1) when {is_opt} then letter else coalesce(role, 'stem') end as role,
+              if({is_opt}, cast(line_no as bigint) * 16 + k, mark) as mark,
+              case when k > 0 then btrim(substring(part, 2), '{_SPACES_SQL}') when {is_opt} then btrim(part, '{_SPACES_SQL}')
+               else part end as text)))""").alias("ps"),
+            F.expr("max(if(is_start, page, null))").alias("page"),
+            F.expr("min(line_no)").alias("first_line"),
+            F.expr("min(if(kind = 'range', struct(line_no, first, last), null))").alias("rng"),
+            F.expr("max(open_num)").alias("open_num"),
+        )
     )
-
-    def of(letter: str) -> Column:
-        mine = F.filter("ps", lambda p: p["role"] == letter)
-        newest = F.array_max(F.transform(mine, lambda p: p["mark"]))
-        return _joined_text(F.filter(mine, lambda p: p["mark"] == newest)).alias(letter.lower())
-
-    return grouped.select(
-        "exam_id", "variant", "num", "page", "first_line", "open_num",
-        F.col("rng")["first"].alias("first"), F.col("rng")["last"].alias("last"),
-        _joined_text(F.filter("ps", lambda p: p["role"] == "stem")).alias("text"),
-        *[of(x) for x in LETTERS],
+    newest = [f"array_max(transform(filter(ps, p -> p.role = '{x}'), p -> p.mark)) top_{x}" for x in LETTERS]
+    return grouped.selectExpr("*", *newest).selectExpr(
+        "exam_id", "variant", "num", "page", "first_line", "open_num", "rng.first first", "rng.last last",
+        _joined_text("p.role = 'stem'") + " text",
+        *[_joined_text(f"p.role = '{x}' and p.mark = top_{x}") + f" {x.lower()}" for x in LETTERS],
     )
 
 
@@ -371,35 +358,35 @@ def flag_requires_source(questions: DataFrame, pages: DataFrame, cfg: Parser = P
 
 def confidence_score(questions: DataFrame) -> DataFrame:
     """Score 0-100 with the reasons for what is missing."""
-    options = [F.col(x.lower()) for x in LETTERS]
-    filled = [o != "" for o in options]
-    present = sum((f.cast("int") for f in filled), F.lit(0))
-    good = sum((((word_count(o) >= OPTION_WORDS) & f).cast("int") for o, f in zip(options, filled)), F.lit(0))
-    words = word_count(F.col("text"))
-    truncated = (words > 5) & ~F.regexp_like(F.col("text"), F.lit(r"[.?!:;]\z"))
+    cols = [x.lower() for x in LETTERS]
+    words = questions.select(
+        "*", word_count(F.col("text")).alias("stem_words"), *[word_count(F.col(c)).alias(f"_w{c}") for c in cols])
+    plus = lambda terms: " + ".join(f"cast({t} as int)" for t in terms)
+    counted = words.selectExpr(
+        "*",
+        plus(f"{c} <> ''" for c in cols) + " _present",
+        plus(f"({c} <> '' and _w{c} >= {OPTION_WORDS})" for c in cols) + " _good",
+        plus(f"(_w{c} >= 2)" for c in cols) + " useful_options",
+        "stem_words > 5 and not regexp_like(text, '[.?!:;]$') _cut",
+    )
     score = (
-        F.when(words >= STEM_WORDS, STEM_POINTS).otherwise(0)
-        + present * OPTION_POINTS
-        + F.when(good == 5, OPTION_WORDS_POINTS).otherwise(0)
-        - F.when(F.col("requires_source"), SOURCE_PENALTY).otherwise(0)
-        - F.when(truncated, TRUNCATED_PENALTY).otherwise(0)
-        - (5 - present) * MISSING_PENALTY
+        f"if(stem_words >= {STEM_WORDS}, {STEM_POINTS}, 0) + _present * {OPTION_POINTS}"
+        f" + if(_good = 5, {OPTION_WORDS_POINTS}, 0) - if(requires_source, {SOURCE_PENALTY}, 0)"
+        f" - if(_cut, {TRUNCATED_PENALTY}, 0) - (5 - _present) * {MISSING_PENALTY}"
     )
     # Texts of the reasons.
-    reasons = F.array_compact(F.array(
-        F.when(words < STEM_WORDS, F.concat(F.lit("enunciado curto ("), words.cast("string"), F.lit(" palavras)"))),
-        *[F.when(~f, F.lit(f"alternativa {x} vazia")) for f, x in zip(filled, LETTERS)],
-        F.when(good < 3, F.lit("alternativas com poucas palavras")),
-        F.when(F.col("requires_source"), F.lit("requer PDF (imagem detectada)")),
-        F.when(truncated, F.lit("enunciado pode estar truncado")),
-    ))
-    useful = sum(((word_count(o) >= 2).cast("int") for o in options), F.lit(0))
-    return questions.select(
-        "*",
-        F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int").alias("score"),
-        reasons.alias("details"),
-        words.alias("stem_words"),
-        useful.cast("int").alias("useful_options"),
+    reasons = ", ".join([
+        f"if(stem_words < {STEM_WORDS}, concat('enunciado curto (', stem_words, ' palavras)'), null)",
+        *[f"if({x.lower()} = '', 'alternativa {x} vazia', null)" for x in LETTERS],
+        "if(_good < 3, 'alternativas com poucas palavras', null)",
+        "if(requires_source, 'requer PDF (imagem detectada)', null)",
+        "if(_cut, 'enunciado pode estar truncado', null)",
+    ])
+    return counted.selectExpr(
+        *questions.columns,
+        f"cast(greatest(0, least(100, {score})) as int) score",
+        f"array_compact(array({reasons})) details",
+        "stem_words", "useful_options",
     )
 
 
