@@ -235,7 +235,7 @@ def parse_questions_exact(lines: DataFrame, pages: DataFrame | None = None, cfg:
     """D13 exact: acceptance of a number depends on what was confirmed before it.
 
     Labels and splits are made by Spark; Python only follows the sequence. An
-    exam is read by one task, line by line, holding at most its 99 confirmed
+    exam is read by one task, line by line, holding at most its 100 confirmed
     questions; very large exams are what the native mode is for.
     """
     labelled = q.classify_lines(q.strip_scratch(lines)).select(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examlens.config import LAYOUT, Layout
@@ -66,43 +66,50 @@ def tag_zones(fragments: DataFrame, pages: DataFrame, cfg: Layout = LAYOUT) -> D
     )
 
 
-def repeated_zone_text(tagged: DataFrame, pages: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
-    """B2: zone strings that are on most pages of an exam."""
-    counts = (
-        tagged.filter("zone is not null")
-        .select(*PAGE, zone_key(F.col("str")).alias("str_key"))
-        .filter(F.length("str_key") >= 2)
-        .dropDuplicates()
-        .groupBy("exam_id", "str_key")
-        .agg(F.count("*").alias("on_pages"))
-    )
+def _on_most_pages(keys: DataFrame, pages: DataFrame, cfg: Layout) -> DataFrame:
+    """``keys(exam_id, page, str_key)`` without repeats, to the strings on most pages."""
+    counts = keys.filter(F.length("str_key") >= 2).groupBy("exam_id", "str_key").agg(F.count("*").alias("on_pages"))
     total = pages.groupBy("exam_id").agg(F.count("*").alias("n_pages"))
     return counts.join(total, "exam_id").filter(
         (F.col("n_pages") >= 2) & (F.col("on_pages") / F.col("n_pages") >= cfg.repeat_share)
     )
 
 
-def strip_headers_footers(
-    tagged: DataFrame, repeated: DataFrame, pages: DataFrame, keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """Zone fragments that repeat, are page numbers or a single character go.
+def repeated_zone_text(tagged: DataFrame, pages: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
+    """B2: zone strings that are on most pages of an exam."""
+    keys = tagged.filter("zone is not null").select(*PAGE, zone_key(F.col("str")).alias("str_key"))
+    return _on_most_pages(keys.dropDuplicates(), pages, cfg)
+
+
+def _with_repeated(pages: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Pages with the page count and the repeated strings of their exam.
 
-    Repeated strings reach the fragments as one short array per page (each is on
-    most pages, so an exam has no more of them than fit on one), which keeps the
-    fragments in their (exam, page) partitions.
+    Each of those strings is on most pages, so an exam has no more of them than fit on one.
     """
     total = pages.groupBy("exam_id").agg(F.count("*").alias("_n"))
-    per_exam = repeated.groupBy("exam_id").agg(F.collect_set("str_key").alias("_strs"))
-    per_page = pages.select(*PAGE, *keep).join(total, "exam_id").join(per_exam, "exam_id", "left")
-    key = zone_key(F.col("str"))
-    drop = (
+    strings = repeated.groupBy("exam_id").agg(F.collect_set("str_key").alias("_strs"))
+    return pages.join(total, "exam_id").join(strings, "exam_id", "left")
+
+
+def _is_furniture(key: Column) -> Column:
+    """Zone text that repeats, is a page number or a single character."""
+    return (
         F.coalesce(F.array_contains("_strs", key), F.lit(False))
         | F.regexp_like(key, F.lit(r"^[0-9]{1,4}\z"))
         | (F.length(key) <= 1)
     )
+
+
+def strip_headers_footers(tagged: DataFrame, repeated: DataFrame, pages: DataFrame) -> DataFrame:
+    """Furniture in the zones goes, unless the exam has a single page.
+
+    Repeated strings come as one short array per page, which leaves the fragments
+    in their (exam, page) partitions.
+    """
+    per_page = _with_repeated(pages.select(*PAGE), repeated)
     return tagged.join(per_page, PAGE, "left").filter(
-        F.col("zone").isNull() | (F.coalesce("_n", F.lit(0)) < 2) | ~drop
-    ).select(*[c for c in tagged.columns if c != "zone"], *keep)
+        F.col("zone").isNull() | (F.coalesce("_n", F.lit(0)) < 2) | ~_is_furniture(zone_key(F.col("str")))
+    ).select(*[c for c in tagged.columns if c != "zone"])
 
 
 def _bucket(cfg: Layout):
@@ -168,21 +175,13 @@ def _side():
     return F.when(F.col("split_x").isNull(), "single").when(F.col("x") < F.col("split_x"), "left").otherwise("right")
 
 
-def columns_in_place(body: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
-    """B5 and B6 in one pass: each page's fragments are gathered, split and spread again.
-
-    ``body`` carries ``page_width``; a page is one group, so no other shuffle is needed.
-    """
-    columns = [c for c in body.columns if c not in (*PAGE, "page_width")]
-    per_page = body.groupBy(*PAGE, "page_width").agg(F.collect_list(F.struct(*columns)).alias("_fs"))
+def columns_in_place(sheets: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
+    """B5 and B6 on gathered pages ``(exam_id, page, page_width, _fs)``; spreads the fragments again."""
     low, high = _center(cfg)
     last = F.lit(cfg.buckets - 1)
     buckets = F.transform("_fs", lambda f: F.least(F.floor(f["x"] / (F.col("page_width") / cfg.buckets)), last).cast("int"))
-    gathered = per_page.withColumns({
-        "_n": F.size("_fs"), "_bs": F.filter(buckets, lambda b: b.between(low, high)),
-    })
-    spread = _split_x(gathered, cfg).select(*PAGE, "split_x", F.inline("_fs"))
-    return spread.select(*PAGE, *columns, _side().alias("column"))
+    counted = sheets.withColumns({"_n": F.size("_fs"), "_bs": F.filter(buckets, lambda b: b.between(low, high))})
+    return _split_x(counted, cfg).select(*PAGE, "split_x", F.inline("_fs")).withColumn("column", _side()).drop("split_x")
 
 
 def assign_columns(body: DataFrame, layout: DataFrame) -> DataFrame:
@@ -235,10 +234,29 @@ def reading_order(lines: DataFrame) -> DataFrame:
 
 
 def page_lines(fragments: DataFrame, pages: DataFrame, mode: str = "lag", cfg: Layout = LAYOUT) -> DataFrame:
-    """B1 to B8 composed: the lines of every page, not yet numbered over the exam."""
-    tagged = tag_zones(fragments, pages, cfg)
-    body = strip_headers_footers(tagged, repeated_zone_text(tagged, pages, cfg), pages, keep=("page_width",))
-    return build_lines(group_lines(columns_in_place(body, cfg), mode, cfg), cfg)
+    """B1 to B8 composed: the lines of every page, not yet numbered over the exam.
+
+    The fragments are gathered by page, so they are read and shuffled once; the
+    search for repeated strings and the rest both start from that shuffle.
+    """
+    columns = [c for c in fragments.columns if c not in PAGE]
+    placed = fragments.filter("exam_id is not null and page is not null")
+    sheets = placed.groupBy(*PAGE).agg(F.collect_list(F.struct(*columns)).alias("_fs"))
+
+    def in_zone(f: Column) -> Column:
+        rel = f["y"] / F.col("page_height")
+        return F.coalesce((rel < cfg.header_zone) | (rel > 1 - cfg.footer_zone), F.lit(False))
+
+    sizes = pages.select(*PAGE, "page_height", "page_width")
+    zone_keys = F.array_distinct(F.transform(F.filter("_fs", in_zone), lambda f: zone_key(f["str"])))
+    keys = sheets.join(sizes, PAGE).select(*PAGE, F.explode(zone_keys).alias("str_key"))
+    known = _with_repeated(sizes, _on_most_pages(keys, pages, cfg))
+    body = F.filter(
+        "_fs",
+        lambda f: ~in_zone(f) | (F.coalesce("_n", F.lit(0)) < 2) | ~_is_furniture(zone_key(f["str"])),
+    )
+    cleaned = sheets.join(known, PAGE, "left").select(*PAGE, "page_width", body.alias("_fs"))
+    return build_lines(group_lines(columns_in_place(cleaned, cfg), mode, cfg), cfg)
 
 
 def reconstruct_layout(

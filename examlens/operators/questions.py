@@ -3,7 +3,7 @@
 Lines are only ever shuffled by (exam, block of line numbers). What has to
 travel along an exam is small: one summary row per block, which says for every
 state the numbering can be in when the block begins, in which state it ends.
-Numbers have two digits and only grow, so an exam has at most 99 accepted
+Numbers have two digits and only grow, so an exam has at most 100 accepted
 questions (twice that after a restart), and per-exam windows see those rows only.
 
 Two readings of the numbering are kept side by side. Variant ``A`` never accepts
@@ -406,7 +406,7 @@ def drop_weak_lead_block(confirmed: DataFrame, cfg: Parser = PARSER) -> DataFram
     The items finished before a restart were instructions if all confirmed ones
     are consecutive, there are enough of them and they have few useful options.
     The item open at the restart goes with them. The window holds accepted
-    numbers only, so fewer than 200 rows per exam.
+    numbers only, so at most 201 rows per exam.
     """
     w = Window.partitionBy("exam_id")
     d = confirmed.withColumn("open_num", F.max("open_num").over(w))
@@ -433,22 +433,23 @@ def drop_weak_lead_block(confirmed: DataFrame, cfg: Parser = PARSER) -> DataFram
 def parse_candidates(lines: DataFrame, pages: DataFrame | None = None, cfg: Parser = PARSER) -> DataFrame:
     """Every numbered item with score, status and shared text."""
     assembled = assemble_questions(segment_questions(classify_lines(strip_scratch(lines)), cfg))
-    # The shared text of an exam rides along its at most 199 item rows.
+    if pages is None:
+        flagged = assembled.withColumn("requires_source", F.lit(False))
+    else:
+        flagged = flag_requires_source(assembled, pages, cfg)
+    # From here on rows stay with their exam: the shared text rides along its at most 201 rows.
     w = Window.partitionBy("exam_id")
     named = F.when(F.col("first").isNotNull(), F.concat_ws("-", F.lit("shared"), "first", "last")).otherwise(
         F.concat(F.lit("shared-pre-"), F.col("first_line")))
     base = F.max(F.when(F.col("num") == -1, F.struct("first", "last", named.alias("id"), F.col("text").alias("text")))).over(w)
     covered = F.col("num").between(F.col("_s")["first"], F.col("_s")["last"])
-    items = assembled.withColumn("_s", base).filter("num >= 0").select(
+    items = flagged.withColumn("_s", base).filter("num >= 0").select(
         "exam_id", "variant", "num", "page", "first_line", "open_num", "text",
         *[x.lower() for x in LETTERS],
         F.when(covered, F.col("_s")["id"]).alias("shared_id"),
         F.when(covered, F.col("_s")["text"]).alias("context_text"),
+        "requires_source",
     )
-    if pages is None:
-        items = items.withColumn("requires_source", F.lit(False))
-    else:
-        items = flag_requires_source(items, pages, cfg)
     return drop_weak_lead_block(confirm_questions(confidence_score(items), cfg), cfg)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from examlens.config import LAYOUT, PARSER, QUALITY, Layout, Parser, Quality
 from examlens.functions.text import trimmed
 from examlens.operators import enrich, keys, layout, quality, questions
+from examlens.sources.sinks import materialize
 
 # Fixed value: error of an exam that yields no usable question.
 NO_QUESTIONS = "ZERO_VALID_QUESTIONS"
@@ -18,9 +19,11 @@ def parsed_rows(
     layout_cfg: Layout = LAYOUT, parser_cfg: Parser = PARSER,
 ) -> DataFrame:
     """Fragments of the wanted pages to question rows with their score."""
-    frags = layout.clip_page_range(fragments, pages, exams)
-    seen = layout.clip_page_range(pages, pages, exams)
-    lines = layout.reconstruct_layout(frags, seen, cfg=layout_cfg).select("exam_id", "page", "line_no", "text")
+    # The page table is joined at several steps, the lines are read for numbers and for text.
+    seen = materialize(layout.clip_page_range(pages, pages, exams), "pages")
+    wanted = fragments.join(seen.select("exam_id", "page"), ["exam_id", "page"], "left_semi")
+    lines = layout.reconstruct_layout(wanted, seen, cfg=layout_cfg).select("exam_id", "page", "line_no", "text")
+    lines = materialize(lines, "numbered")
     parsed = questions.parse_questions(lines, seen, cfg=parser_cfg)
     return enrich.to_question_rows(parsed.withColumn("explicit_answer", F.lit(None).cast("string")).withColumn(
         "subject", F.lit(None).cast("string")))

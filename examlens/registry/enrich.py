@@ -13,6 +13,7 @@ from examlens.registry import keys as rk
 from examlens.registry import layout as rl
 from examlens.registry import questions as rq
 from examlens.registry.fixtures import table, view, with_views
+from examlens.sources.sinks import materialize
 
 
 def _q(s, d):
@@ -75,7 +76,7 @@ def _health(s, d):
         "used_path": F.when(F.col("tier") == "fastpath", "fastpath").otherwise("docling"),
         "duration_ms": F.col("exam_id") * 10, "cost_usd": F.lit(0.0)})
     h = ql.parsing_health(g)
-    return h.select("exam_id", "health", "parsing_log.*").drop("v").withColumn("v", F.lit(1)) if False else h.select(
+    return h.select(
         "exam_id", "tier", "parsing_log.health", "parsing_log.questionsExtracted", "parsing_log.questionsExpected",
         "parsing_log.durationMs", "parsing_log.tierUsed", "parsing_log.fallbackReason")
 
@@ -121,7 +122,7 @@ def extract(s, d):
 
 def outcomes(s, d):
     fr, pg, kl, ex = _extract_inputs(s, d)
-    rows = px.parsed_rows(fr, pg, ex)
+    rows = materialize(px.parsed_rows(fr, pg, ex), "rows")
     answers = rk.k.parse_answer_keys(kl, ex.filter("has_key"))
     stored = e.clean_questions(px.gate_rows(rows).filter("tier = 'fastpath'"))
     return px.exam_outcomes(rows, stored, answers, ex)

@@ -35,7 +35,8 @@ def test_in_place_columns_agree(spark):
             for p in range(1, 9) for i in range(60)]
     df, pg = spark.createDataFrame(rows, FRAG), page(spark, 8)
     apart = y.assign_columns(df, y.detect_columns(df, pg))
-    inplace = y.columns_in_place(df.join(pg.select("exam_id", "page", "page_width"), ["exam_id", "page"]))
+    sheets = df.groupBy("exam_id", "page").agg(F.collect_list(F.struct("str", "x", "y", "width", "font_size")).alias("_fs"))
+    inplace = y.columns_in_place(sheets.join(pg.select("exam_id", "page", "page_width"), ["exam_id", "page"]))
     assert sorted(apart.collect()) == sorted(inplace.select(*apart.columns).collect())
 
 
