@@ -34,6 +34,8 @@ class Parser:
     # Lines of one exam are worked on in ranges of this many line numbers, so
     # that a very long exam is spread over many tasks.
     block_lines: int = 4096
+    # Summaries of that many blocks are chained in one task.
+    group_blocks: int = 4096
 
 
 @dataclass(frozen=True)

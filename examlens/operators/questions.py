@@ -158,6 +158,30 @@ def _only_initial(hits: str, initial: int, low: int) -> str:
     )
 
 
+def _composed(table: str) -> str:
+    """Summary of a group of blocks: their tables applied one after the other."""
+    nxt = f"get(b.{table}, cast(x % {_LINE} as int))"
+    return (
+        f"aggregate(slice(bs, 2, size(bs)), bs[0].{table}, (t, b) -> transform(t, x ->"
+        f" if({nxt} >= {_LINE}, {nxt}, x - x % {_LINE} + {nxt})))"
+    )
+
+
+def _chained(in_a: str, line_a: str, in_r: str, line_r: str, in_opt: str) -> str:
+    """What carries into each of the ordered summaries ``bs``, given what carries into the first."""
+    opt_type = "struct<line_no:int,letter:string,k:int>"
+    entry_type = f"struct<at:bigint,in_a:int,line_a:bigint,in_r:int,line_r:bigint,in_opt:{opt_type}>"
+    a, r = "get(b.ta, acc.sa + 1)", "get(b.tr, acc.sr)"
+    return f"""aggregate(bs,
+      named_struct('sa', {in_a}, 'la', {line_a}, 'sr', {in_r}, 'lr', {line_r}, 'opt', cast({in_opt} as {opt_type}), 'out', cast(array() as array<{entry_type}>)),
+      (acc, b) -> named_struct(
+        'sa', cast({a} % {_LINE} - 1 as int), 'la', if({a} >= {_LINE}, {a} div {_LINE} - 1, acc.la),
+        'sr', cast({r} % {_LINE} as int), 'lr', if({r} >= {_LINE}, {r} div {_LINE} - 1, acc.lr),
+        'opt', coalesce(b.opt, acc.opt),
+        'out', concat(acc.out, array(named_struct('at', b.at, 'in_a', acc.sa, 'line_a', acc.la,
+          'in_r', acc.sr, 'line_r', acc.lr, 'in_opt', acc.opt))))).out"""
+
+
 _IS_NUMBER = "kind in ('alone', 'start')"
 _SPACES_SQL = "".join(f"\\u{ord(c):04x}" for c in SPACES)
 
@@ -197,24 +221,32 @@ def _block_numbers(classified: DataFrame, cfg: Parser) -> DataFrame:
         F.expr(f"case when _block = 0 then {_only_initial('ha', -1, -1)} else {_summary(-1, 99, _step, cfg)} end").alias("ta"),
         F.expr(f"case when _block = 0 then {_only_initial('hr', 0, 0)} else {_summary(0, _STATES_R - 1, _step_r, cfg)} end").alias("tr"),
     )
-    opt_type = "struct<line_no:int,letter:string,k:int>"
-    entry_type = f"struct<_block:int,in_a:int,line_a:bigint,in_r:int,line_r:bigint,in_opt:{opt_type}>"
-    a, r = "get(b.ta, acc.sa + 1)", "get(b.tr, acc.sr)"
-    entering = (
-        summaries.groupBy("exam_id")
+    # Blocks are chained inside groups of blocks, and groups inside the exam, so
+    # that no list grows with the exam beyond what two levels hold.
+    groups = (
+        summaries.withColumn("_group", F.expr(f"_block div {cfg.group_blocks}"))
+        .groupBy("exam_id", "_group")
         .agg(
-            F.array_sort(F.collect_list(F.struct("_block", "ta", "tr", "opt"))).alias("bs"),
-            F.min("shared_line").alias("shared_line"),
+            F.expr("array_sort(collect_list(struct(cast(_block as bigint) as at, ta, tr, opt, shared_line)))").alias("bs"),
         )
-        .select("exam_id", "shared_line", F.expr(
-            f"""inline(aggregate(bs,
-             named_struct('sa', -1, 'la', -1L, 'sr', 0, 'lr', -1L, 'opt', cast(null as {opt_type}), 'out', cast(array() as array<{entry_type}>)),
-             (acc, b) -> named_struct(
-               'sa', cast({a} % {_LINE} - 1 as int), 'la', if({a} >= {_LINE}, {a} div {_LINE} - 1, acc.la),
-               'sr', cast({r} % {_LINE} as int), 'lr', if({r} >= {_LINE}, {r} div {_LINE} - 1, acc.lr),
-               'opt', coalesce(b.opt, acc.opt),
-               'out', concat(acc.out, array(named_struct('_block', b._block, 'in_a', acc.sa, 'line_a', acc.la,
-                 'in_r', acc.sr, 'line_r', acc.lr, 'in_opt', acc.opt))))).out)"""))
+    )
+    whole = groups.select(
+        "exam_id",
+        F.expr(f"struct(_group as at, {_composed('ta')} as ta, {_composed('tr')} as tr,"
+               " try_element_at(filter(bs, b -> b.opt is not null), -1).opt as opt,"
+               " array_min(transform(bs, b -> b.shared_line)) as shared_line)").alias("g"),
+    )
+    at_groups = (
+        whole.groupBy("exam_id").agg(F.array_sort(F.collect_list("g")).alias("bs"))
+        .select(
+            "exam_id", F.expr("array_min(transform(bs, b -> b.shared_line))").alias("shared_line"),
+            F.expr(f"inline({_chained('-1', '-1L', '0', '-1L', 'null')})"))
+        .withColumnRenamed("at", "_group")
+    )
+    entering = (
+        groups.join(at_groups, ["exam_id", "_group"])
+        .select("exam_id", "shared_line", F.expr(f"inline({_chained('in_a', 'line_a', 'in_r', 'line_r', 'in_opt')})"))
+        .withColumn("_block", F.col("at").cast("int")).drop("at")
     )
     return blocks.select("exam_id", "_block", "cands").join(entering, ["exam_id", "_block"]).select(
         "exam_id", "_block", "shared_line", "in_a", "line_a", "in_r", "line_r", "in_opt",

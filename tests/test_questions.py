@@ -122,12 +122,13 @@ def test_blocks_do_not_change_the_result(spark, sf_dir, block):
     ls, pg = view(spark, sf_dir, "fx_lines_x"), view(spark, sf_dir, "fx_pages")
     rows = lambda cfg: sorted(map(repr, q.parse_candidates(ls, pg, cfg).collect()))
     assert rows(replace(PARSER, block_lines=block)) == rows(PARSER)
+    assert rows(replace(PARSER, block_lines=block, group_blocks=3)) == rows(PARSER)
 
 
 def test_one_exam_of_many_blocks(spark):
     """Numbering, open question and option all carry over block borders."""
     ls = [x for n in range(1, 60) for x in question(n)]
-    one = q.parse_questions(lines(spark, ls), cfg=replace(PARSER, block_lines=4)).orderBy("num").collect()
+    one = q.parse_questions(lines(spark, ls), cfg=replace(PARSER, block_lines=4, group_blocks=5)).orderBy("num").collect()
     assert [r.num for r in one] == list(range(1, 60)) and {r.score for r in one} == {100}
 
 
@@ -146,5 +147,5 @@ def test_gate_against_a_plain_loop(spark):
         return ok
 
     want = {(e, i): v for e, ls in enumerate(exams) for i, v in enumerate(gate([int(x.split(".")[0]) for x in ls]))}
-    got = q.sequence_gate(q.classify_lines(lines(spark, *exams)), cfg=replace(PARSER, block_lines=6)).collect()
+    got = q.sequence_gate(q.classify_lines(lines(spark, *exams)), cfg=replace(PARSER, block_lines=3, group_blocks=4)).collect()
     assert {(r.exam_id, r.line_no): r.accepted for r in got} == want
