@@ -223,8 +223,9 @@ def _block_numbers(classified: DataFrame, cfg: Parser) -> DataFrame:
     )
     # Blocks are chained inside groups of blocks, and groups inside the exam, so
     # that no list grows with the exam beyond what two levels hold.
+    # (``_group`` is never null, so no filter is pushed that would tell the uses of ``blocks`` apart.)
     groups = (
-        summaries.withColumn("_group", F.expr(f"_block div {cfg.group_blocks}"))
+        summaries.withColumn("_group", F.expr(f"coalesce(_block div {cfg.group_blocks}, -1L)"))
         .groupBy("exam_id", "_group")
         .agg(
             F.expr("array_sort(collect_list(struct(cast(_block as bigint) as at, ta, tr, opt, shared_line)))").alias("bs"),
