@@ -73,7 +73,7 @@ def _health(s, d):
     g = ql.route_exams(_gated(s, d)).join(ql.questions_expected(_info(s, d), _keys(s, d)), "exam_id")
     g = g.withColumn("inserted", F.when(F.col("exam_id") % 13 == 0, F.lit(0).cast("bigint")).otherwise(F.col("questions")))
     g = g.withColumns({
-        "used_path": F.when(F.col("tier") == "fastpath", "fastpath").otherwise("docling"),
+        "used_path": F.when(F.col("tier") == "fastpath", "fastpath").otherwise("reader"),
         "duration_ms": F.col("exam_id") * 10, "cost_usd": F.lit(0.0)})
     h = ql.parsing_health(g)
     return h.select(
@@ -232,7 +232,7 @@ ORACLES = {
  left join (select exam_id, count(*) a from final where not annulled and exam_id%10<>4 group by exam_id) k on k.exam_id=i.exam_id left join (select exam_id, count(*) q, count(*) filter (where key_matched) m from ({_KEYED}) group by exam_id) x on x.exam_id=i.exam_id where i.has_key"""),
     "questions_expected": with_views(*rk.STEPS, "select i.exam_id, case when has_key then (select count(*) from final f where f.exam_id=i.exam_id and not annulled) end questions_expected from fx_exam_info i"),
     "parsing_health": with_views(*rk.STEPS, ("conf", _CONF), ("gated", _GATED), """select exam_id, tier, case when tier='fastpath' then 'healthy' when ins=0 then 'poor' when acceptable then 'healthy' else 'degraded' end health, ins "questionsExtracted", expected "questionsExpected", exam_id*10 "durationMs",
- case when tier='fastpath' then 'fastpath' else 'docling' end "tierUsed", case when tier<>'fastpath' then reason end "fallbackReason" from (select g.*, case when acceptable then 'fastpath' else 'fallback' end tier, case when g.exam_id%13=0 then 0 else g.questions end ins, case when i.has_key then (select count(*) from final f where f.exam_id=g.exam_id and not annulled) end expected from gated g join fx_exam_info i on i.exam_id=g.exam_id) t"""),
+ case when tier='fastpath' then 'fastpath' else 'reader' end "tierUsed", case when tier<>'fastpath' then reason end "fallbackReason" from (select g.*, case when acceptable then 'fastpath' else 'fallback' end tier, case when g.exam_id%13=0 then 0 else g.questions end ins, case when i.has_key then (select count(*) from final f where f.exam_id=g.exam_id and not annulled) end expected from gated g join fx_exam_info i on i.exam_id=g.exam_id) t"""),
     "error_category": with_views(("msg", _MSG), f"select doc_id, case when m='ZERO_VALID_QUESTIONS' then '{t.MSG_NONE_FOUND}' when lower(m) like '%pdf%' or lower(m) like '%parser%' or contains(lower(m),'pipeline_') or lower(m) like '%pipeline input%' then '{t.MSG_UNPROCESSABLE}' when length(m)>220 then substr(m,1,217)||'...' else m end user_message from msg"),
     "advance_status": with_views(("ev", _EVENTS), _STATUS),
     "page_offset": with_views("select exam_id, min_by(source_page,q_order) page_offset from fx_questions group by exam_id"),
