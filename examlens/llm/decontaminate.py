@@ -33,21 +33,26 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), 0), lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, spec: SeedSpec, keep: list[str]) -> DataFrame:
-    """One row per place and mask: the columns to keep, at, seed."""
-    placed = rows.where(F.size("words") >= spec.span).select(*keep, "words", F.explode(F.sequence(F.lit(0), F.size("words") - spec.span)).alias("at"))
-    seed = lambda i, m: F.xxhash64(F.lit(i), *[F.get("words", F.col("at") + j) for j in m])
-    return placed.select("*", F.explode(F.array(*[seed(i, m) for i, m in enumerate(spec.masks)])).alias("seed"))
-
-
-def best_window(doc: Column, item: Column, shift: Column, at: Column, spec: SeedSpec) -> Column:
-    """Most words that agree in one window over the hit; `shift` lays item place 0 on the document, `at` is the hit in the item."""
-    n = F.least(F.size(item), F.lit(spec.window))
-    lo = F.greatest(at + spec.span - n, F.lit(0))
-    hi = F.least(at, F.size(item) - n)  # first and last start of a window that holds the hit
-    same = lambda j: (F.coalesce(F.get(item, j) == F.get(doc, j + shift), F.lit(False)) & (j + shift >= 0)).cast("int")
-    agree = F.transform(F.sequence(lo, hi + n - 1), same)
-    sums = lambda agree: F.transform(F.sequence(F.lit(1), F.size(agree) - n + 1), lambda s: F.aggregate(F.slice(agree, s, n), F.lit(0), lambda a, x: a + x))
+def _seeds(rows: DataFrame, spec: SeedSpec, keep: list[str], gap: int) -> DataFrame:
+    """One row per place and mask: the columns to keep, at, seed and the words `around` the place.
+
+    `around` holds the words of every window that covers the seed, with `gap` where the text has none;
+    the text itself stays behind, however long it is.
+    """
+    more = spec.window - spec.span
+    blank = F.array_repeat(F.lit(gap).cast("long"), more)
+    padded = rows.withColumn("words", F.concat(blank, "words", blank))
+    last = F.size("words") - 2 * more - spec.span
+    placed = padded.select(*keep, "words", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))  # a filter would split the text twice
+    seed = lambda i, m: F.xxhash64(F.lit(i), *[F.get("words", F.col("at") + more + j) for j in m])
+    around = F.slice("words", F.col("at") + 1, F.lit(spec.window + more))
+    return placed.select(*keep, "at", around.alias("around"), F.explode(F.array(*[seed(i, m) for i, m in enumerate(spec.masks)])).alias("seed"))
+
+
+def best_window(doc: Column, item: Column, first: Column, last: Column, n: Column) -> Column:
+    """Most words that agree in a window of n words that starts at first .. last, of two equally long arrays."""
+    agree = F.zip_with(doc, item, lambda a, b: (a == b).cast("int"))
+    sums = lambda agree: F.transform(F.sequence(first, last), lambda s: F.aggregate(F.slice(agree, s + 1, n), F.lit(0), lambda a, x: a + x))
     return F.array_max(F.transform(F.array(agree), sums)[0])
 
 
@@ -66,19 +71,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, spec: SeedSpec = SeedSpec()) ->
     items = stage(benchmark.select("item_id", token_hashes(F.col("text")).alias("words")).where(F.size("words") >= spec.span), "items")
     items = items.withColumn("part", F.pmod(F.xxhash64("words"), F.lit(1 << 20)))
     total = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    more = spec.window - spec.span
     chunks = max(1, -(-total // spec.chunk_words))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), token_hashes(F.col("text")).alias("words"))
     found = None
     for c in range(chunks):
         part = items.where(F.pmod("part", F.lit(chunks)) == c).select("item_id", "words")
-        keyed = _seeds(part, spec, ["item_id"]).select("item_id", F.col("words").alias("item"), F.col("at").alias("item_at"), "seed")
+        keyed = _seeds(part.withColumn("n", F.size("words")), spec, ["item_id", "n"], -1).select("item_id", "n", F.col("at").alias("item_at"), F.col("around").alias("item"), "seed")
         # A chunk has about chunk_words seeds for each mask, whatever the size of the benchmark.
-        hits = _seeds(rows, spec, ["doc_id", "text_hash"]).join(F.broadcast(keyed), "seed")
-        matches = best_window(F.col("words"), F.col("item"), F.col("at") - F.col("item_at"), F.col("item_at"), spec)
-        hits = hits.select("doc_id", "text_hash", "item_id", F.least(F.size("item"), F.lit(spec.window)).alias("n"), matches.alias("matches"))
+        hits = _seeds(rows, spec, ["doc_id", "text_hash"], 0).join(F.broadcast(keyed), "seed")
+        n = F.least("n", F.lit(spec.window))
+        first = F.greatest(F.lit(0), F.lit(more) - F.col("item_at"))
+        last = F.least(F.lit(more), F.col("n") - n + more - F.col("item_at"))
+        matches = best_window(F.col("around"), F.col("item"), first, last, n)
+        hits = hits.select("doc_id", "text_hash", "item_id", n.alias("words"), matches.alias("matches"))
         found = hits if found is None else found.union(hits)
-    good = found.where(F.col("matches") >= F.ceil(F.col("n") * spec.share))
-    return good.groupBy("doc_id", "text_hash", "item_id").agg(F.max("n").alias("words"), F.max("matches").alias("matches"))
+    # The filter stands behind the aggregate: in the join's condition it would keep the join out of generated code.
+    best = found.groupBy("doc_id", "text_hash", "item_id", "words").agg(F.max("matches").alias("matches"))
+    return best.where(F.col("matches") >= F.ceil(F.col("words") * spec.share))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, spec: SeedSpec = SeedSpec()) -> DataFrame:
