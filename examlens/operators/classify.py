@@ -43,22 +43,32 @@ def batch_payload(batches: DataFrame, instructions: str = INSTRUCTIONS) -> DataF
 
 
 def parse_classifications(responses: DataFrame) -> DataFrame:
-    """Valid items of each response, or the reason why there are none."""
-    parsed = F.from_json("response", ITEMS)["items"]
-    valid = F.filter(
-        parsed,
-        lambda i: i["index"].isNotNull() & (i["index"] == F.floor(i["index"]))
-        & (trimmed(F.coalesce(i["subject"], F.lit(""))) != "")
-        & (trimmed(F.coalesce(i["topic"], F.lit(""))) != "")
-        & F.coalesce(i["difficulty"].isin(*DIFFICULTIES), F.lit(False)),
-    )
-    items = F.transform(valid, lambda i: F.struct(
-        i["index"].cast("int").alias("index"), trimmed(i["subject"]).alias("subject"),
-        trimmed(i["topic"]).alias("topic"), i["difficulty"].alias("difficulty"),
-        trimmed(i["cognitive_level"]).alias("cognitive_level")))
-    error = F.when(F.try_parse_json("response").isNull(), "CLASSIFICATION_INVALID_JSON").when(
+    """Valid items of each response, or the reason why there are none.
+
+    An item is valid if it is an object with an integer index, texts that aren't
+    blank as subject and topic, and one of the difficulties; others are left out.
+    """
+    doc = F.try_parse_json("response")
+    raw = F.try_variant_get(doc, "$.items", "array<variant>")
+
+    def field(i: Column, name: str) -> Column:
+        return F.try_variant_get(i, f"$.{name}", "variant")
+
+    def text(i: Column, name: str) -> Column:
+        return F.when(F.schema_of_variant(field(i, name)) == "STRING", trimmed(F.try_variant_get(i, f"$.{name}", "string")))
+
+    def whole(i: Column) -> Column:
+        kind, n = F.schema_of_variant(field(i, "index")), F.try_variant_get(i, "$.index", "double")
+        return F.when(kind.rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))$") & (n == F.floor(n)) & n.between(-(2**31), 2**31 - 1), n.cast("int"))
+
+    items = F.transform(raw, lambda i: F.struct(
+        whole(i).alias("index"), text(i, "subject").alias("subject"), text(i, "topic").alias("topic"),
+        F.when(F.schema_of_variant(field(i, "difficulty")) == "STRING", F.try_variant_get(i, "$.difficulty", "string")).alias("difficulty"),
+        text(i, "cognitive_level").alias("cognitive_level")))
+    valid = F.filter(items, lambda i: i["index"].isNotNull() & (F.length(i["subject"]) > 0) & (F.length(i["topic"]) > 0) & F.coalesce(i["difficulty"].isin(*DIFFICULTIES), F.lit(False)))
+    error = F.when(F.col("_doc").isNull(), "CLASSIFICATION_INVALID_JSON").when(
         F.coalesce(F.size("items"), F.lit(0)) < 1, "CLASSIFICATION_INVALID_SCHEMA")
-    return responses.withColumn("items", items).withColumn("error", error)
+    return responses.withColumns({"_doc": doc, "items": valid}).withColumn("error", error).drop("_doc")
 
 
 def classification_items(parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -136,42 +146,58 @@ def apply_classifications(questions: DataFrame, patches: DataFrame, failed: Data
     return d.select(*rest, *[new(c).alias(c) for c in ("subject", "topic", "difficulty")], status.alias("classification_status"))
 
 
+def _valid_item(item: object) -> bool:
+    """The rule of ``parse_classifications``."""
+    if not isinstance(item, dict):
+        return False
+    index = item.get("index")
+    whole = isinstance(index, (int, float)) and not isinstance(index, bool) and index == index // 1
+    return whole and item.get("difficulty") in DIFFICULTIES and all(
+        isinstance(item.get(k), str) and item[k].strip() for k in ("subject", "topic"))
+
+
 def _is_schema_error(response: str | None) -> bool:
     try:
         node = json.loads(response or "")
     except ValueError:
         return True
     items = node.get("items") if isinstance(node, dict) else None
-    return not isinstance(items, list) or not any(
-        isinstance(i, dict) and isinstance(i.get("index"), int) and i.get("difficulty") in DIFFICULTIES
-        and str(i.get("subject") or "").strip() and str(i.get("topic") or "").strip()
-        for i in items
-    )
+    return not isinstance(items, list) or not any(map(_valid_item, items))
 
 
-def classify_with(payload: DataFrame, fn: Callable[[str], str], max_retries: int = CLASSIFICATION.max_retries) -> DataFrame:
+def classify_with(
+    payload: DataFrame, fn: Callable[[str], str | tuple[str, int, int]], max_retries: int = CLASSIFICATION.max_retries
+) -> DataFrame:
     """The user's model called once per batch, in the tasks that hold the batches.
 
-    A response without valid items is asked for again up to ``max_retries``
-    times; ``TimeoutError`` gives the batch up. Parse the result with G4.
+    ``fn`` returns the response, or it with the tokens of prompt and answer; the
+    tokens of all attempts add up. A response without valid items is asked for
+    again up to ``max_retries`` times; ``TimeoutError`` gives the batch up, any
+    other exception is noted as its error and leaves its questions to single
+    retries. Parse the result with G4.
     """
 
-    def call(prompt: str) -> tuple[str | None, bool, int]:
-        response = None
+    def call(prompt: str) -> tuple[str | None, bool, int, str | None, int, int]:
+        response, spent = None, [0, 0]
         for attempt in range(1, max_retries + 2):
             try:
-                response = fn(prompt)
+                answer = fn(prompt)
             except TimeoutError:
-                return None, True, attempt
+                return None, True, attempt, "TIMEOUT", *spent
+            except Exception as e:  # the model is the user's: whatever it raises concerns this batch alone
+                return None, False, attempt, f"{type(e).__name__}: {e}", *spent
+            response, *tokens = answer if isinstance(answer, tuple) else (answer, 0, 0)
+            spent = [a + b for a, b in zip(spent, tokens, strict=True)]
             if not _is_schema_error(response):
                 break
-        return response, False, attempt
+        return response, False, attempt, None, *spent
+
+    columns = ["response", "timed_out", "attempts", "error", "prompt_tokens", "response_tokens"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = [call(p) for p in f["prompt"]]
-            yield f[["exam_id", "batch_no"]].assign(
-                response=[o[0] for o in out], timed_out=[o[1] for o in out], attempts=[o[2] for o in out])
+            out = pd.DataFrame([call(p) for p in f["prompt"]], columns=columns, index=f.index)
+            yield pd.concat([f[["exam_id", "batch_no"]], out], axis=1)
 
     return payload.select("exam_id", "batch_no", "prompt").mapInPandas(
-        run, "exam_id bigint, batch_no int, response string, timed_out boolean, attempts int")
+        run, "exam_id bigint, batch_no int, response string, timed_out boolean, attempts int, error string, prompt_tokens bigint, response_tokens bigint")

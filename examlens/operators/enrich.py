@@ -108,8 +108,8 @@ def subject_roster(questions: DataFrame, exams: DataFrame, overrides: DataFrame)
 
 def template_catalog(uploads: DataFrame) -> DataFrame:
     """The templates, with how many of the given uploads name them."""
-    used = uploads.groupBy("template_id").agg(F.count("*").alias("uploads"))
-    return F.broadcast(templates(uploads.sparkSession)).join(used, "template_id", "left").select(
+    used = with_known_template(uploads).groupBy("template_id").agg(F.count("*").alias("uploads"))  # four rows at most
+    return templates(uploads.sparkSession).join(F.broadcast(used), "template_id", "left").select(
         "template_id", "label", "board", "total_questions", F.coalesce("uploads", F.lit(0)).alias("uploads")
     )
 

@@ -1,7 +1,7 @@
-"""Sequential variants of two operators whose state depends on their own output.
+"""The sequential variant of the parser, whose state depends on its own output.
 
-Both run over sorted partitions and carry the state from one Arrow batch to the
-next, so memory holds one open question or line and never a whole group.
+It runs over sorted partitions and carries the state from one Arrow batch to the
+next, so memory holds one open question and never a whole group.
 """
 
 from __future__ import annotations
@@ -12,31 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from examlens.config import LAYOUT, PARSER, Layout, Parser
+from examlens.config import PARSER, Parser
 from examlens.functions.text import LETTERS, extract
 from examlens.operators import questions as q
 
 
-def group_lines_exact(columned: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
-    """B7 exact: the tolerance follows the mean font of the line so far."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ordinal, last_y, fonts, n = None, 0, 0.0, 0.0, 0
-        for f in frames:
-            out = []
-            for k, y, font in zip(zip(f["exam_id"], f["page"], f["column"]), f["y"], f["font_size"]):
-                if k != key:
-                    key, ordinal, fonts, n = k, 0, 0.0, 0
-                elif abs(y - last_y) > max(fonts / n * cfg.line_y_factor, cfg.line_y_floor):
-                    ordinal, fonts, n = ordinal + 1, 0.0, 0
-                last_y, fonts, n = y, fonts + font, n + 1
-                out.append(ordinal)
-            yield f.assign(line_ord=pd.Series(out, index=f.index, dtype="int32"))
-
-    ordered = columned.repartition("exam_id", "page").sortWithinPartitions("exam_id", "page", "column", "y", "x", "str")
-    return ordered.mapInPandas(run, columned.withColumn("line_ord", F.lit(0)).schema)
-
-
 class _Exam:
     """Reads the labelled lines of one exam; every line is a dict of ``classify_lines`` columns."""
 

@@ -131,7 +131,7 @@ def _center(cfg: Layout) -> tuple[int, int]:
 
 
 def _split_x(per_page: DataFrame, cfg: Layout) -> DataFrame:
-    """Split position from ``_n`` fragments and their buckets ``_bs``, null for one column.
+    """Split position from ``_n`` fragments and the counts ``_bs`` of the central buckets, null for one column.
 
     The central buckets become a string with ``1`` where a bucket is sparse; the
     gap is its longest run of ones, the last one on a tie.
@@ -139,13 +139,7 @@ def _split_x(per_page: DataFrame, cfg: Layout) -> DataFrame:
     low, high = _center(cfg)
     width = math.floor(cfg.gap_width_share * cfg.buckets)
     allowed = F.ceil(F.lit(cfg.gap_density) * F.col("_n"))
-    sparse = F.array_join(
-        F.transform(
-            F.sequence(F.lit(low), F.lit(high)),
-            lambda b: F.when(F.size(F.filter("_bs", lambda x: x == b)) <= allowed, "1").otherwise("0"),
-        ),
-        "",
-    )
+    sparse = F.array_join(F.transform("_bs", lambda n: F.when(n <= allowed, "1").otherwise("0")), "")
     best = F.array_max(F.transform(F.regexp_extract_all("_s", F.lit("1+"), 0), lambda r: F.length(r)))
     end = F.lit(high) - F.instr(F.reverse("_s"), F.repeat(F.lit("1"), F.col("_w"))) + 1
     middle = (end + end - F.col("_w") + 1) / 2
@@ -161,10 +155,10 @@ def _split_x(per_page: DataFrame, cfg: Layout) -> DataFrame:
 def detect_columns(body: DataFrame, pages: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
     """Pages with a wide, sparse gap near the middle have two columns."""
     sizes = pages.select(*PAGE, "page_width")
-    b = _bucket(cfg)
-    per_page = body.join(sizes, PAGE).groupBy(*PAGE, "page_width").agg(
-        F.count("*").alias("_n"), F.collect_list(F.when(b.between(*_center(cfg)), b)).alias("_bs")
-    )
+    low, high = _center(cfg)
+    placed = body.join(sizes, PAGE).withColumn("_b", _bucket(cfg))
+    counts = [F.count_if(F.col("_b") == b) for b in range(low, high + 1)]
+    per_page = placed.groupBy(*PAGE, "page_width").agg(F.count("*").alias("_n"), F.array(*counts).alias("_bs"))
     found = _split_x(per_page, cfg).select(*PAGE, "split_x")
     return sizes.join(found, PAGE, "left").select(
         *PAGE, F.col("split_x").isNotNull().alias("double_column"), "split_x", "page_width"
@@ -180,7 +174,11 @@ def columns_in_place(sheets: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
     low, high = _center(cfg)
     last = F.lit(cfg.buckets - 1)
     buckets = F.transform("_fs", lambda f: F.least(F.floor(f["x"] / (F.col("page_width") / cfg.buckets)), last).cast("int"))
-    counted = sheets.withColumns({"_n": F.size("_fs"), "_bs": F.filter(buckets, lambda b: b.between(low, high))})
+    # One pass over the fragments: the sorted central buckets, of which each count is a difference of two places.
+    central = F.array_sort(F.filter(buckets, lambda b: b.between(low, high)))
+    counted = sheets.withColumns({"_n": F.size("_fs"), "_cs": F.array_join(F.transform(central, lambda b: F.chr(b + 1)), "")})
+    counts = F.array(*[F.length("_cs") - F.length(F.translate("_cs", chr(b + 1), "")) for b in range(low, high + 1)])
+    counted = counted.withColumn("_bs", counts).drop("_cs")
     return _split_x(counted, cfg).select(*PAGE, "split_x", F.inline("_fs")).withColumn("column", _side()).drop("split_x")
 
 
@@ -192,23 +190,34 @@ def assign_columns(body: DataFrame, layout: DataFrame) -> DataFrame:
     )
 
 
-def group_lines(columned: DataFrame, mode: str = "lag", cfg: Layout = LAYOUT) -> DataFrame:
+def _line_numbers(fragments: Column, cfg: Layout) -> Column:
+    """Ordinals of the text lines of fragments ordered by place: a fragment joins the line
+    if it is near the last one, measured by the mean font of the line so far."""
+    state = "struct<y: double, fonts: double, n: int, line: int, out: array<int>>"
+
+    def step(acc: Column, f: Column) -> Column:
+        far = (acc["n"] > 0) & (F.abs(f["y"] - acc["y"]) > F.greatest(acc["fonts"] / F.nullif(acc["n"], F.lit(0)) * cfg.line_y_factor, F.lit(cfg.line_y_floor)))
+        line = acc["line"] + far.cast("int")
+        return F.struct(
+            f["y"].alias("y"), (F.when(far, 0.0).otherwise(acc["fonts"]) + f["font_size"]).alias("fonts"),
+            (F.when(far, 0).otherwise(acc["n"]) + 1).alias("n"), line.alias("line"), F.concat(acc["out"], F.array(line)).alias("out"),
+        ).cast(state)
+
+    start = F.struct(F.lit(0.0).alias("y"), F.lit(0.0).alias("fonts"), F.lit(0).alias("n"), F.lit(0).alias("line"), F.array().cast("array<int>").alias("out")).cast(state)
+    return F.aggregate(fragments, start, step)["out"]
+
+
+def group_lines(columned: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
     """Number of the text line within (page, column).
 
-    ``lag`` compares with the previous fragment's font; ``exact`` with the mean
-    font of the line so far, which needs a sequential pass over the page.
+    The tolerance follows the mean font of the line so far, so it is a fold over
+    the column's fragments from top to bottom; a page is what the task holds.
     """
-    if mode == "exact":
-        from examlens.operators.exact import group_lines_exact
-
-        return group_lines_exact(columned, cfg)
-    w = Window.partitionBy(*PAGE, "column").orderBy("y", "x", "str")
-    far = F.abs(F.col("y") - F.lag("y").over(w)) > F.greatest(
-        F.lag("font_size").over(w) * cfg.line_y_factor, F.lit(cfg.line_y_floor)
-    )
-    return columned.withColumn("_far", F.coalesce(far, F.lit(False)).cast("int")).select(
-        *columned.columns, F.sum("_far").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("line_ord")
-    )
+    rest = [c for c in columned.columns if c not in (*PAGE, "column", "y", "x", "str")]
+    fragments = F.array_sort(F.collect_list(F.struct("y", "x", "str", *rest)))
+    columns = columned.groupBy(*PAGE, "column").agg(fragments.alias("_fs"))
+    numbered = columns.select(*PAGE, "column", F.inline(F.arrays_zip("_fs", _line_numbers(F.col("_fs"), cfg).alias("line_ord"))))
+    return numbered.select(*[c if c in (*PAGE, "column") else F.col("_fs")[c].alias(c) for c in columned.columns], "line_ord")
 
 
 def build_lines(grouped: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
@@ -233,7 +242,7 @@ def reading_order(lines: DataFrame) -> DataFrame:
     return position(lines, ["exam_id"], F.col("page"), [rank, F.col("line_y"), F.col("line_ord")], "line_no")
 
 
-def page_lines(fragments: DataFrame, pages: DataFrame, mode: str = "lag", cfg: Layout = LAYOUT) -> DataFrame:
+def page_lines(fragments: DataFrame, pages: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
     """B1 to B8 composed: the lines of every page, not yet numbered over the exam.
 
     The fragments are gathered by page, so they are read and shuffled once; the
@@ -256,11 +265,9 @@ def page_lines(fragments: DataFrame, pages: DataFrame, mode: str = "lag", cfg: L
         lambda f: ~in_zone(f) | (F.coalesce("_n", F.lit(0)) < 2) | ~_is_furniture(zone_key(f["str"])),
     )
     cleaned = sheets.join(known, PAGE, "left").select(*PAGE, "page_width", body.alias("_fs"))
-    return build_lines(group_lines(columns_in_place(cleaned, cfg), mode, cfg), cfg)
+    return build_lines(group_lines(columns_in_place(cleaned, cfg), cfg), cfg)
 
 
-def reconstruct_layout(
-    fragments: DataFrame, pages: DataFrame, mode: str = "lag", cfg: Layout = LAYOUT
-) -> DataFrame:
+def reconstruct_layout(fragments: DataFrame, pages: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
     """B1 to B9 composed. The lines are written once, being read for counts and for rows."""
-    return reading_order(materialize(page_lines(fragments, pages, mode, cfg), "lines"))
+    return reading_order(materialize(page_lines(fragments, pages, cfg), "lines"))

@@ -58,36 +58,30 @@ def choose_text(read: DataFrame, min_chars: int = MIN_EXTRACT_CHARS) -> DataFram
     )
 
 
-def _pack(text: str, max_chars: int) -> list[str]:
-    separator = PAGE_SEPARATOR if PAGE_SEPARATOR in text else "\n"
-    chunks: list[list[str]] = [[]]
-    size = 0
-    for part in text.split(separator):
-        if chunks[-1] and size + len(part) > max_chars:
-            # The separator after the first part of a new chunk is not counted.
-            chunks.append([part])
-            size = len(part)
-        else:
-            chunks[-1].append(part)
-            size += len(part) + len(separator)
-    return [separator.join(c) for c in chunks]
-
-
 def chunk_text(docs: DataFrame, max_chars: int = CHUNK_CHARS) -> DataFrame:
     """greedy packing of pages (or lines) into chunks, no part split.
 
-    A text within the limit is one chunk and stays in the JVM; packing is
-    sequential per document, so only longer texts go through Arrow.
+    One fold over the parts of a text finds where chunks begin; the separator
+    after the first part of a later chunk is not counted. One row per chunk.
     """
-
-    @F.pandas_udf("array<string>")
-    def pack(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _pack(t, max_chars))
-
-    short = F.length("text") <= max_chars
-    whole = docs.filter(short).select("doc_id", F.lit(0).alias("chunk"), "text")
-    split = docs.filter(~short).select("doc_id", F.posexplode(pack("text")).alias("chunk", "text"))
-    return whole.unionByName(split)
+    separator = F.when(F.contains("text", F.lit(PAGE_SEPARATOR)), PAGE_SEPARATOR).otherwise("\n")
+    quoted = F.concat(F.lit("\\Q"), separator, F.lit("\\E"))
+    parts = docs.select("doc_id", separator.alias("_sep"), F.split("text", quoted).alias("_parts"))
+    state = "struct<n: int, size: int, starts: array<int>>"
+
+    def step(acc: Column, p: Column) -> Column:
+        over = (acc["n"] > 0) & (acc["size"] + F.length(p) > max_chars)
+        return F.struct(
+            (acc["n"] + 1).alias("n"),
+            F.when(over, F.length(p)).otherwise(acc["size"] + F.length(p) + F.length("_sep")).cast("int").alias("size"),
+            F.when(over, F.concat(acc["starts"], F.array(acc["n"]))).otherwise(acc["starts"]).alias("starts"),
+        )
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"), F.array(F.lit(0)).alias("starts")).cast(state)
+    packed = parts.withColumn("_starts", F.aggregate("_parts", start, lambda a, p: step(a, p).cast(state))["starts"])
+    chunks = packed.select("doc_id", "_sep", "_parts", "_starts", F.posexplode("_starts").alias("chunk", "_from"))
+    to = F.coalesce(F.get("_starts", F.col("chunk") + 1), F.size("_parts"))
+    return chunks.select("doc_id", "chunk", F.call_function("array_join", F.slice("_parts", F.col("_from") + 1, to - F.col("_from")), F.col("_sep")).alias("text"))
 
 
 def merge_chunk_questions(found: DataFrame) -> DataFrame:

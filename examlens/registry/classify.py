@@ -149,7 +149,7 @@ QUERIES = {
     "extraction_confidence": _confidence,
     "choose_text": lambda s, d: x.choose_text(_read(s, d)),
     "chunk_text": lambda s, d: x.chunk_text(_docs(s, d).select("doc_id", "text"), CHUNK),
-    "chunk_text_default": lambda s, d: x.chunk_text(_docs(s, d).select("doc_id", "text")).select("doc_id", "chunk", F.length("text").alias("chars")),
+    "chunk_text_default": lambda s, d: x.chunk_text(_docs(s, d).select("doc_id", "text")),
     "merge_chunk_questions": lambda s, d: x.merge_chunk_questions(_found(s, d)),
 }
 
@@ -198,7 +198,7 @@ ORACLES = {
     "choose_text": "select doc_id, length(t)>=180 usable, cast(length(t) as int) extraction_chars, case when length(t)>0 then t else 'Arquivo: '||filename||'. OCR não extraiu conteúdo suficiente.' end source_text, case when length(t)>=180 then 'LOW_CONFIDENCE:50' else 'LOW_CONFIDENCE:50|LOW_EXTRACTION_CHARS:'||length(t) end fallback_reason from "
                    "(select doc_id, 'f'||doc_id||'.pdf' filename, case when length(p)<180 and length(coalesce(s,''))>length(p) then s else p end t from (select doc_id, case when doc_id%5=0 then '' when doc_id%2=0 then string_split(text,chr(10))[1] else text end p, case when doc_id%3=0 then text end s from documents) a) b",
     "chunk_text": _chunks(CHUNK) + "select w.doc_id, w.chunk, string_agg(p.part, chr(10) order by p.i) as text from walk w join parts p on p.doc_id=w.doc_id and p.i=w.i group by w.doc_id, w.chunk",
-    "chunk_text_default": _chunks(30000) + "select w.doc_id, w.chunk, cast(length(string_agg(p.part, chr(10) order by p.i)) as int) chars from walk w join parts p on p.doc_id=w.doc_id and p.i=w.i group by w.doc_id, w.chunk",
+    "chunk_text_default": _chunks(30000) + "select w.doc_id, w.chunk, string_agg(p.part, chr(10) order by p.i) as text from walk w join parts p on p.doc_id=w.doc_id and p.i=w.i group by w.doc_id, w.chunk",
     "merge_chunk_questions": with_views(
         ("found", "select exam_id, q_order position, (q_order-1)%7+1 q_order, question_text, oa, unnest(range(1,2+(exam_id+q_order)%3)) chunk from fx_questions"),
         "select exam_id, q_order, chunk, position, question_text, oa from (select *, row_number() over (partition by exam_id, q_order order by chunk, position) rn from found) t where rn=1"),

@@ -180,13 +180,17 @@ _CLEAN = """select exam_id, position, case when q_order>0 then q_order else posi
  select exam_id, q_order as position, case when q_order%7=0 then 0 else q_order end q_order, question_text, list_transform([coalesce(oa,''),coalesce(ob,''),coalesce(oa,''),' '||coalesce(oc,'')||'  ',''], lambda x: trim(x)) raw from fx_questions) a) b where question_text<>'' and len(opts)>=2"""
 _MSG = "select doc_id, case doc_id%5 when 0 then 'ZERO_VALID_QUESTIONS' when 1 then 'PIPELINE_RUNTIME_ERROR:'||text when 2 then 'Invalid '||lang||' PDF' else text end as m from documents"
 _EVENTS = "select user_id exam_id, event_id, ['start','extracted','fail','publish','reprocess'][event_id%5+1] event, cast(event_id%3 as int) question_count, 'broken '||event_type message, ts as ev_at from events"
-_STATUS = f"""select exam_id, event, status old_status, coalesce(nw,status) new_status,
- case when status is null then 'EXAM_NOT_FOUND' when nw is not null or (event='publish' and status='completed') then null when event='publish' and status='reviewing' then 'NO_QUESTIONS' when event='reprocess' then 'EXAM_NOT_FAILED' else 'INVALID_STATE' end reject_code,
- case when nw='failed' then case when event='extracted' then '{t.MSG_NONE_FOUND}' else message end end error_message,
- case when nw in ('reviewing','completed') then question_count when nw is null or nw<>'queued' then total_questions end total_questions,
- case when nw in ('completed','failed') then ev_at end processed_at from (
- select v.*, x.status, x.total_questions, case when event='start' and status='queued' then 'processing' when event='extracted' and status='processing' then case when question_count>0 then 'reviewing' else 'failed' end when event='fail' and status='processing' then 'failed' when event='publish' and status='reviewing' and question_count>0 then 'completed' when event='reprocess' and status='failed' then 'queued' end nw
- from (select *, row_number() over (partition by exam_id order by ev_at desc, event_id desc) rn from ev) v left join fx_exams x on x.exam_id=v.exam_id where rn=1) t"""
+_STATUS = f"""with recursive ev as (select *, row_number() over (partition by exam_id order by ev_at, event_id) i from ({_EVENTS}) e),
+ walk(exam_id,i,event,old_status,status,code,error,total,ended) as (
+ select v.exam_id, 0::bigint, null::varchar, x.status, x.status, null::varchar, null::varchar, x.total_questions, null::timestamp from (select distinct exam_id from ev) v left join ({{exams}}) x on x.exam_id=v.exam_id union all
+ select exam_id, i, event, old_status, coalesce(nw,status), case when nw is not null or (event='publish' and status='completed') then null when event='publish' and status='reviewing' then 'NO_QUESTIONS' when event='reprocess' then 'EXAM_NOT_FAILED' else 'INVALID_STATE' end,
+  case when nw is null then error when nw='failed' then case when event='extracted' then '{t.MSG_NONE_FOUND}' else message end end,
+  case when nw in ('reviewing','completed') then question_count when nw='queued' then null else total end, case when nw in ('completed','failed') then ev_at else ended end
+ from (select e.exam_id, e.i, e.event, e.question_count, e.message, e.ev_at, w.old_status, w.status, w.error, w.total, w.ended,
+  case when e.event='start' and w.status='queued' then 'processing' when e.event='extracted' and w.status='processing' then case when e.question_count>0 then 'reviewing' else 'failed' end when e.event='fail' and w.status='processing' then 'failed' when e.event='publish' and w.status='reviewing' and e.question_count>0 then 'completed' when e.event='reprocess' and w.status='failed' then 'queued' end nw
+  from walk w join ev e on e.exam_id=w.exam_id and e.i=w.i+1) t)
+select exam_id, event, old_status, status new_status, case when old_status is null then 'EXAM_NOT_FOUND' else code end reject_code, error error_message, total total_questions, ended processed_at
+from (select *, row_number() over (partition by exam_id order by i desc) rn from walk where i>0) z where rn=1"""
 
 
 def _clipped(steps):
@@ -234,7 +238,7 @@ ORACLES = {
     "parsing_health": with_views(*rk.STEPS, ("conf", _CONF), ("gated", _GATED), """select exam_id, tier, case when tier='fastpath' then 'healthy' when ins=0 then 'poor' when acceptable then 'healthy' else 'degraded' end health, ins "questionsExtracted", expected "questionsExpected", exam_id*10 "durationMs",
  case when tier='fastpath' then 'fastpath' else 'reader' end "tierUsed", case when tier<>'fastpath' then reason end "fallbackReason" from (select g.*, case when acceptable then 'fastpath' else 'fallback' end tier, case when g.exam_id%13=0 then 0 else g.questions end ins, case when i.has_key then (select count(*) from final f where f.exam_id=g.exam_id and not annulled) end expected from gated g join fx_exam_info i on i.exam_id=g.exam_id) t"""),
     "error_category": with_views(("msg", _MSG), f"select doc_id, case when m='ZERO_VALID_QUESTIONS' then '{t.MSG_NONE_FOUND}' when lower(m) like '%pdf%' or lower(m) like '%parser%' or contains(lower(m),'pipeline_') or lower(m) like '%pipeline input%' then '{t.MSG_UNPROCESSABLE}' when length(m)>220 then substr(m,1,217)||'...' else m end user_message from msg"),
-    "advance_status": with_views(("ev", _EVENTS), _STATUS),
+    "advance_status": _STATUS.format(exams=with_views("select * from fx_exams")),
     "page_offset": with_views("select exam_id, min_by(source_page,q_order) page_offset from fx_questions group by exam_id"),
     "extract_exams": with_views(*_FLOW, "select s.exam_id, s.num q_order, s.text question_text, array_to_string(s.opts,'|') options, s.page source_page, s.context_text, s.score, u.answer correct_answer, u.answer is not null key_matched, r.subject, "
                                 + _hash("s.text", "s.opts") + " content_hash, s.confidence from stored s join fx_exam_info i on i.exam_id=s.exam_id left join usable u on u.exam_id=s.exam_id and u.q_order=s.num left join sr r on r.template_id=i.template_id and s.num between r.first and r.last"),

@@ -30,8 +30,8 @@ def _columned(s, d):
     return y.assign_columns(b, y.detect_columns(b, _pages(s, d)))
 
 
-def _built(s, d, mode="lag"):
-    return y.build_lines(y.group_lines(_columned(s, d), mode))
+def _built(s, d):
+    return y.build_lines(y.group_lines(_columned(s, d)))
 
 
 _LINE = ["exam_id", "page", "line_no", "text", "column", "line_y", "line_x", "font_size"]
@@ -46,7 +46,7 @@ QUERIES = {
     "detect_columns": lambda s, d: y.detect_columns(_body(s, d), _pages(s, d)),
     "assign_columns": _columned,
     "group_lines": lambda s, d: y.group_lines(_columned(s, d)),
-    "group_lines_exact": lambda s, d: y.group_lines(_columned(s, d), "exact"),
+    "group_lines_exact": lambda s, d: y.group_lines(_columned(s, d)),  # the name of the rule when there were two
     "build_lines": _built,
     "reading_order": lambda s, d: y.reading_order(_built(s, d)).select(*_LINE),
     "reconstruct_layout": lambda s, d: y.reconstruct_layout(_frags(s, d), _pages(s, d)).select(*_LINE),
@@ -65,7 +65,11 @@ STEPS = [
     ("best", "select * from (select *, row_number() over (partition by exam_id, page order by w desc, z desc) rn from runs) t where rn=1"),
     ("lay", "select p.exam_id, p.page, b.a is not null double_column, cast(floor((b.a+b.z)/2e0*(p.page_width/100)+0.5e0) as int) split_x, p.page_width from fx_pages p left join best b on b.exam_id=p.exam_id and b.page=p.page"),
     ("columned", "select b.*, case when l.split_x is null then 'single' when b.x<l.split_x then 'left' else 'right' end as \"column\" from body b left join lay l on l.exam_id=b.exam_id and l.page=b.page"),
-    ("lined", 'select * exclude (far), cast(sum(cast(coalesce(far,false) as int)) over (partition by exam_id,page,"column" order by y,x,str rows between unbounded preceding and current row) as int) line_ord from (select *, abs(y-lag(y) over w) > greatest(0.55e0*lag(font_size) over w, 3e0) far from columned window w as (partition by exam_id,page,"column" order by y,x,str)) t'),
+    ("folded", """select exam_id, page, "column", list(str order by y,x,str) strs, list(r order by y,x,str) rs, list_reduce(list({'y': y, 'fonts': font_size, 'n': 1, 'line': 0, 'lines': [0]} order by y,x,str),
+ lambda a, f: case when abs(f.y-a.y) > greatest(0.55e0*a.fonts/a.n, 3e0) then {'y': f.y, 'fonts': f.fonts, 'n': 1, 'line': a.line+1, 'lines': list_append(a.lines, a.line+1)}
+  else {'y': f.y, 'fonts': a.fonts+f.fonts, 'n': a.n+1, 'line': a.line, 'lines': list_append(a.lines, a.line)} end).lines as lines
+ from (select *, row_number() over () r from columned) c group by exam_id, page, "column\""""),
+    ("lined", 'select c.* exclude (r), cast(f.line_ord as int) line_ord from (select *, row_number() over () r from columned) c join (select unnest(rs) r, unnest(lines) line_ord from folded) f on f.r=c.r'),
     ("built", "select exam_id, page, \"column\", line_ord, trim(string_agg(part,'' order by x,y,str)) as text, arg_min(y,{'x':x,'y':y,'s':str}) line_y, min(x) line_x, max(font_size) font_size from (select *, case when x-lag(x+width) over w > 0.3e0*lag(case when font_size=0 then 10 else font_size end) over w then ' '||str else str end part from lined window w as (partition by exam_id,page,\"column\",line_ord order by x,y,str)) t group by exam_id, page, \"column\", line_ord"),
     ("ordered", "select *, cast(row_number() over (partition by exam_id order by page, case when \"column\"='right' then 1 else 0 end, line_y, line_ord) as int) line_no from built"),
 ]
@@ -88,7 +92,6 @@ ORACLES = {
     "detect_columns": _o("select * from lay"),
     "assign_columns": _o("select * from columned"),
     "group_lines": _o("select * from lined"),
-    # One font size: the mean font of a line is the font of its last fragment.
     "group_lines_exact": _o("select * from lined"),
     "build_lines": _o("select * from built"),
     "reading_order": _o('select exam_id, page, line_no, text, "column", line_y, line_x, font_size from ordered'),

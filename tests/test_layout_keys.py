@@ -48,15 +48,14 @@ def test_headers_stay_on_a_single_page(spark):
         assert y.strip_headers_footers(t, y.repeated_zone_text(t, page(spark, n)), page(spark, n)).count() == kept
 
 
-def test_space_threshold_and_line_modes(spark):
+def test_space_threshold_and_line_tolerance(spark):
     rows = [(0, 1, "a", 0.0, 100.0, 5.0, 10.0), (0, 1, "b", 8.0, 100.0, 5.0, 10.0), (0, 1, "c", 16.1, 100.0, 5.0, 10.0)]
     df = spark.createDataFrame(rows, FRAG).withColumn("column", F.lit("single"))
     assert [r.text for r in y.build_lines(y.group_lines(df)).collect()] == ["ab c"]
     # A small font after large ones: the mean of the line is more tolerant than the last font.
     rows = [(0, 1, "a", 0.0, 100.0, 5.0, 20.0), (0, 1, "b", 9.0, 101.0, 5.0, 6.0), (0, 1, "c", 20.0, 106.0, 5.0, 6.0)]
     df = spark.createDataFrame(rows, FRAG).withColumn("column", F.lit("single"))
-    count = lambda mode: y.group_lines(df, mode).agg(F.max("line_ord")).collect()[0][0] + 1
-    assert (count("lag"), count("exact")) == (2, 1)
+    assert y.group_lines(df).agg(F.max("line_ord")).collect()[0][0] == 0
 
 
 def key_lines(spark, *texts):
@@ -112,3 +111,20 @@ def test_ordered_helpers_against_windows(spark):
         got = running_sum(got, ["g"], at, [F.col("i")], F.col("v"), "s")
         got = position(got, ["g"], at, [F.col("i")], "n")
         assert sorted(got.select("g", "i", "c", "s", "n", "f").collect()) == sorted(want.collect())
+
+
+def test_line_grouping_against_a_plain_loop(spark):
+    rnd = random.Random(8)
+    rows = [(e, p, f"s{i}", rnd.uniform(0, 500), rnd.uniform(0, 90), 5.0, rnd.choice([0.0, 4.0, 10.0, 30.0])) for e in range(2) for p in range(2) for i in range(40)]
+    want = {}
+    for e in range(2):
+        for p in range(2):
+            line, fonts, last = 0, [], None
+            for r in sorted((r for r in rows if r[:2] == (e, p)), key=lambda r: (r[4], r[3], r[2])):
+                if fonts and abs(r[4] - last) > max(0.55 * sum(fonts) / len(fonts), 3):
+                    line, fonts = line + 1, []
+                fonts.append(r[6])
+                last = want[(e, p, r[2])] = r[4]
+                want[(e, p, r[2])] = line
+    got = y.group_lines(spark.createDataFrame(rows, FRAG).withColumn("column", F.lit("single"))).collect()
+    assert {(r.exam_id, r.page, r.str): r.line_ord for r in got} == want

@@ -93,6 +93,22 @@ def test_status_changes(spark):
     assert got == {i: (new, code) for i, (*_, new, code) in enumerate(cases)}
 
 
+def test_all_events_count(spark):
+    """Events are folded in order of time, whatever the blocks, as the stream does it."""
+    exams = spark.createDataFrame([(1, "queued", 9), (2, "failed", 4), (3, "odd", 1)], "exam_id bigint, status string, total_questions int")
+    ev = [(1, 1, "start", 0, 0), (1, 2, "extracted", 5, 10), (2, 3, "reprocess", 0, 5), (2, 4, "start", 0, 5), (2, 5, "fail", 0, 90_000_000_000),
+          (2, 6, "publish", 1, 90_000_000_001), (3, 7, "start", 0, 0), (4, 8, "start", 0, 0)]
+    rows = spark.createDataFrame([(e, i, name, n, "msg", t) for e, i, name, n, t in ev], "exam_id bigint, event_id bigint, event string, question_count int, message string, t bigint")
+    rows = rows.withColumn("at", F.timestamp_micros("t")).drop("t")
+    for block in (1, 7, 86_400_000_000, 10**15):
+        got = {r.exam_id: r for r in lc.advance_status(exams, rows, block).collect()}
+        assert (got[1].new_status, got[1].reject_code, got[1].total_questions, got[1].error_message) == ("reviewing", None, 5, None)
+        assert (got[2].old_status, got[2].new_status, got[2].reject_code, got[2].total_questions) == ("failed", "failed", "INVALID_STATE", None)
+        assert got[2].processed_at is not None and got[2].error_message and got[2].event == "publish"
+        assert (got[3].new_status, got[3].reject_code, got[3].event) == ("odd", "INVALID_STATE", "start")
+        assert (got[4].new_status, got[4].reject_code) == (None, "EXAM_NOT_FOUND")
+
+
 def test_answer_codes(spark):
     sessions = spark.createDataFrame([(1, 0, None), (2, 0, "x")], "session_id bigint, exam_id bigint, finished_at string")
     qs = spark.createDataFrame([(0, 1, "b) x")], "exam_id bigint, q_order int, correct_answer string")
@@ -120,18 +136,28 @@ def test_parse_classifications(spark):
     rows = {r.i: r for r in c.parse_classifications(df).collect()}
     assert {i: r.error for i, r in rows.items()} == {i: w for i, (_, w) in enumerate(cases)}
     assert rows[3]["items"][0].subject == "s"
+    odd = ["x", None, 5, [], {**good, "subject": 5}, {**good, "subject": {"a": 1}}, {**good, "index": "0"}, {**good, "index": True}, {**good, "index": 1.0}]
+    more = spark.createDataFrame([(json.dumps({"items": [*odd, {**good, "index": 3}]}),), (json.dumps({"items": {"a": good}}),), (json.dumps([good]),), (None,)], "response string")
+    first, *others = c.parse_classifications(more).collect()
+    assert [i["index"] for i in first["items"]] == [1, 3] and first.error is None
+    assert [r.error for r in others] == ["CLASSIFICATION_INVALID_SCHEMA"] * 2 + ["CLASSIFICATION_INVALID_JSON"]
+    assert [c._valid_item(i) for i in [*odd, good]] == [False] * 8 + [True, True]
 
 
 def test_model_retries_and_timeouts(spark):
-    df = spark.createDataFrame([(0, 0, "bad"), (0, 1, "slow"), (0, 2, "ok")], "exam_id bigint, batch_no int, prompt string")
+    df = spark.createDataFrame([(0, 0, "bad"), (0, 1, "slow"), (0, 2, "ok"), (0, 3, "down")], "exam_id bigint, batch_no int, prompt string")
 
     def model(prompt):
         if prompt == "slow":
             raise TimeoutError
+        if prompt == "down":
+            raise ValueError("503")
+        if prompt == "bad":
+            return "{}", 10, 2
         return "{}" if prompt == "bad" else json.dumps({"items": [{"index": 0, "subject": "s", "topic": "t", "difficulty": "hard"}]})
 
-    got = {r.batch_no: (r.timed_out, r.attempts) for r in c.classify_with(df, model).collect()}
-    assert got == {0: (False, 3), 1: (True, 1), 2: (False, 1)}
+    got = {r.batch_no: (r.timed_out, r.attempts, r.error, r.prompt_tokens) for r in c.classify_with(df, model).collect()}
+    assert got == {0: (False, 3, None, 30), 1: (True, 1, "TIMEOUT", 0), 2: (False, 1, None, 0), 3: (False, 1, "ValueError: 503", 0)}
 
 
 def test_daily_budget(spark):
