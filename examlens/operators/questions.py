@@ -1,23 +1,21 @@
-"""Reading-order lines to multiple-choice questions (native mode).
-
-Lines are only ever shuffled by (exam, block of line numbers). What has to
-travel along an exam is small: one summary row per block, which says for every
-state the numbering can be in when the block begins, in which state it ends.
-Numbers have two digits and only grow, so an exam has at most 100 accepted
-questions (twice that after a restart), and per-exam windows see those rows only.
-
-Two readings of the numbering are kept side by side. Variant ``A`` never accepts
-a restart; variant ``R`` holds what follows a restart at 1 after a run of
-numbered items that may have been instructions. ``drop_weak_lead_block`` picks
-one of them per exam.
+"""Reading-order lines to multiple-choice questions.
+
+A number is accepted by the last *confirmed* question, so acceptance depends on what
+was read before. Only small rows follow that order: one per numbered line, with the
+number of words, options and marks up to the next numbered line. They are folded
+exam by exam, which gives the span of lines of every item and its verdict; the text
+moves once, to the items that are wanted.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examlens.config import PARSER, Parser
+from examlens.functions.ordered import carry_forward
 from examlens.functions.text import LETTERS, SPACES, WS, extract, trimmed, word_count
 
 # Line patterns.
@@ -37,18 +35,13 @@ OPTION_POINTS, OPTION_WORDS, OPTION_WORDS_POINTS = 15, 3, 10
 SOURCE_PENALTY, TRUNCATED_PENALTY, MISSING_PENALTY = 20, 15, 10
 
 _PIECE = "\x01"
-_LINE = 1000  # summary entries are (line of last accepted start + 1) * 1000 + state
-# States of the numbering when a restart is allowed: class * 100 + last number.
-# Classes 1-5: unbroken first run of that many items (5 = five or more); 6: the
-# item now open broke such a run; 7: no restart possible any more; 8: restarted.
-_BROKEN_OPEN, _FORWARD, _RESTARTED = 6, 7, 8
-_STATES_R = 900
+_FIRST = 15  # on a line with several options the first is set last, and is continued
 
 
 def strip_scratch(lines: DataFrame) -> DataFrame:
     """Cut scratch-paper marks; lines with nothing left are dropped."""
     text = F.regexp_replace("text", SCRATCH, "")
-    text = F.when(text == F.col("text"), text).otherwise(F.rtrim(text))
+    text = F.when(text == F.col("text"), text).otherwise(F.rtrim(text, F.lit(SPACES)))
     return lines.withColumn("text", text).filter(F.col("text") != "")
 
 
@@ -102,229 +95,260 @@ def split_inline_options(classified: DataFrame) -> DataFrame:
 
 # --- numbering -------------------------------------------------------------
 
+_ITEM = (
+    "struct<num:int,page:int,line:int,end_line:int,score:int,stem_words:int,useful_options:int,"
+    "confirmed:boolean,forced:boolean,requires_source:boolean,skip:array<int>>"
+)
+# The open item (on .. skip), the last unbroken run of confirmed ones (b0 .. bf), how many are
+# confirmed, a number to be discarded, a bare number that waits for its text, how many items
+# a restart has taken back, and what was found.
+_STATE = (
+    "struct<last:int,on:boolean,num:int,page:int,img:boolean,line:int,sw:int,se:boolean,ow:array<int>,role:int,skip:array<int>,"
+    "b0:int,b1:int,bn:int,bs:int,bu:int,bf:boolean,nc:int,forced:int,pn:int,pp:int,pimg:boolean,pl:int,cut:int,"
+    f"items:array<{_ITEM}>,seen:array<struct<page:int,line_no:int,num:int,accepted:boolean>>>"
+)
+_START = dict(
+    last=-1, on=False, num=-1, page=-1, img=False, line=-1, sw=0, se=False, ow=None, role=0, skip=None,
+    b0=-1, b1=-1, bn=0, bs=0, bu=0, bf=False, nc=0, forced=-1, pn=-1, pp=-1, pimg=False, pl=-1, cut=0, items=None, seen=None,
+)
+_LISTS = {"ow": "array<int>", "skip": "array<int>", "items": f"array<{_ITEM}>", "seen": "array<struct<page:int,line_no:int,num:int,accepted:boolean>>"}
+_END = 2**31 - 1
+
+
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def _with(state: Column, **changes: Column) -> Column:
+    fields = [(changes[k] if k in changes else state[k]).alias(k) for k in _START]
+    return F.struct(*fields, *[v.alias(k) for k, v in changes.items() if k not in _START])
+
+
+def _count(words: Column, least: int) -> Column:
+    return F.aggregate(words, F.lit(0), lambda a, w: a + (w >= least).cast("int"))
+
+
+def _closed(s: Column, end: Column, cfg: Parser) -> Column:
+    """The open item judged and filed; it ends before line ``end``."""
+    filled, good, useful = (_count(s["ow"], n) for n in (1, OPTION_WORDS, 2))
+    source = s["img"] & (s["sw"] < cfg.source_stem_words)
+    score = F.greatest(F.lit(0), F.least(F.lit(100), (
+        F.when(s["sw"] >= STEM_WORDS, STEM_POINTS).otherwise(0) + filled * OPTION_POINTS + F.when(good == 5, OPTION_WORDS_POINTS).otherwise(0)
+        - F.when(source, SOURCE_PENALTY).otherwise(0) - F.when((s["sw"] > 5) & ~s["se"], TRUNCATED_PENALTY).otherwise(0) - (5 - filled) * MISSING_PENALTY)))
+
+    def file(v: Column) -> Column:
+        forced = s["forced"] == s["num"]
+        ok = (s["sw"] >= cfg.min_stem_words) & (v["useful"] >= cfg.min_useful_options) & (v["score"] >= cfg.min_score) & ~forced
+        item = F.struct(
+            s["num"], s["page"], s["line"], end, v["score"], s["sw"], v["useful"], ok, forced, v["source"], s["skip"]).cast(_ITEM)
+        more = ok & (s["bn"] > 0) & (s["num"] == s["b1"] + 1)
+        run = lambda grown, fresh, old: F.when(more, grown).when(ok, fresh).otherwise(old)
+        return _with(
+            s, on=F.lit(False), items=F.concat(s["items"], F.array(item)), forced=F.when(forced, -1).otherwise(s["forced"]),
+            last=F.when(ok, s["num"]).otherwise(s["last"]), nc=s["nc"] + ok.cast("int"),
+            b0=run(s["b0"], s["num"], s["b0"]), b1=F.when(ok, s["num"]).otherwise(s["b1"]), bn=run(s["bn"] + 1, F.lit(1), s["bn"]),
+            bs=run(s["bs"] + v["score"], v["score"], s["bs"]), bu=run(s["bu"] + v["useful"], v["useful"], s["bu"]), bf=run(s["bf"], s["nc"] == 0, s["bf"]),
+        ).cast(_STATE)
+
+    return _let(F.struct(score.alias("score"), useful.alias("useful"), source.alias("source")), file)
+
+
+def _gated(s: Column, c: Column, allow_reset: bool, cfg: Parser) -> Column:
+    """What a numbered line ``c`` means to the state, and the text of a refused one added to the open item."""
+    bare = c["kind"] == "alone"
+    as_text = (s["pn"] >= 0) & ~bare  # the first line after an accepted bare number is its text
+    forward = F.when(s["last"] < 0, c["num"] <= cfg.max_first_number).otherwise((c["num"] > s["last"]) & (c["num"] <= s["last"] + cfg.max_jump))
+    weak = (s["bn"] >= cfg.weak_min_items) & s["bf"] & ((s["bs"] <= s["bn"] * F.lit(cfg.weak_max_score)) | (s["bu"] <= s["bn"] * F.lit(cfg.weak_max_useful)))
+    restart = F.lit(allow_reset) & ~forward & (s["last"] >= 0) & (c["num"] == 1) & weak
+
+    def apply(v: Column) -> Column:
+        taken, reset, waits = v["taken"], v["reset"], s["pn"] >= 0
+        refused = s["on"] & ~taken & ~v["as_text"] & F.when(bare, (s["role"] == 0) & ~waits).otherwise(True)
+        stem = refused & (s["role"] == 0)
+        mine = bare & taken
+        return _with(
+            s,
+            last=F.when(reset, -1).otherwise(s["last"]), nc=F.when(reset, 0).otherwise(s["nc"]), bn=F.when(reset, 0).otherwise(s["bn"]),
+            cut=F.when(reset, F.size(s["items"])).otherwise(s["cut"]),
+            forced=F.when(reset & s["on"] & s["num"].between(s["b0"], s["b1"] + 1), s["num"]).otherwise(s["forced"]),
+            sw=s["sw"] + F.when(stem, c["raw_w"]).otherwise(0), se=F.when(stem & (c["raw_w"] > 0), c["raw_e"]).otherwise(s["se"]),
+            ow=F.transform(s["ow"], lambda w, i: w + F.when(refused & (s["role"] == i + 1), c["raw_w"]).otherwise(0)),
+            skip=F.when(mine & s["on"], F.concat(s["skip"], F.array(c["line_no"]))).otherwise(s["skip"]),
+            pn=F.when(mine, c["num"]).otherwise(s["pn"]), pp=F.when(mine, c["page"]).otherwise(s["pp"]), pimg=F.when(mine, c["img"]).otherwise(s["pimg"]),
+            pl=F.when(bare & (taken | waits), c["line_no"]).otherwise(s["pl"]),
+            seen=F.concat(s["seen"], F.array(F.struct(c["page"].alias("page"), c["line_no"].alias("line_no"), c["num"].alias("num"), taken.alias("accepted")))),
+            opens=v["as_text"] | (~bare & taken) | (bare & (taken | waits) & c["after"].isNotNull() & (c["after"] != "option")),
+            direct=~bare & taken, as_text=v["as_text"],
+            waits=bare & (taken | waits) & c["after"].isNull(),
+        )
 
-# The folds over a block's numbers are SQL lambdas: ``s`` is a state, ``n`` a number.
-
-
-def _step(s: str, n: str, cfg: Parser) -> str:
-    """Next state without restarts; the state is the last accepted number, -1 at first."""
-    return (
-        f"case when case when {s} < 0 then {n} <= {cfg.max_first_number}"
-        f" else {n} > {s} and {n} <= {s} + {cfg.max_jump} end then {n} else {s} end"
-    )
-
-
-def _step_r(s: str, n: str, cfg: Parser) -> str:
-    """Next state with one restart at 1 allowed; 0 at first."""
-    last, cls = f"{s} % 100", f"{s} div 100"
-    return (
-        f"case when {s} = 0 then case when {n} <= {cfg.max_first_number} then 100 + {n} else {s} end"
-        f" when {n} > {last} and {n} <= {last} + {cfg.max_jump} then"
-        f"  case when {cls} > 5 then if({cls} = {_RESTARTED}, {_RESTARTED}, {_FORWARD}) * 100 + {n}"
-        f"   when {n} = {last} + 1 then least({cls} + 1, 5) * 100 + {n}"
-        f"   else if({cls} >= {cfg.weak_min_items}, {_BROKEN_OPEN}, {_FORWARD}) * 100 + {n} end"
-        f" when {n} = 1 and {last} >= 1 and {cls} in (5, {_BROKEN_OPEN}) then {_RESTARTED}01"
-        f" else {s} end"
-    )
-
-
-def _summary(low: int, high: int, step, cfg: Parser) -> str:
-    """Per entering state, where the block's numbers lead, as line * 1000 + state index."""
-    nxt = f"cast({step(f'(i + {low})', 'c.num', cfg)} as int)"
-    return (
-        f"aggregate(reverse(cands), transform(sequence({low}, {high}), s -> cast(s - {low} as bigint)),"
-        f" (t, c) -> transform(t, (old, i) -> case when {nxt} = i + {low} then old"
-        f" when get(t, {nxt} - {low}) >= {_LINE} then get(t, {nxt} - {low})"
-        f" else (cast(c.line_no as bigint) + 1) * {_LINE} + get(t, {nxt} - {low}) end))"
-    )
-
-
-def _accepted(entering: str, step, cfg: Parser) -> str:
-    """Accepted starts of a block given the entering state."""
-    nxt = f"cast({step('acc.state', 'c.num', cfg)} as int)"
-    return (
-        f"aggregate(cands, named_struct('state', cast({entering} as int),"
-        f" 'hits', cast(array() as array<struct<line_no:int,num:int,state:int>>)),"
-        f" (acc, c) -> if({nxt} = acc.state, acc, named_struct('state', {nxt},"
-        f" 'hits', concat(acc.hits, array(named_struct('line_no', c.line_no, 'num', c.num, 'state', {nxt})))))).hits"
-    )
-
-
-def _only_initial(hits: str, initial: int, low: int) -> str:
-    """Summary of a first block: the entry of the initial state alone."""
-    return (
-        f"array(case when size({hits}) > 0 then (cast({hits}[size({hits}) - 1].line_no as bigint) + 1) * {_LINE}"
-        f" + {hits}[size({hits}) - 1].state - ({low}) else cast({initial} - ({low}) as bigint) end)"
-    )
+    return _let(F.struct(as_text.alias("as_text"), (~as_text & (forward | restart)).alias("taken"), (~as_text & restart).alias("reset")), apply)
 
 
-def _composed(table: str) -> str:
-    """Summary of a group of blocks: their tables applied one after the other."""
-    nxt = f"get(b.{table}, cast(x % {_LINE} as int))"
-    return (
-        f"aggregate(slice(bs, 2, size(bs)), bs[0].{table}, (t, b) -> transform(t, x ->"
-        f" if({nxt} >= {_LINE}, {nxt}, x - x % {_LINE} + {nxt})))"
-    )
+def _opened(g: Column, d: Column, c: Column) -> Column:
+    """The new item, if one opens, and the lines up to the next number."""
+    new, own = g["opens"], g["direct"]
+    pick = lambda mine, waiting, old: F.when(new & own, mine).when(new, waiting).otherwise(old)
+    none = F.array_repeat(F.lit(0), 5)
 
+    def read(o: Column) -> Column:
+        stem = o["on"] & (o["role"] == 0)
+        return F.struct(*[{
+            "sw": o["sw"] + F.when(stem, c["head_w"]).otherwise(0),
+            "se": F.when(stem, F.coalesce(c["head_e"], o["se"])).otherwise(o["se"]),
+            "ow": F.transform(o["ow"], lambda w, i: F.when(~o["on"], w).otherwise(F.coalesce(F.get(c["set"], i), w + F.when(o["role"] == i + 1, c["head_w"]).otherwise(0)))),
+            "role": F.when(o["on"], F.coalesce(c["tail"], o["role"])).otherwise(o["role"]),
+        }.get(k, o[k]).alias(k) for k in _START]).cast(_STATE)
 
-def _chained(in_a: str, line_a: str, in_r: str, line_r: str, in_opt: str) -> str:
-    """What carries into each of the ordered summaries ``bs``, given what carries into the first."""
-    opt_type = "struct<line_no:int,letter:string,k:int>"
-    entry_type = f"struct<at:bigint,in_a:int,line_a:bigint,in_r:int,line_r:bigint,in_opt:{opt_type}>"
-    a, r = "get(b.ta, acc.sa + 1)", "get(b.tr, acc.sr)"
-    return f"""aggregate(bs,
-      named_struct('sa', {in_a}, 'la', {line_a}, 'sr', {in_r}, 'lr', {line_r}, 'opt', cast({in_opt} as {opt_type}), 'out', cast(array() as array<{entry_type}>)),
-      (acc, b) -> named_struct(
-        'sa', cast({a} % {_LINE} - 1 as int), 'la', if({a} >= {_LINE}, {a} div {_LINE} - 1, acc.la),
-        'sr', cast({r} % {_LINE} as int), 'lr', if({r} >= {_LINE}, {r} div {_LINE} - 1, acc.lr),
-        'opt', coalesce(b.opt, acc.opt),
-        'out', concat(acc.out, array(named_struct('at', b.at, 'in_a', acc.sa, 'line_a', acc.la,
-          'in_r', acc.sr, 'line_r', acc.lr, 'in_opt', acc.opt))))).out"""
+    return _let(_with(
+        d, on=d["on"] | new,
+        num=pick(c["num"], g["pn"], d["num"]), page=pick(c["page"], g["pp"], d["page"]), img=pick(c["img"], g["pimg"], d["img"]),
+        line=pick(c["line_no"], g["pl"], d["line"]),
+        sw=F.when(new, F.when(own, c["own_w"]).when(g["as_text"], c["raw_w"]).otherwise(0)).otherwise(d["sw"]),
+        se=F.when(new, F.when(own, c["own_e"]).when(g["as_text"], c["raw_e"]).otherwise(False)).otherwise(d["se"]),
+        ow=F.when(new, none).otherwise(d["ow"]), role=F.when(new, 0).otherwise(d["role"]), skip=F.when(new, F.array().cast("array<int>")).otherwise(d["skip"]),
+        pn=F.when(g["waits"] | (~new & ~c["kind"].isin("alone")), g["pn"]).otherwise(-1),
+    ).cast(_STATE), read)
 
 
-_IS_NUMBER = "kind in ('alone', 'start')"
-_SPACES_SQL = "".join(f"\\u{ord(c):04x}" for c in SPACES)
+def _step(allow_reset: bool, cfg: Parser):
+    def step(s: Column, c: Column) -> Column:
+        def close(g: Column) -> Column:
+            line = F.when(g["direct"], c["line_no"]).otherwise(g["pl"])
+            state = F.struct(*[g[k].alias(k) for k in _START]).cast(_STATE)
+            ended = F.when(g["opens"] & g["on"], _closed(g, line, cfg)).otherwise(state)
+            return _let(ended, lambda d: _opened(g, d, c))
 
+        return _let(_gated(s, c, allow_reset, cfg), close)
 
-def _block(cfg: Parser) -> str:
-    return f"cast(line_no div {cfg.block_lines} as int)"
+    return step
 
 
-def _option_mark() -> str:
-    """Last option letter of an option line and how many options follow the first on it."""
-    tail = f"regexp_extract_all(rest, r'{INLINE_OPTION}', 1)"
-    return f"struct(line_no, coalesce(try_element_at({tail}, -1), letter) as letter, size({tail}) as k)"
+def _option_sets(rest: Column) -> Column:
+    """Option letters of a line with their words, in the order in which they are set."""
+    parts = _inline(rest)
+    later = F.transform(F.slice(parts, 2, F.size(parts)), lambda p, i: F.struct(F.substring(p, 1, 1).alias("letter"), word_count(F.substr(p, F.lit(2))).alias("words"), (i + 1).alias("k")))
+    first = F.struct(F.col("letter"), word_count(parts[0]).alias("words"), F.lit(_FIRST).alias("k"))
+    return F.concat(later, F.array(first))
 
 
-def _block_numbers(classified: DataFrame, cfg: Parser) -> DataFrame:
-    """One row per (exam, block): accepted starts and what carries in from earlier blocks."""
-    # One collected column feeds both uses of the blocks, so their shuffle is reused.
-    mark = F.expr(
-        f"if(kind = 'body', null, struct(line_no, kind, num, if(kind = 'option', {_option_mark()}, null) as opt))")
-    blocks = (
-        classified.withColumn("_block", F.expr(_block(cfg)))
-        .filter("exam_id is not null and _block is not null")
-        .groupBy("exam_id", "_block")
-        .agg(F.array_sort(F.collect_list(mark)).alias("marks"))
-        .select(
-            "exam_id", "_block",
-            F.filter("marks", lambda m: m["num"].isNotNull()).alias("cands"),
-            F.expr("try_element_at(filter(marks, m -> m.kind = 'option'), -1).opt").alias("opt"),
-            F.expr("get(filter(marks, m -> m.kind in ('range', 'lead')), 0).line_no").alias("shared_line"),
-        )
-    )
-    summaries = blocks.withColumns({
-        "ha": F.expr(f"case when _block = 0 then {_accepted('-1', _step, cfg)} end"),
-        "hr": F.expr(f"case when _block = 0 then {_accepted('0', _step_r, cfg)} end"),
-    }).select(
-        "exam_id", "_block", "opt", "shared_line",
-        F.expr(f"case when _block = 0 then {_only_initial('ha', -1, -1)} else {_summary(-1, 99, _step, cfg)} end").alias("ta"),
-        F.expr(f"case when _block = 0 then {_only_initial('hr', 0, 0)} else {_summary(0, _STATES_R - 1, _step_r, cfg)} end").alias("tr"),
-    )
-    # Blocks are chained inside groups of blocks, and groups inside the exam, so
-    # that no list grows with the exam beyond what two levels hold.
-    # (``_group`` is never null, so no filter is pushed that would tell the uses of ``blocks`` apart.)
-    groups = (
-        summaries.withColumn("_group", F.expr(f"coalesce(_block div {cfg.group_blocks}, -1L)"))
-        .groupBy("exam_id", "_group")
-        .agg(
-            F.expr("array_sort(collect_list(struct(cast(_block as bigint) as at, ta, tr, opt, shared_line)))").alias("bs"),
-        )
-    )
-    whole = groups.select(
-        "exam_id",
-        F.expr(f"struct(_group as at, {_composed('ta')} as ta, {_composed('tr')} as tr,"
-               " try_element_at(filter(bs, b -> b.opt is not null), -1).opt as opt,"
-               " array_min(transform(bs, b -> b.shared_line)) as shared_line)").alias("g"),
-    )
-    at_groups = (
-        whole.groupBy("exam_id").agg(F.array_sort(F.collect_list("g")).alias("bs"))
-        .select(
-            "exam_id", F.expr("array_min(transform(bs, b -> b.shared_line))").alias("shared_line"),
-            F.expr(f"inline({_chained('-1', '-1L', '0', '-1L', 'null')})"))
-        .withColumnRenamed("at", "_group")
-    )
-    entering = (
-        groups.join(at_groups, ["exam_id", "_group"])
-        .select("exam_id", "shared_line", F.expr(f"inline({_chained('in_a', 'line_a', 'in_r', 'line_r', 'in_opt')})"))
-        .withColumn("_block", F.col("at").cast("int")).drop("at")
-    )
-    return blocks.select("exam_id", "_block", "cands").join(entering, ["exam_id", "_block"]).select(
-        "exam_id", "_block", "shared_line", "in_a", "line_a", "in_r", "line_r", "in_opt",
-        F.expr(_accepted("in_a", _step, cfg)).alias("hits_a"),
-        F.expr(_accepted("in_r", _step_r, cfg)).alias("hits_r"),
-    )
-
-
-def _hit(hits: str) -> Column:
-    return F.col("kind").isin("alone", "start") & F.exists(
-        F.col(hits), lambda h: h["line_no"] == F.col("line_no")
-    )
+def number_spans(classified: DataFrame, pages: DataFrame | None = None, cfg: Parser = PARSER) -> DataFrame:
+    """One row per exam: ``cands``, its numbered lines with what follows up to the next one,
+    the first line of a shared text, and the last line. No text leaves the lines."""
+    t = F.col("text")
+    ends = lambda c: F.regexp_like(trimmed(c), F.lit("[.?!:;]$"))
+    slim = classified.filter("exam_id is not null and line_no is not null").select(
+        "exam_id", "page", "line_no", "kind", "num", "letter",
+        word_count(F.col("rest")).alias("own_w"), ends(F.col("rest")).alias("own_e"), word_count(t).alias("raw_w"), ends(t).alias("raw_e"),
+        F.when(F.col("kind") == "option", _option_sets(F.col("rest"))).alias("sets"),
+    )
+    numbered = F.col("kind").isin("alone", "start")
+    line = F.col("line_no")
+    spans = carry_forward(
+        slim, ["exam_id"], "line_no", {"span": F.when(numbered, line)}, cfg.block_lines,
+        {"shared_line": F.when(F.col("kind").isin("range", "lead"), line)}).withColumn("span", F.coalesce("span", F.lit(-1)))
+    w = Window.partitionBy("exam_id", "span").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    roles = spans.withColumn("opt", F.last(F.when(F.col("kind") == "option", F.struct("line_no", "letter")), ignorenulls=True).over(w))
+    head = F.struct(F.lit("head").alias("letter"), F.col("raw_w").alias("words"), F.lit(0).cast("bigint").alias("mark"))
+    continued = F.struct(F.col("opt.letter").alias("letter"), F.col("raw_w").alias("words"), (F.col("opt.line_no").cast("bigint") * 16 + _FIRST).alias("mark"))
+    placed = F.transform("sets", lambda x: F.struct(x["letter"].alias("letter"), x["words"].alias("words"), (line.cast("bigint") * 16 + x["k"]).alias("mark")))
+    here = F.when(numbered, F.array(F.struct(F.lit("number").alias("letter"), F.lit(0).alias("words"), F.lit(0).cast("bigint").alias("mark")))).when(
+        F.col("kind") == "option", placed).otherwise(F.array(F.when(F.col("opt").isNull(), head).otherwise(continued)))
+    pieces = roles.select("*", F.inline(here).alias("to", "words", "mark"))
+    body = F.when(~numbered, F.struct("line_no", "kind"))
+    own = F.when(numbered, F.struct("line_no", "page", "kind", "num", "own_w", "own_e", "raw_w", "raw_e"))
+    by_mark = pieces.groupBy("exam_id", "span", "to", "mark").agg(
+        F.sum("words").alias("words"), F.max(F.when((F.col("to") == "head") & (F.col("raw_w") > 0), F.struct("line_no", "raw_e"))).alias("end"),
+        F.min(body).alias("after"), F.max("opt").alias("opt"), F.max(own).alias("own"), F.max("shared_line").alias("shared_line"), F.max("line_no").alias("last_line"))
+    is_ = lambda x: F.col("to") == x
+    by_span = by_mark.groupBy("exam_id", "span").agg(
+        F.max("own").alias("own"), F.min("after").alias("after"), F.max("opt").alias("opt"), F.max("end").alias("end"),
+        F.coalesce(F.sum(F.when(is_("head"), F.col("words"))), F.lit(0)).cast("int").alias("head_w"),
+        *[F.max(F.when(is_(x), F.struct("mark", "words"))).alias(f"set_{x}") for x in LETTERS],
+        F.max("shared_line").alias("shared_line"), F.max("last_line").alias("last_line"))
+    if pages is None:
+        seen = by_span.withColumn("_img", F.lit(False))
+    else:
+        img = pages.filter("has_images").select("exam_id", F.col("page").alias("_page"), F.lit(True).alias("_img"))
+        seen = by_span.withColumn("_page", F.col("own.page")).join(img, ["exam_id", "_page"], "left")
+    cand = F.when(F.col("own").isNotNull(), F.struct(
+        F.col("own.line_no"), F.col("own.page"), F.coalesce("_img", F.lit(False)).alias("img"), F.col("own.kind"), F.col("own.num"),
+        F.col("own.own_w"), F.col("own.own_e"), F.col("own.raw_w"), F.col("own.raw_e"), F.col("after.kind").alias("after"),
+        "head_w", F.col("end.raw_e").alias("head_e"), F.array(*[F.col(f"set_{x}.words").cast("int") for x in LETTERS]).alias("set"),
+        (F.ascii("opt.letter") - 64).alias("tail")))
+    return seen.groupBy("exam_id").agg(
+        F.array_sort(F.collect_list(cand)).alias("cands"), F.max("shared_line").alias("shared_line"), F.max("last_line").alias("last_line"))
+
+
+@lru_cache(maxsize=16)
+def _fold(allow_reset: bool, cfg: Parser) -> Column:
+    """The fold over ``cands``; building it takes seconds of calls into the JVM, so it is kept."""
+    start = F.struct(*[(F.array_repeat(F.lit(0), 5) if k == "ow" else F.array().cast(_LISTS[k]) if v is None else F.lit(v)).alias(k) for k, v in _START.items()]).cast(_STATE)
+    return F.aggregate("cands", start, _step(allow_reset, cfg), lambda s: F.when(s["on"], _closed(s, F.lit(_END), cfg)).otherwise(s))
+
+
+def scan_numbers(spans: DataFrame, allow_reset: bool = True, cfg: Parser = PARSER) -> DataFrame:
+    """D3, D10, D11 in one fold over the numbered lines of an exam: ``items`` and ``seen``."""
+    done = spans.select("exam_id", "shared_line", "last_line", _fold(allow_reset, cfg).alias("s"))
+    back = lambda i, n: n["confirmed"] & (i < F.col("s.cut"))
+    items = F.transform(F.col("s.items"), lambda n, i: F.struct(
+        *[n[k].alias(k) for k in ("num", "page", "line", "end_line", "score", "stem_words", "useful_options", "requires_source", "skip")],
+        (n["confirmed"] & ~back(i, n)).alias("confirmed"), (back(i, n) | n["forced"]).alias("rolled_back")))
+    return done.select("exam_id", "shared_line", "last_line", items.alias("items"), F.col("s.seen").alias("seen"))
+
+
+def sequence_gate(classified: DataFrame, allow_reset: bool = False, pages: DataFrame | None = None, cfg: Parser = PARSER) -> DataFrame:
+    """D3: numbered lines with the verdict of the sequence gate.
+
+    A number is measured against the last confirmed question before the open one.
+    """
+    scan = scan_numbers(number_spans(classified, pages, cfg), allow_reset, cfg)
+    return scan.select("exam_id", F.inline("seen"))
 
 
-def sequence_gate(classified: DataFrame, allow_reset: bool = False, cfg: Parser = PARSER) -> DataFrame:
-    """D3: numbered lines with the verdict of the sequence gate."""
-    nums = classified.filter(F.col("kind").isin("alone", "start"))
-    blocks = _block_numbers(classified, cfg)
-    return (
-        nums.withColumn("_block", F.expr(_block(cfg)))
-        .join(blocks, ["exam_id", "_block"])
-        .select("exam_id", "page", "line_no", "num", _hit("hits_r" if allow_reset else "hits_a").alias("accepted"))
-    )
+def drop_weak_lead_block(scan: DataFrame) -> DataFrame:
+    """Every numbered item with its verdict; items of a weak first block that a
+    restart at 1 follows are rolled back, and so is the one that was open then."""
+    return scan.select("exam_id", F.inline("items")).withColumn(
+        "status", F.when(F.col("confirmed"), "real_question_confirmed").otherwise("instruction_block")).drop("confirmed", "skip")
 
 
 # --- segments --------------------------------------------------------------
 
 
-def segment_questions(classified: DataFrame, cfg: Parser = PARSER) -> DataFrame:
-    """Question number and role (stem or option letter) of every line, per variant.
+def segment_questions(classified: DataFrame, scan: DataFrame, confirmed_only: bool = False, cfg: Parser = PARSER) -> DataFrame:
+    """Item and role (stem or option letter) of every line that belongs to one.
 
-    Lines before the first question get ``num`` -1; they are kept from the first
-    shared-text lead on. ``mark`` orders the option markers: a repeated marker
-    replaces what was read for its letter before.
+    Lines from the first shared-text lead to the first question have ``num`` -1. ``mark``
+    orders the option markers: a repeated marker replaces what its letter had. Lines meet
+    their item by range of line numbers, so a long exam is many tasks.
     """
-    lines = classified.withColumn("_block", F.expr(_block(cfg)))
-    # The window below needs lines by (exam, block), so the join is a merge on that.
-    joined = lines.join(_block_numbers(classified, cfg).hint("merge"), ["exam_id", "_block"])
-    w = "over (partition by exam_id, _block order by line_no rows between unbounded preceding and current row)"
-    found = joined.selectExpr(
-        "*",
-        f"case when {_IS_NUMBER} then get(filter(hits_a, h -> h.line_no = line_no), 0) end hit_a",
-        f"case when {_IS_NUMBER} then get(filter(hits_r, h -> h.line_no = line_no), 0) end hit_r",
-        f"case when kind = 'option' then {_option_mark()} end here",
-    )
-    rows = found.selectExpr(
-        "exam_id", "page", "line_no", "kind", "letter", "rest", "text", "first", "last", "shared_line",
-        "hit_a is not null is_a", "hit_r is not null is_r",
-        f"last(hit_a) ignore nulls {w} run_a", f"last(hit_r) ignore nulls {w} run_r",
-        f"coalesce(last(here) ignore nulls {w}, in_opt) opt", "in_a", "line_a", "in_r", "line_r",
-    ).selectExpr(
-        "*", "coalesce(run_a.num, in_a) num_a", "coalesce(run_r.state, in_r) state_r",
-    )
-    variants = rows.selectExpr(
-        "exam_id", "page", "line_no", "kind", "letter", "rest", "text", "first", "last", "shared_line", "opt",
-        f"case when is_r and not is_a and state_r = {_RESTARTED}01 then num_a end open_num",
-        f"""inline(filter(array(
-          struct('A' as variant, num_a as num, is_a as is_start, coalesce(cast(run_a.line_no as bigint), line_a) as start_line),
-          case when state_r div 100 = {_RESTARTED} then
-          struct('R' as variant, cast(state_r % 100 as int) as num, is_r as is_start, coalesce(cast(run_r.line_no as bigint), line_r) as start_line) end),
-          v -> v is not null))""",
-    )
-    return (
-        variants.selectExpr(
-            "*", "num >= 0 in_question", "coalesce(num >= 0 and opt.line_no > start_line, false) has_opt",
-            f"{_IS_NUMBER} and not is_start rejected",
-        )
-        .filter("(in_question or (line_no >= shared_line and not rejected))"
-                " and not (rejected and kind = 'alone' and in_question and has_opt)")
-        .selectExpr(
-            "exam_id", "variant", "num", "page", "line_no", "is_start", "kind", "letter",
-            "case when in_question then if(has_opt, opt.letter, 'stem') end role",
-            "if(has_opt, cast(opt.line_no as bigint) * 16 + opt.k, 0L) mark",
-            "first", "last", "open_num",
-            "if(is_start or (in_question and kind = 'option'), rest, text) text",
-        )
-    )
+    wanted = F.filter("items", lambda n: n["confirmed"]) if confirmed_only else F.col("items")
+    none = F.array().cast("array<int>")
+    spans = F.transform(wanted, lambda n: F.struct(n["num"].alias("num"), n["page"].alias("item_page"), n["line"].alias("item_line"), n["end_line"].alias("end_line"), n["skip"].alias("skip")))
+    first = F.coalesce(F.get("items", F.lit(0))["line"], F.lit(_END))
+    shared = F.struct(F.lit(-1).alias("num"), F.lit(None).cast("int").alias("item_page"), F.col("shared_line").alias("item_line"), first.alias("end_line"), none.alias("skip"))
+    all_spans = F.concat(spans, F.when(F.col("shared_line") < first, F.array(shared)).otherwise(F.array().cast(
+        "array<struct<num:int,item_page:int,item_line:int,end_line:int,skip:array<int>>>")))
+    last = F.least(F.col("end_line") - 1, F.col("last_line"))
+    rows = scan.select("exam_id", "last_line", F.inline(all_spans)).select(
+        "exam_id", "num", "item_page", "item_line", "end_line", "skip",
+        F.explode(F.sequence(F.expr(f"item_line div {cfg.block_lines}"), F.floor(last / cfg.block_lines))).alias("_block"))
+    lines = classified.drop("num", "page").withColumn("_block", F.expr(f"cast(line_no as bigint) div {cfg.block_lines}"))
+    met = lines.join(rows, ["exam_id", "_block"]).filter("line_no >= item_line and line_no < end_line")
+    w = Window.partitionBy("exam_id", "item_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    option = (F.col("kind") == "option") & (F.col("num") >= 0)
+    roles = met.withColumn("opt", F.last(F.when(option, F.struct("line_no", "letter")), ignorenulls=True).over(w))
+    start = (F.col("line_no") == F.col("item_line")) & (F.col("num") >= 0)
+    numbered = F.col("kind").isin("alone", "start")
+    dropped = (
+        (~start & (F.col("kind") == "alone") & F.col("opt").isNotNull()) | F.array_contains("skip", F.col("line_no"))
+        | ((F.col("num") < 0) & numbered))
+    return roles.filter(~dropped).select(
+        "exam_id", "num", F.col("item_page").alias("page"), "item_line", "line_no", start.alias("is_start"), "kind", "letter",
+        F.when(F.col("num") >= 0, F.coalesce("opt.letter", F.lit("stem"))).alias("role"),
+        F.coalesce(F.col("opt.line_no").cast("bigint") * 16 + _FIRST, F.lit(0)).alias("mark"), "first", "last",
+        F.when(start | option, F.col("rest")).otherwise(F.col("text")).alias("text"))
 
 
 def _joined_text(condition: str) -> str:
@@ -332,28 +356,30 @@ def _joined_text(condition: str) -> str:
     return f"btrim({pieces}, '{_SPACES_SQL}')"
 
 
+_SPACES_SQL = "".join(f"\\u{ord(c):04x}" for c in SPACES)
+
+
 def assemble_questions(segments: DataFrame) -> DataFrame:
-    """One row per (exam, variant, question), and per shared text (``num`` -1)."""
+    """One row per item, and per shared text (``num`` -1)."""
     is_opt = "(num >= 0 and kind = 'option')"
     pieces = segments.withColumn("parts", F.when(F.expr(is_opt), _inline(F.col("text"))).otherwise(F.array("text")))
     grouped = (
         pieces.selectExpr("*", "posexplode(parts) as (k, part)")
-        .groupBy("exam_id", "variant", "num")
+        .groupBy("exam_id", "item_line", "num")
         .agg(
             F.expr(f"""array_sort(collect_list(struct(line_no, k,
               case when k > 0 then substring(part, 1, 1) when {is_opt} then letter else coalesce(role, 'stem') end as role,
-              if({is_opt}, cast(line_no as bigint) * 16 + k, mark) as mark,
+              if({is_opt}, cast(line_no as bigint) * 16 + if(k = 0, {_FIRST}, k), mark) as mark,
               case when k > 0 then btrim(substring(part, 2), '{_SPACES_SQL}') when {is_opt} then btrim(part, '{_SPACES_SQL}')
                else part end as text)))""").alias("ps"),
-            F.expr("max(if(is_start, page, null))").alias("page"),
+            F.expr("max(page)").alias("page"),
             F.expr("min(line_no)").alias("first_line"),
             F.expr("min(if(kind = 'range', struct(line_no, first, last), null))").alias("rng"),
-            F.expr("max(open_num)").alias("open_num"),
         )
     )
     newest = [f"array_max(transform(filter(ps, p -> p.role = '{x}'), p -> p.mark)) top_{x}" for x in LETTERS]
     return grouped.selectExpr("*", *newest).selectExpr(
-        "exam_id", "variant", "num", "page", "first_line", "open_num", "rng.first first", "rng.last last",
+        "exam_id", "item_line", "num", "page", "first_line", "rng.first first", "rng.last last",
         _joined_text("p.role = 'stem'") + " text",
         *[_joined_text(f"p.role = '{x}' and p.mark = top_{x}") + f" {x.lower()}" for x in LETTERS],
     )
@@ -362,7 +388,7 @@ def assemble_questions(segments: DataFrame) -> DataFrame:
 def shared_texts(assembled: DataFrame) -> DataFrame:
     """Base texts printed before the first question, with their question range."""
     named = F.when(F.col("first").isNotNull(), F.concat_ws("-", F.lit("shared"), "first", "last"))
-    return assembled.filter("num = -1 and variant = 'A'").select(
+    return assembled.filter("num = -1").select(
         "exam_id",
         named.otherwise(F.concat(F.lit("shared-pre-"), F.col("first_line"))).alias("shared_id"),
         "text", "first", "last",
@@ -433,81 +459,44 @@ def confirm_questions(scored: DataFrame, cfg: Parser = PARSER) -> DataFrame:
     return scored.withColumn("status", F.when(ok, "real_question_confirmed").otherwise("instruction_block"))
 
 
-def drop_weak_lead_block(confirmed: DataFrame, cfg: Parser = PARSER) -> DataFrame:
-    """Choose the reading per exam.
-
-    The items finished before a restart were instructions if all confirmed ones
-    are consecutive, there are enough of them and they have few useful options.
-    The item open at the restart goes with them. The window holds accepted
-    numbers only, so at most 201 rows per exam.
-    """
-    w = Window.partitionBy("exam_id")
-    d = confirmed.withColumn("open_num", F.max("open_num").over(w))
-    lead = (F.col("variant") == "A") & (F.col("num") < F.col("open_num")) & (F.col("status") == "real_question_confirmed")
-    n = F.count(F.when(lead, True)).over(w)
-    span = F.max(F.when(lead, F.col("num"))).over(w) - F.min(F.when(lead, F.col("num"))).over(w) + 1
-    weak = (
-        F.col("open_num").isNotNull() & (n >= cfg.weak_min_items) & (span == n)
-        & (
-            (F.avg(F.when(lead, F.col("useful_options"))).over(w) <= cfg.weak_max_useful)
-            | (F.avg(F.when(lead, F.col("score"))).over(w) <= cfg.weak_max_score)
-        )
-    )
-    d = d.withColumn("_weak", F.coalesce(weak, F.lit(False)))
-    lead_block = F.col("_weak") & (F.col("variant") == "A") & (F.col("num") <= F.col("open_num"))
-    return (
-        d.filter(lead_block | F.when(F.col("_weak"), F.col("variant") == "R").otherwise(F.col("variant") == "A"))
-        .withColumn("status", F.when(lead_block, "instruction_block").otherwise(F.col("status")))
-        .withColumn("rolled_back", lead_block)
-        .drop("_weak", "open_num", "variant")
-    )
+def read_numbers(lines: DataFrame, pages: DataFrame | None = None, cfg: Parser = PARSER) -> tuple[DataFrame, DataFrame]:
+    """The labelled lines and the scan of their numbers."""
+    classified = classify_lines(strip_scratch(lines))
+    return classified, scan_numbers(number_spans(classified, pages, cfg), True, cfg)
 
 
-def parse_candidates(lines: DataFrame, pages: DataFrame | None = None, cfg: Parser = PARSER) -> DataFrame:
-    """Every numbered item with score, status and shared text."""
-    assembled = assemble_questions(segment_questions(classify_lines(strip_scratch(lines)), cfg))
-    if pages is None:
-        flagged = assembled.withColumn("requires_source", F.lit(False))
-    else:
-        flagged = flag_requires_source(assembled, pages, cfg)
-    # From here on rows stay with their exam: the shared text rides along its at most 201 rows.
+def parse_questions(lines: DataFrame, pages: DataFrame | None = None, cfg: Parser = PARSER) -> DataFrame:
+    """Confirmed questions with their text, score and shared text."""
+    classified, scan = read_numbers(lines, pages, cfg)
+    assembled = assemble_questions(segment_questions(classified, scan, True, cfg))
+    # One shared text for an exam: it rides along the exam's confirmed questions, of which there are 99 at most.
     w = Window.partitionBy("exam_id")
     named = F.when(F.col("first").isNotNull(), F.concat_ws("-", F.lit("shared"), "first", "last")).otherwise(
         F.concat(F.lit("shared-pre-"), F.col("first_line")))
     base = F.max(F.when(F.col("num") == -1, F.struct("first", "last", named.alias("id"), F.col("text").alias("text")))).over(w)
     covered = F.col("num").between(F.col("_s")["first"], F.col("_s")["last"])
-    items = flagged.withColumn("_s", base).filter("num >= 0").select(
-        "exam_id", "variant", "num", "page", "first_line", "open_num", "text",
-        *[x.lower() for x in LETTERS],
-        F.when(covered, F.col("_s")["id"]).alias("shared_id"),
-        F.when(covered, F.col("_s")["text"]).alias("context_text"),
-        "requires_source",
+    items = assembled.withColumn("_s", base).filter("num >= 0").select(
+        "exam_id", "num", "page", "text", *[x.lower() for x in LETTERS],
+        F.when(covered, F.col("_s")["id"]).alias("shared_id"), F.when(covered, F.col("_s")["text"]).alias("context_text"),
     )
-    return drop_weak_lead_block(confirm_questions(confidence_score(items), cfg), cfg)
-
-
-def parse_questions(
-    lines: DataFrame, pages: DataFrame | None = None, mode: str = "native", cfg: Parser = PARSER
-) -> DataFrame:
-    """Confirmed questions. ``mode="exact"`` runs the sequential machine per exam."""
-    if mode == "exact":
-        from examlens.operators.exact import parse_questions_exact
-
-        return parse_questions_exact(lines, pages, cfg)
-    kept = parse_candidates(lines, pages, cfg).filter("status = 'real_question_confirmed'")
-    return kept.drop("status", "rolled_back", "first_line")
+    flagged = items.withColumn("requires_source", F.lit(False)) if pages is None else flag_requires_source(items, pages, cfg)
+    return confidence_score(flagged)
 
 
-def parsing_log(classified: DataFrame, segments: DataFrame, candidates: DataFrame, shared: DataFrame) -> DataFrame:
-    """One row per event of the parse."""
+def parsing_log(segments: DataFrame, candidates: DataFrame, questions: DataFrame, shared: DataFrame) -> DataFrame:
+    """One row per event of the parse, from all items, their verdicts, the confirmed questions and the shared texts."""
     num = F.col("num")
     verdicts = candidates.select(
         "exam_id", F.col("status").alias("event"), num.alias("num"),
         F.concat(F.lit("stem="), "stem_words", F.lit(" useful="), "useful_options", F.lit(" score="), "score").alias("detail"),
     )
     confirmed = candidates.filter("status = 'real_question_confirmed'")
+    back = candidates.filter("rolled_back")
+    taken = back.groupBy("exam_id").agg(F.min("num").alias("a"), F.max("num").alias("z"), F.count("*").alias("n"))
+    resets = taken.select("exam_id", F.lit("sequence_reset").alias("event"), F.lit(1).alias("num"), F.concat_ws("-", "a", "z").alias("detail"))
+    rollbacks = taken.select("exam_id", F.lit("rollback").alias("event"), F.lit(1).alias("num"), F.col("n").cast("string").alias("detail"))
     gaps = F.array_compact(F.array(*[F.when(F.col(x.lower()) == "", F.lit(x)) for x in LETTERS]))
-    missing = confirmed.filter(F.size(gaps) > 0).select(
+    missing = questions.filter(F.size(gaps) > 0).select(
         "exam_id", F.lit("missing_options").alias("event"), num, F.array_join(gaps, ", ").alias("detail")
     )
     source = candidates.filter("requires_source").select(
@@ -518,8 +507,8 @@ def parsing_log(classified: DataFrame, segments: DataFrame, candidates: DataFram
         F.concat_ws("-", "first", "last").alias("detail"),
     )
     # An option marker that neither follows its predecessor nor starts over.
-    by_line = Window.partitionBy("exam_id", "variant", "num").orderBy("line_no")
-    marks = segments.filter("variant = 'A' and num >= 0 and kind = 'option'").withColumn(
+    by_line = Window.partitionBy("exam_id", "item_line").orderBy("line_no")
+    marks = segments.filter("num >= 0 and kind = 'option'").withColumn(
         "_prev", F.lag("role").over(by_line)
     )
     rank = lambda c: F.ascii(c) - F.lit(64)
@@ -529,4 +518,4 @@ def parsing_log(classified: DataFrame, segments: DataFrame, candidates: DataFram
     totals = confirmed.groupBy("exam_id").agg(F.count("*").alias("n")).select(
         "exam_id", F.lit("total").alias("event"), F.lit(None).cast("int").alias("num"), F.col("n").cast("string").alias("detail")
     )
-    return verdicts.unionByName(missing).unionByName(source).unionByName(texts).unionByName(jumps).unionByName(totals)
+    return verdicts.unionByName(missing).unionByName(source).unionByName(texts).unionByName(jumps).unionByName(totals).unionByName(resets).unionByName(rollbacks)

@@ -61,7 +61,7 @@ def _info(s, d):
 
 
 def _confidence(s, d):
-    q = _q(s, d).filter("exam_id % 11 <> 3")
+    q = _q(s, d)
     return ql.exam_confidence(q.withColumn("score", F.col("confidence").cast("int")), _info(s, d))
 
 
@@ -144,7 +144,7 @@ QUERIES = {
     "template_catalog": lambda s, d: e.template_catalog(view(s, d, "fx_uploads")),
     "with_known_template": lambda s, d: e.with_known_template(view(s, d, "fx_uploads")).select("upload_id", "template_id"),
     "content_hash": _hash_rows,
-    "key_coverage": lambda s, d: ql.key_coverage(_keyed(s, d), _keys(s, d).filter("exam_id % 10 <> 4"), _info(s, d)),
+    "key_coverage": lambda s, d: ql.key_coverage(_keyed(s, d), _keys(s, d), _info(s, d)),
     "questions_expected": lambda s, d: ql.questions_expected(_info(s, d), _keys(s, d)),
     "parsing_health": _health,
     "error_category": lambda s, d: _messages(s, d).select("doc_id", t.error_category(F.col("message")).alias("user_message")),
@@ -157,7 +157,7 @@ QUERIES = {
 _KEYED = """select q.exam_id, q.q_order, x.explicit_answer, coalesce(k.answer, x.explicit_answer) correct_answer, k.answer is not null key_matched, coalesce(k.answer<>x.explicit_answer,false) answer_mismatch
  from fx_questions q left join fx_explicit x on x.exam_id=q.exam_id and x.q_order=q.q_order left join (select * from final where not annulled) k on k.exam_id=q.exam_id and k.q_order=q.q_order"""
 _CONF = """select i.exam_id, coalesce(n,0) questions, coalesce(c,0) confidence, coalesce(s,false) has_short_text from fx_exam_info i left join
- (select exam_id, count(*) n, avg(cast(confidence as int)) c, bool_or(length(trim(question_text))<10) s from fx_questions where exam_id%11<>3 group by exam_id) q on q.exam_id=i.exam_id"""
+ (select exam_id, count(*) n, avg(cast(confidence as int)) c, bool_or(length(trim(question_text))<10) s from fx_questions group by exam_id) q on q.exam_id=i.exam_id"""
 _GATED = """select *, reason is null acceptable from (select *, case when questions<1 then 'LOW_QUESTION_COUNT:'||questions when confidence<80 then 'LOW_CONFIDENCE:'||regexp_replace(cast(confidence as varchar),'\\.0$','') when has_short_text then 'LOW_TEXT_QUALITY' end reason from conf) t"""
 _RANGES = "select * from (values " + ", ".join(
     f"('{a}',{b},'{c}','{d}',{f},{g},cast({h} as double),{str(i).lower()})" for a, b, c, d, f, g, h, i in __import__("examlens.templates", fromlist=["SUBJECT_RANGES"]).SUBJECT_RANGES
@@ -233,7 +233,7 @@ ORACLES = {
     "with_known_template": with_views(("tp", _TEMPLATES), "select upload_id, template_id from fx_uploads where template_id in (select template_id from tp)"),
     "content_hash": with_views(f"select exam_id, q_order, {_hash('question_text', 'opts')} content_hash from ({_ROWS})"),
     "key_coverage": with_views(*rk.STEPS, f"""select i.exam_id, coalesce(a,0) answers, coalesce(q,0) extracted, coalesce(m,0) matched, case when coalesce(q,0)>0 then round(m/q,4) else 0 end coverage, coalesce(a,0)=0 zero_answers from fx_exam_info i
- left join (select exam_id, count(*) a from final where not annulled and exam_id%10<>4 group by exam_id) k on k.exam_id=i.exam_id left join (select exam_id, count(*) q, count(*) filter (where key_matched) m from ({_KEYED}) group by exam_id) x on x.exam_id=i.exam_id where i.has_key"""),
+ left join (select exam_id, count(*) a from final where not annulled group by exam_id) k on k.exam_id=i.exam_id left join (select exam_id, count(*) q, count(*) filter (where key_matched) m from ({_KEYED}) group by exam_id) x on x.exam_id=i.exam_id where i.has_key"""),
     "questions_expected": with_views(*rk.STEPS, "select i.exam_id, case when has_key then (select count(*) from final f where f.exam_id=i.exam_id and not annulled) end questions_expected from fx_exam_info i"),
     "parsing_health": with_views(*rk.STEPS, ("conf", _CONF), ("gated", _GATED), """select exam_id, tier, case when tier='fastpath' then 'healthy' when ins=0 then 'poor' when acceptable then 'healthy' else 'degraded' end health, ins "questionsExtracted", expected "questionsExpected", exam_id*10 "durationMs",
  case when tier='fastpath' then 'fastpath' else 'reader' end "tierUsed", case when tier<>'fastpath' then reason end "fallbackReason" from (select g.*, case when acceptable then 'fastpath' else 'fallback' end tier, case when g.exam_id%13=0 then 0 else g.questions end ins, case when i.has_key then (select count(*) from final f where f.exam_id=g.exam_id and not annulled) end expected from gated g join fx_exam_info i on i.exam_id=g.exam_id) t"""),

@@ -24,12 +24,11 @@ def _attempts(s, d):
 
 
 def _sessions(s, d):
-    return view(s, d, "fx_sessions").filter("session_id % 17 <> 5")
+    return view(s, d, "fx_sessions")
 
 
 def _known(s, d):
-    """Questions without some numbers, so that attempts can miss."""
-    return _q(s, d).filter("(exam_id + q_order) % 13 <> 4")
+    return _q(s, d)
 
 
 def _graded(s, d):
@@ -46,7 +45,7 @@ def _requests(s, d):
 
 
 def _ready(s, d):
-    return z.quiz_ready(_requests(s, d), view(s, d, "fx_exams"), _q(s, d).filter("exam_id % 9 <> 2"))
+    return z.quiz_ready(_requests(s, d), view(s, d, "fx_exams"), _q(s, d))
 
 
 def _options(s, d):
@@ -95,8 +94,8 @@ QUERIES = {
 
 _A = r"nullif(regexp_extract(upper(trim({c})),'^([A-E])(?:$|[).:\-\s])',1),'')"
 STEPS = [
-    ("sess", "select * from fx_sessions where session_id%17<>5"),
-    ("known", "select * from fx_questions where (exam_id+q_order)%13<>4"),
+    ("sess", "select * from fx_sessions"),
+    ("known", "select * from fx_questions"),
     ("tried", f"select a.event_id, a.session_id, s.exam_id, a.q_order, {_A.format(c='a.raw_answer')} answer, a.answered_at, s.session_id is not null has_s, s.finished_at, k.q_order is not null has_q from fx_answers a left join sess s on s.session_id=a.session_id left join known k on k.exam_id=s.exam_id and k.q_order=a.q_order"),
     ("coded", "select *, case when answer is null then 'INVALID_INPUT' when not has_s then 'SESSION_NOT_FOUND' when finished_at is not null then 'SESSION_FINISHED' when not has_q then 'QUESTION_NOT_FOUND' end code from tried"),
     ("verdict", "select *, coalesce(code, case when row_number() over (partition by session_id, q_order, code is null order by answered_at, event_id)>1 then 'QUESTION_ALREADY_ANSWERED' end) reject_code from coded"),
@@ -114,7 +113,7 @@ def _finish(cond: str) -> str:
 _FIN = ("fin", _finish("s.finished_at is null"))
 _READY = """select r.exam_id, r.started_at, r.session_id, code reject_code, case when code is null then n end total_questions from (
  select r.*, n, case when x.status is null then 'EXAM_NOT_FOUND' when x.status in ('queued','processing') then 'EXAM_NOT_READY' when x.status='failed' then 'EXAM_FAILED' when coalesce(n,0)<1 then 'QUESTIONS_NOT_FOUND' end code
- from (select user_id exam_id, min(ts) started_at, min(event_id) session_id from events group by user_id) r left join fx_exams x on x.exam_id=r.exam_id left join (select exam_id, count(*) n from fx_questions where exam_id%9<>2 group by exam_id) q on q.exam_id=r.exam_id) r"""
+ from (select user_id exam_id, min(ts) started_at, min(event_id) session_id from events group by user_id) r left join fx_exams x on x.exam_id=r.exam_id left join (select exam_id, count(*) n from fx_questions group by exam_id) q on q.exam_id=r.exam_id) r"""
 
 
 def _o(select, *more):
