@@ -26,9 +26,9 @@ from .components import components
 @dataclass(frozen=True)
 class CollisionSpec:
     cosine: float = 0.9
-    list_length: int = 4  # vectors in a sorted list, on average
-    lists: int = 16  # lists that a vector stands in; doubled until the calibration is met
-    recall: float = 0.99  # of pairs exactly at the threshold
+    list_length: int = 1  # vectors in a sorted list, on average
+    lists: int = 32  # lists that a vector stands in; doubled until the calibration is met
+    recall: float = 0.97  # of pairs exactly at the threshold
     window: float = 2.5  # half-width, in standard deviations of the difference at the threshold
     sample: int = 1024  # vectors the calibration starts from, at most
     seed: int = 7
@@ -41,10 +41,13 @@ class Projections:
     seed: int
 
     def directions(self, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of one length each: a longer direction would draw more vectors into its lists."""
         rng = np.random.default_rng([self.seed, dim])
         turn, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
         half = max(1, dim // 2)
-        return turn[:, :half] @ rng.standard_normal((half, self.k)), turn[:, half:] @ rng.standard_normal((dim - half, self.k))
+        one, two = (rng.standard_normal((n, self.k)) for n in (half, dim - half))
+        one, two = (d * np.sqrt(len(d)) / np.maximum(np.linalg.norm(d, axis=0), 1e-12) for d in (one, two))
+        return turn[:, :half] @ one, turn[:, half:] @ two
 
     def lists_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For unit rows: the numbers of the projections on which each lies farthest out, and its values there."""
@@ -96,7 +99,8 @@ def near_vectors(vectors: DataFrame, spec: CollisionSpec = CollisionSpec()) -> D
     - a null vec_id has a null component unless a link leads to an id; kept is then false;
     - an empty table gives an empty result; other columns are ignored.
     """
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    plain = F.transform("embedding", lambda x: x + F.lit(0).cast("float"))  # -0 is 0
+    rows = vectors.select("vec_id", plain.alias("embedding"))
     finite = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)), F.lit(False))
     valid = finite & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = stage(rows.withColumn("embedding", F.when(valid, F.col("embedding"))).withColumn("vec", F.xxhash64("embedding")), "rows")
