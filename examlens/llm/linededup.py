@@ -26,10 +26,18 @@ class SpreadSpec:
         return self.sigmas * 1.04 / 2 ** (self.log_k / 2)
 
 
+SALTS = 16
+
+
 def boilerplate(lines: DataFrame, spec: SpreadSpec = SpreadSpec()) -> DataFrame:
-    """(line, sites): the lines on min_sites sites or more, of rows (line, site). A null site counts as no site."""
-    spread = lines.groupBy("line").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a <> b").select("line")
-    sketches = lines.join(spread, "line").groupBy("line").agg(F.hll_sketch_agg("site", F.lit(spec.log_k)).alias("sketch"))
+    """(line, sites): the lines on min_sites sites or more, of rows (doc, line, site). A null site counts as no site.
+
+    A line's sketches are made for each of 16 hashes of its documents and merged, so a very
+    common line is not one task.
+    """
+    spread = stage(lines.groupBy("line").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a <> b").select("line"), "several")
+    salted = lines.join(spread, "line").groupBy("line", F.pmod("doc", F.lit(SALTS)).alias("salt")).agg(F.hll_sketch_agg("site", F.lit(spec.log_k)).alias("sketch"))
+    sketches = salted.groupBy("line").agg(F.hll_union_agg("sketch").alias("sketch"))
     guess = stage(sketches.select("line", F.hll_sketch_estimate("sketch").alias("sites")), "spread")
     low, high = spec.min_sites * (1 - spec.error), spec.min_sites * (1 + spec.error)
     near = guess.where(F.col("sites").between(low, high)).select("line")
@@ -52,7 +60,7 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", spec: SpreadSpec = S
         text.select("doc", "site", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line", F.trim(F.col("line")))
         .where("line <> ''").select("doc", "site", "at", F.xxhash64("line").alias("line")), "lines",
     )
-    bad = boilerplate(lines.select("line", "site"), spec).select("line")
+    bad = boilerplate(lines, spec).select("line")
     gone = lines.join(bad, "line").groupBy("doc").agg(F.collect_set("at").alias("gone"))  # a document's own places
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda line, i: ~F.array_contains("gone", i))
