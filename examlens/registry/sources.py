@@ -102,7 +102,7 @@ ORACLES = {
     "extracted_items": "select doc_id exam_id, p as position, 3-p q_order, text question_text, 'A) x|B) y' options from documents cross join (select unnest([1,2]) p) t where doc_id%7>=4",
     "replace_for_exams": _REPLACED,
     "replace_in_table": _REPLACED,
-    "delete_cascade": with_views("select 'exams' kept, exam_id id from fx_exam_info where exam_id%3<>0 union all select 'questions', exam_id*100+q_order from fx_questions where exam_id%3<>0 union all select 'sessions', session_id from fx_sessions where exam_id%3<>0 union all select 'answers', event_id from fx_answers where exam_id%3<>0"),
+    "delete_cascade": with_views("select 'exams' kept, exam_id id from fx_exam_info where exam_id%3<>0 union all select 'questions', exam_id*100+q_order from fx_questions where exam_id%3<>0 union all select 'sessions', session_id from fx_sessions where exam_id%3<>0 union all select 'answers', event_id from fx_answers where session_id not in (select session_id from fx_sessions where exam_id%3=0)"),
     "patch_questions": with_views(f"""select exam_id, q_order, case when p and n%2=0 then coalesce('edited '||oa, question_text) else question_text end question_text, case when p and n%4=0 then case when n%8=0 then 'ctx' end else context_text end context_text,
  case when p and n%5=0 then 'Física' else subject end subject, case when p then 'E' else correct_answer end correct_answer, source_page from (select *, exam_id+q_order n, (exam_id+q_order)%3=0 and {_EDITABLE} p from fx_questions) t"""),
     "drop_questions": with_views(f"{_QS} where not ((exam_id+q_order)%3=0 and {_EDITABLE})"),

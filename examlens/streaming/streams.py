@@ -85,11 +85,14 @@ def read_first_answers(updates: DataFrame, sessions: DataFrame, questions: DataF
 
 
 class _Session(StatefulProcessor):
-    """Counts of one session and the questions it has answered."""
+    """Counts of one session and the questions it has answered, kept until nothing has come for the time to live."""
+
+    def __init__(self, ttl_ms: int | None) -> None:
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getValueState("counts", "answered int, correct int, last_us bigint, done boolean", ttlDurationMs=None)
-        self.seen = handle.getMapState("seen", "q_order int", "at bigint", ttlDurationMs=None)
+        self.counts = handle.getValueState("counts", "answered int, correct int, last_us bigint, done boolean", ttlDurationMs=self.ttl_ms)
+        self.seen = handle.getMapState("seen", "q_order int", "at bigint", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first: dict[int, tuple] = {}
@@ -130,21 +133,22 @@ class _Session(StatefulProcessor):
         pass
 
 
-def stream_sessions(answers: DataFrame) -> DataFrame:
+def stream_sessions(answers: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """A result per session when its last question is answered or a finish event comes.
 
     ``answers(session_id, q_order, event_id, answered_at, is_correct, is_finish,
     total_questions)``, already graded by a stream-static join. The state of a
-    session is two counts and the numbers it answered. Answers after the end are
-    only counted as rejected.
+    session is two counts and the numbers it answered; with ``ttl_ms`` it goes so long after its
+    last change, for queries that run by processing time and not until the input
+    is used up. Answers after the end are only counted as rejected.
     """
     rows = answers.select(
         "session_id", "q_order", "event_id", "total_questions",
         F.unix_micros(F.col("answered_at").cast("timestamp")).alias("at_us"),
         F.coalesce("is_correct", F.lit(False)).alias("is_correct"), F.coalesce("is_finish", F.lit(False)).alias("is_finish"))
     out = _keyed_state(rows).groupBy("session_id").transformWithStateInPandas(
-        _Session(), "session_id bigint, answered int, correct int, total_questions int, finished_us bigint, rejected int",
-        "append", "none")
+        _Session(ttl_ms), "session_id bigint, answered int, correct int, total_questions int, finished_us bigint, rejected int",
+        "append", "processingTime" if ttl_ms else "none")
     return out.select(
         "session_id", "answered", "correct", "total_questions",
         F.when(F.col("answered").isNotNull(), score_percent(F.col("correct"), F.col("total_questions"))).alias("score"),
