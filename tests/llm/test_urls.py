@@ -35,7 +35,20 @@ def test_distrust_runs_against_links_and_trust_along_them(spark):
         (6, "http://victim.com/", ""), (7, "http://alone.com/", to("alone.com")), (8, "http://both.com/", ""),
     ]
     got = {r.page_id: r.verdict for r in judge_urls(pages(spark, rows)).collect()}
-    assert got == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "allow"}
+    links = {("bad.net", "victim.com"): 1, ("good.org", "friend.com"): 1, ("good.org", "both.com"): 1, ("farm.com", "bad.net"): 1, ("ring.com", "farm.com"): 1, ("friend.com", "bad.net"): 1, ("friend.com", "good.org"): 3}
+
+    def rank(seed, edges):
+        r = {}
+        for _ in range(300):
+            out = {h: sum(n for (a, _), n in edges.items() if a == h) for h, _ in edges}
+            r = {h: 0.15 * (h == seed) + 0.85 * sum(r.get(a, 0) * n / out[a] for (a, b), n in edges.items() if b == h) for e in edges for h in e}
+        return r
+
+    trust, distrust = rank("good.org", links), rank("bad.net", {(b, a): n for (a, b), n in links.items()})
+    by_graph = {h: "block" if distrust[h] > trust[h] else "allow" for h in trust}
+    assert by_graph["farm.com"] == by_graph["ring.com"] == "block" and by_graph["victim.com"] == by_graph["both.com"] == "allow"
+    hosts = {3: "farm.com", 4: "ring.com", 5: "friend.com", 6: "victim.com", 8: "both.com"}
+    assert got == {1: "block", 2: "allow", 7: "allow", **{i: by_graph[h] for i, h in hosts.items()}}
 
 
 def test_ranks_against_plain_iteration(spark):
