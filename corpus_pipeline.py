@@ -8,6 +8,7 @@ from examlens.llm import quality
 from examlens.llm.common import read, stage
 from examlens.llm.decontaminate import without_leaks
 from examlens.llm.mixing import mixed_documents
+from examlens.llm.nearcopies import without_near_copies
 from examlens.llm.sharding import Tree, assign_shards
 from examlens.llm.simhash import one_of_each
 
@@ -18,8 +19,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return one_of_each(docs)
+    """One document of each near-duplicate group stays: by fingerprints, then by five-word shingles of what is left."""
+    return without_near_copies(stage(one_of_each(docs), "single"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
