@@ -18,6 +18,19 @@ def _files(s, d):
     return r.read_documents(s, d, "*.parquet")
 
 
+def _document_files(s, d):
+    """Every document as a file: its path and the bytes of its text."""
+    return table(s, d, "documents").select(
+        F.concat(F.lit("docs/"), "doc_id").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+
+
+def toy_reader(path: str, content: bytes) -> tuple[str, float]:
+    """Stands for the user's reader: fails where the length is a multiple of seven."""
+    if len(content) % 7 == 0:
+        raise ValueError("size")
+    return bytes(content).decode(), min(len(content) / 4096, 1.0)
+
+
 def _results(s, d):
     """Extractor output as JSON text: sound, broken, failed, empty, or with a bad number."""
     doc = table(s, d, "documents")
@@ -76,7 +89,7 @@ def _patches(s, d):
 
 QUERIES = {
     "read_documents": lambda s, d: _files(s, d).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length"),
-    "extract_with": lambda s, d: x.extract_with(_files(s, d), lambda path, content: (path.rsplit("/", 1)[-1], min(len(content) / 1e6, 1.0))),
+    "extract_with": lambda s, d: x.extract_with(_document_files(s, d), toy_reader),
     "validate_uploads": lambda s, d: r.validate_uploads(view(s, d, "fx_uploads")),
     "read_extraction_results": lambda s, d: r.read_extraction_results(_results(s, d)).withColumn("questions", F.size("questions")),
     "extracted_items": lambda s, d: r.extracted_items(r.read_extraction_results(_results(s, d))).select(
@@ -93,6 +106,7 @@ _REPLACED = with_views(f"{_QS} where exam_id%4 not in (1,2) union all select exa
 _EDITABLE = "exam_id in (select exam_id from fx_exams where status in ('reviewing','completed'))"
 
 ORACLES = {
+    "extract_with": "select path, case when bad then '' else t end as text, case when bad then 0e0 else least(strlen(t)/4096e0, 1e0) end confidence, case when bad then 'ValueError:size' end error from (select 'docs/'||doc_id path, coalesce(text,'') t, strlen(coalesce(text,''))%7=0 bad from documents) u",
     "validate_uploads": with_views(
         ("f", f"""select *, case when page_start<=0 then 'page_start' when page_end<=0 then 'page_end' when page_end<page_start then 'page_range' when template_id is not null and template_id not in ('agente-tecnologia','agente-comercial','escriturario','escriturario-agente-comercial') then 'template_id'
  when content_type not in ('application/pdf','image/png','image/jpeg','image/jpg','image/webp') then 'content_type' when size_bytes<=0 or size_bytes>{MAX_UPLOAD_BYTES} then 'size_bytes' end reject_field from fx_uploads"""),

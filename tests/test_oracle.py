@@ -41,4 +41,4 @@ def test_query(name, spark, sf_dir, duck):
 def test_names_and_oracles():
     assert set(ORACLES) <= set(QUERIES)
     assert len(QUERIES) > 100
-    assert set(QUERIES) - set(ORACLES) == {"read_documents", "extract_with"}
+    assert set(QUERIES) - set(ORACLES) == {"read_documents"}
