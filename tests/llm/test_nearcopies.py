@@ -49,6 +49,24 @@ def test_keeps_what_brute_force_keeps(spark):
         assert len(after) < len(before)
 
 
+def test_keeps_the_same_whatever_is_crowded(spark):
+    """Chains (b alike to a, c alike to b only) keep the same ids for all sizes of band values, and exactly what the rule keeps."""
+    rng, texts = random.Random(5), []
+    for _ in range(40):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        b = [*a[18:], *(f"w{rng.randrange(10**6)}" for _ in range(18))]  # 178 of 214 shingles
+        c = [*b[18:], *(f"w{rng.randrange(10**6)}" for _ in range(18))]  # 160 of 232 with a
+        texts += [" ".join(w) for w in (a, a[:-1], b, c)]
+    passage = [f"p{i}" for i in range(120)]
+    texts += [" ".join([*passage, *(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(10, 120)))]) for _ in range(150)]
+    before = dict(enumerate(texts))
+    sets = {i: shingles(t) for i, t in before.items()}
+    want = {i for i in sets if not any(alike(sets[j], sets[i]) for j in range(i))}
+    df = spark.createDataFrame(list(before.items()), "doc_id long, text string")
+    for spec in (NearSpec(), NearSpec(bucket=3, pivots=2), NearSpec(bucket=2, pivots=1, growth=2), NearSpec(bucket=10**6)):
+        assert {r.doc_id for r in without_near_copies(df, spec).collect()} == want
+
+
 def test_minhash_estimates(spark):
     a = np.random.default_rng(1).integers(0, 2**63, 1000, np.uint64)
     assert abs(len(np.intersect1d(a[:900], a[100:])) / 1000 - 0.8) < 0.01
