@@ -53,3 +53,39 @@ def test_calibration_counts_collisions():
     one, two = (x @ d for d in Projections(8, 4, 1).directions(16))
     every = (one[:, :, None] + two[:, None, :]).reshape(256, -1)
     assert np.allclose(np.sort(value, axis=1), np.sort(every, axis=1)[:, -4:])
+
+
+def planted(rng, n, dim):
+    """n unit vectors and a mate for each at a cosine just above 0.9."""
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((n, dim))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return np.concatenate([x, 0.901 * x + np.sqrt(1 - 0.901**2) * z]).astype(np.float32)
+
+
+def test_every_length_reaches_the_recall(spark):
+    """Short vectors are as whole as the commonest length, which alone was calibrated."""
+    rng = np.random.default_rng(6)
+    parts = [planted(rng, 700, 64), planted(rng, 600, 8), planted(rng, 90, 3), planted(rng, 1, 2)]
+    rows = [x for p in parts for x in p]
+    got = {r.vec_id: r.n_links for r in near_vectors(table(spark, list(enumerate(rows)))).collect()}
+    at = 0
+    for p in parts:
+        x = p.astype(np.float64) / np.linalg.norm(p.astype(np.float64), axis=1, keepdims=True)
+        near = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+        links = np.array([got[at + i] for i in range(len(p))])
+        assert (links <= near.sum(axis=1)).all() and links.sum() >= 0.98 * near.sum()
+        at += len(p)
+
+
+def test_unreachable_recall_is_compared_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert calibrated(unit(rng.standard_normal((1024, 3))), 10_000, CollisionSpec()) is None
+    monkeypatch.setattr("examlens.llm.embeddings.BLOCK", 100)
+    x = planted(rng, 300, 3)
+    got = [r.n_links for r in near_vectors(table(spark, list(enumerate(x))), CollisionSpec(few=10**9)).orderBy("vec_id").collect()]
+    y = unit(x.astype(np.float64))
+    assert got == ((y @ y.T >= 0.9).sum(axis=1) - 1).tolist()
