@@ -89,3 +89,7 @@ def test_unreachable_recall_is_compared_in_blocks(spark, monkeypatch):
     got = [r.n_links for r in near_vectors(table(spark, list(enumerate(x))), CollisionSpec(few=10**9)).orderBy("vec_id").collect()]
     y = unit(x.astype(np.float64))
     assert got == ((y @ y.T >= 0.9).sum(axis=1) - 1).tolist()
+
+
+def test_recall_of_pairs_at_the_threshold():
+    assert CollisionSpec().recall >= 0.99
