@@ -11,8 +11,10 @@ from .decontaminate import leaks
 from .embeddings import near_vectors
 from .linededup import drop_boilerplate
 from .mixing import mix, taken_words
+from .resample import resampled
 from .sharding import Tree, assign_shards
 from .simhash import fingerprint_hex, near_duplicates
+from .tokens import token_counts
 from .urls import judge_urls
 
 
@@ -60,9 +62,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_quality, op3_decontamination, op4_line_dedup, op5_language,
-    op6_embedding_dedup, op7_toxicity, op8_mixing, op9_simhash, op10_url_filter,
+    op6_embedding_dedup, op7_toxicity, op8_mixing, op9_simhash, op10_url_filter, op11_token_counts,
+    op12_resampling,
 )}
 ORACLES = {
     "op1_sharding": sql.shard_sql(),
@@ -70,4 +83,5 @@ ORACLES = {
     "op4_line_dedup": sql.lines_sql(),
     "op8_mixing": sql.mix_sql(),
     "op10_url_filter": sql.urls_sql(),
+    "op12_resampling": sql.resample_sql(),
 }

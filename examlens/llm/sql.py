@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import SeedSpec
 from .linededup import SpreadSpec
 from .mixing import BUCKETS, MixSpec
+from .resample import ResampleSpec
 from .sharding import BLOCKS
 from .urls import LINK, RULES
 
@@ -124,3 +125,29 @@ base as (select v as kind, host, {1 - damping!r} * count(*) / sum(count(*)) over
 r0 as (select kind, host, base as rank from base),{steps}
 g as (select host from r{rounds} group by host having coalesce(sum(case when kind = 'block' then rank end), 0) > coalesce(sum(case when kind = 'allow' then rank end), 0))
 select page_id, host, path, rule, coalesce(v, case when host in (select host from g) then 'block' else 'allow' end) as verdict from j"""
+
+
+def resample_sql(docs: str = "documents", target: str = "benchmark", spec: ResampleSpec = ResampleSpec()) -> str:
+    """op12: distinct n-grams are hashed byte by byte."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    words = f"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}'), [])"
+    grams = " || ".join(f"list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))" for n in range(1, spec.order + 1))
+    return f"""
+with {CRC_TABLE},
+d0 as materialized (select row_number() over () as r, doc_id, {words} as w from {docs}),
+b0 as (select {words} as w from {target}),
+dg as materialized (select r, g, count(*) as k from (select r, unnest({grams}) as g from d0) group by all),
+bg as materialized (select g, count(*) as k from (select unnest({grams}) as g from b0) group by all),
+every as (select distinct g from (select g from dg union all select g from bg)),
+hashed as materialized (select g, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(g)), '..'), lambda x: cast('0x' || x as bigint))),
+  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % {spec.buckets} as b from every, crc_table),
+s as (select b, sum(k) as s from dg join hashed using (g) group by b), t as (select b, sum(k) as t from bg join hashed using (g) group by b),
+total as (select (select coalesce(sum(s), 0) from s)::double + {spec.buckets} as s_all, (select coalesce(sum(t), 0) from t)::double + {spec.buckets} as t_all),
+gain as (select s.b, floor(1000.0::double * ln((coalesce(t.t, 0) + 1)::double * s_all / ((s.s + 1)::double * t_all)))::bigint as gain from s left join t using (b), total),
+weight as (select r, sum(k) as f, sum(k * gain) as weight from dg join hashed using (g) join gain using (b) group by r),
+scored as (select r, doc_id, len(w) as n_words, coalesce(f, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+  cast('0x' || substr(sha256('{spec.seed}:' || coalesce(doc_id::varchar, '')), 1, 8) as bigint) as h from d0 left join weight using (r)),
+drawn as (select *, weight + floor(-1000.0::double * ln(-ln((h + 0.5::double) / 4294967296.0::double)))::bigint as score from scored),
+ranked as (select r, row_number() over (order by score desc, doc_id nulls last, weight, n_features) as rank from drawn where n_words >= {spec.min_words}),
+most as (select {spec.percent} * count(*) // 100 as n from ranked)
+select doc_id, n_features, weight, score, case when rank <= n then rank end::bigint as rank from drawn left join ranked using (r), most"""
