@@ -11,6 +11,7 @@ from .decontaminate import leaks
 from .embeddings import near_vectors
 from .linededup import drop_boilerplate
 from .mixing import mix, taken_words
+from .phrases import collocations
 from .resample import resampled
 from .sharding import Tree, assign_shards
 from .simhash import fingerprint_hex, near_duplicates
@@ -72,10 +73,14 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_quality, op3_decontamination, op4_line_dedup, op5_language,
     op6_embedding_dedup, op7_toxicity, op8_mixing, op9_simhash, op10_url_filter, op11_token_counts,
-    op12_resampling,
+    op12_resampling, op13_collocations,
 )}
 ORACLES = {
     "op1_sharding": sql.shard_sql(),
@@ -84,4 +89,5 @@ ORACLES = {
     "op8_mixing": sql.mix_sql(),
     "op10_url_filter": sql.urls_sql(),
     "op12_resampling": sql.resample_sql(),
+    "op13_collocations": sql.phrases_sql(),
 }

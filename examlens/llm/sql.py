@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import SeedSpec
 from .linededup import SpreadSpec
 from .mixing import BUCKETS, MixSpec
+from .phrases import PhraseSpec
 from .resample import ResampleSpec
 from .sharding import BLOCKS
 from .urls import LINK, RULES
@@ -151,3 +152,26 @@ drawn as (select *, weight + floor(-1000.0::double * ln(-ln((h + 0.5::double) /
 ranked as (select r, row_number() over (order by score desc, doc_id nulls last, weight, n_features) as rank from drawn where n_words >= {spec.min_words}),
 most as (select {spec.percent} * count(*) // 100 as n from ranked)
 select doc_id, n_features, weight, score, case when rank <= n then rank end::bigint as rank from drawn left join ranked using (r), most"""
+
+
+def phrases_sql(docs: str = "documents", spec: PhraseSpec = PhraseSpec()) -> str:
+    """op13 by phrases as text, every inner phrase looked up."""
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    grams = " union all ".join(f"select lang, unnest(list_transform(range(1, len(w) - {m - 2}), lambda i: array_to_string(w[i:i + {m - 1}], ' '))) as p from pieces" for m in range(1, spec.longest + 1))
+    return f"""
+with split as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({low}, '[.,;:!?\\x0A-\\x0D]')) as piece from {docs}),
+pieces as materialized (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from split),
+total as (select lang, sum(len(w))::bigint as n from pieces group by lang),
+f as materialized (select lang, p, count(*) as f, string_split(p, ' ') as w from ({grams}) group by lang, p having count(*) >= {spec.least}),
+cand as (select lang, p, f as a, w, len(w) as m from f where len(w) > 1),
+cuts as (select lang, p, a, unnest(range(1, m)) as k, w, m from cand),
+parts as (select lang, p, a, k, array_to_string(w[1:k], ' ') as lp, array_to_string(w[k + 1:m], ' ') as rp from cuts),
+scored as (select c.lang, c.p, c.a, c.k, x.f as l, y.f as r, n, ((1000::hugeint * c.a * n) // (x.f::hugeint * y.f))::bigint as score
+  from parts c join f x on x.lang = c.lang and x.p = c.lp join f y on y.lang = c.lang and y.p = c.rp join total t on t.lang = c.lang),
+best as (select * from scored qualify row_number() over (partition by lang, p order by score, k) = 1),
+inside as (select lang, a, m, w, unnest(range(1, m)) as i from cand),
+subs as (select lang, a, array_to_string(w[i:i + j - 1], ' ') as p from (select *, unnest(range(2, m)) as j from inside) where i + j - 1 <= m),
+around as (select lang, p, max(a) as around from subs group by lang, p),
+kept as (select b.* from best b left join around using (lang, p) where around is null or 100 * around < {spec.inside} * b.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, p) as rank from kept)
+select lang, rank::bigint as rank, p as phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score from ranked where rank <= {spec.top}"""
