@@ -29,7 +29,9 @@ class PhraseSpec:
     inside: int = 100  # percent of its occurrences in a longer candidate by which one is dropped
     top: int = 2000  # phrases of a language
     chunk: int = 1 << 21  # bytes of text that share a dictionary
-    entries: int = 1 << 20  # entries of a filter in a task, and on average at most of a merged block
+    entries: int = 1 << 22  # n-grams that go into one filter of a task
+    block: int = 1 << 20  # n-grams of a merged block, on average at most
+    words: int = 200_000  # a dictionary of so many words, and 64 bytes for each, may be broadcast; a larger one is joined
     slots: int = 8  # bits of the bitmap for each frequent n-gram
     most_bits: int = 27  # the bitmap has 2**27 bits (16 MB) at most
 
@@ -108,9 +110,28 @@ def word_table(chunks: DataFrame, spec: PhraseSpec = PhraseSpec()) -> tuple[Data
     return stage(ids.select("lang", "word", "f", (F.col("gid") + 1).cast("int").alias("gid")), "dictionary"), total
 
 
-def encoded(chunks: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(lang, lead, ids): chunks as ids of the dictionary; 0 is a break or a word that is not in it. A chunk's
-    words meet the dictionary in a join, and come back to the chunk as one small row."""
+def encoded(chunks: DataFrame, dictionary: DataFrame, spec: PhraseSpec = PhraseSpec()) -> DataFrame:
+    """(lang, lead, ids): chunks as ids of the dictionary; 0 is a break or a word that is not in it.
+
+    A dictionary up to the bound is sent to all tasks. Beyond, the chunks' words meet it in a
+    join, and come back to the chunk as one small row.
+    """
+    rows, size = dictionary.agg(F.count("*"), F.sum(F.octet_length("word").cast("long"))).first()
+    if rows <= spec.words and (size or 0) <= 64 * spec.words:
+        known: dict[str, dict[str, int]] = {}
+        for lang, word, gid in dictionary.select("lang", "word", "gid").collect():  # spec.words rows at most
+            known.setdefault(lang, {})[word] = gid
+        sent = chunks.sparkSession.sparkContext.broadcast(known)
+
+        def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for lang, words, ids in zip(batch["lang"], batch["words"], batch["ids"]):
+                    of = sent.value.get(lang, {})
+                    out.append(np.array([0, *[of.get(w, 0) for w in words]], np.int32)[np.frombuffer(ids, np.int32)].tobytes())
+                yield pd.DataFrame({"lang": batch["lang"], "lead": batch["lead"], "ids": out})
+
+        return stage(chunks.select("lang", "lead", "words", "ids").mapInPandas(look_up, "lang string, lead int, ids binary"), "encoded")
     words = chunks.select("chunk", "lang", F.posexplode("words").alias("at", "word"))
     maps = words.join(dictionary.select("lang", "word", "gid"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("at", "gid")).alias("map"))
 
@@ -132,70 +153,103 @@ def encoded(chunks: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 _U = np.uint64
 _ODD = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-_BACK = tuple(_U(pow(m, -1, 1 << 64)) for m in _ODD)
+_BACK = tuple(pow(m, -1, 1 << 64) for m in _ODD)
 _ROUNDS = 2
 
 
-def _unshift(x: np.ndarray, by: int) -> np.ndarray:
-    got = x
-    for _ in range(64 // by):
-        got = x ^ (got >> _U(by))
-    return got
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(_ODD[0])
-    x = (x ^ (x >> _U(27))) * _U(_ODD[1])
-    return x ^ (x >> _U(31))
-
-
-def _unmix(x: np.ndarray) -> np.ndarray:
-    x = _unshift(x, 31) * _BACK[1]
-    x = _unshift(x, 27) * _BACK[0]
-    return _unshift(x, 30)
-
-
-def _turn(x: np.ndarray, i: int, r: int, key: int) -> np.ndarray:
-    """What limb i is combined with in round r: the limb before it and the key."""
-    add = _U((key * 0x9E3779B97F4A7C15 + r * 64 + i + 1) % (1 << 64))
-    return x[i - 1] * _U(0x2545F4914F6CDD1D) + add if len(x) > 1 else np.full(x.shape[1], add)
-
-
-def permute(x: np.ndarray, key: int) -> np.ndarray:
-    """A permutation of all keys of as many 64-bit limbs as `x` has rows."""
-    x = x.copy()
-    for r in range(_ROUNDS):
-        for i in range(len(x)):
-            x[i] = _mix(x[i] ^ _turn(x, i, r, key))
-    return x
-
-
-def restore(x: np.ndarray, key: int) -> np.ndarray:
-    """The inverse of `permute`."""
-    x = x.copy()
-    for r in reversed(range(_ROUNDS)):
-        for i in reversed(range(len(x))):
-            x[i] = _unmix(x[i]) ^ _turn(x, i, r, key)
-    return x
-
-
-def pack(words: np.ndarray, bits: int) -> np.ndarray:
-    """Rows of ids, one for each place of the n-gram, as limbs: as many ids to a limb as go in whole."""
-    per = 64 // bits
-    limbs = np.zeros((-(-len(words) // per), words.shape[1]), _U)
-    for k, w in enumerate(words):
-        limbs[k // per] = (limbs[k // per] << _U(bits)) | w.astype(_U)
-    return limbs
-
-
-def unpack(limbs: np.ndarray, size: int, bits: int) -> np.ndarray:
-    per = 64 // bits
-    out = np.zeros((size, limbs.shape[1]), np.int64)
-    for j, limb in enumerate(limbs):
-        here = range(j * per, min(size, (j + 1) * per))
-        for k in here:
-            out[k] = (limb >> _U(bits * (here[-1] - k))) & _U((1 << bits) - 1)
-    return out
+@dataclass(frozen=True)
+class Layout:
+    """How `size` ids of `bits` bits lie in limbs of equal width, with no more than 64 bits each."""
+
+    size: int
+    bits: int
+
+    @property
+    def limbs(self) -> int:
+        return -(-self.size // (64 // self.bits))
+
+    @property
+    def per(self) -> int:
+        return -(-self.size // self.limbs)
+
+    @property
+    def width(self) -> int:
+        return self.per * self.bits
+
+    def pack(self, words: np.ndarray) -> np.ndarray:
+        """Rows of ids, one for each place of the n-gram, as rows of limbs."""
+        out = np.zeros((self.limbs, words.shape[1]), _U)
+        for k, w in enumerate(words):
+            out[k // self.per] = (out[k // self.per] << _U(self.bits)) | w.astype(_U)
+        return out
+
+    def unpack(self, limbs: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.size, limbs.shape[1]), np.int64)
+        for k in range(self.size):
+            last = min(self.size, (k // self.per + 1) * self.per) - 1
+            out[k] = (limbs[k // self.per] >> _U(self.bits * (last - k))) & _U((1 << self.bits) - 1)
+        return out
+
+    def _times(self, x: np.ndarray, m: int) -> np.ndarray:
+        return (x * _U(m)) & _U((1 << self.width) - 1)
+
+    def _fold(self, x: np.ndarray) -> np.ndarray:
+        """Half of the bits onto the other half; its own inverse."""
+        return x ^ (x >> _U((self.width + 1) // 2))
+
+    def _turn(self, x: np.ndarray, i: int, r: int, key: int) -> np.ndarray:
+        """What limb i is combined with in round r: the limb before it and the key."""
+        add = _U((key * 0x9E3779B97F4A7C15 + r * 64 + i + 1) % (1 << 64))
+        mixed = x[i - 1] * _U(0x2545F4914F6CDD1D) + add if self.limbs > 1 else np.full(x.shape[1], add)
+        return mixed >> _U(64 - self.width)
+
+    def permute(self, x: np.ndarray, key: int) -> np.ndarray:
+        """A permutation of all keys of this layout."""
+        x = x.copy()
+        for r in range(_ROUNDS):
+            for i in range(self.limbs):
+                y = x[i] ^ self._turn(x, i, r, key)
+                x[i] = self._fold(self._times(self._fold(self._times(self._fold(y), _ODD[0])), _ODD[1]))
+        return x
+
+    def restore(self, x: np.ndarray, key: int) -> np.ndarray:
+        """The inverse of `permute`."""
+        x = x.copy()
+        for r in reversed(range(_ROUNDS)):
+            for i in reversed(range(self.limbs)):
+                y = self._fold(self._times(self._fold(self._times(self._fold(x[i]), _BACK[1])), _BACK[0]))
+                x[i] = y ^ self._turn(x, i, r, key)
+        return x
+
+    def quotient(self, limbs: np.ndarray, bits: int) -> np.ndarray:
+        return (limbs[0] >> _U(self.width - bits)).astype(np.int64) if bits else np.zeros(limbs.shape[1], np.int64)
+
+    def write(self, keys: np.ndarray, block: int, block_bits: int) -> bytes:
+        """Sorted keys of one block. The first limb is kept as the step from the key before, byte by byte in
+        planes: of dense filters only remainders are left. Further limbs are kept whole."""
+        base = _U(block << (self.width - block_bits) if block_bits else 0)
+        steps = np.diff(keys[0], prepend=base)
+        return b"".join([planes(steps, (int(steps.max()).bit_length() + 7) // 8), *[planes(k, -(-self.width // 8)) for k in keys[1:]]])
+
+    def read(self, data: bytes, n: int, block: int, block_bits: int) -> np.ndarray:
+        base = _U(block << (self.width - block_bits) if block_bits else 0)
+        tail = n * -(-self.width // 8) * (self.limbs - 1)
+        head = data[: len(data) - tail]
+        rest = data[len(head):]
+        size = len(rest) // max(1, self.limbs - 1)
+        return np.stack([base + np.cumsum(whole(head, n), dtype=_U), *[whole(rest[i * size:(i + 1) * size], n) for i in range(self.limbs - 1)]])
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The lowest `width` bytes of each number, all first bytes first."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def whole(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    width = len(data) // n
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
+    return out.reshape(-1).view(_U)
 
 
 def counted(limbs: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -210,12 +264,7 @@ def counted(limbs: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.nda
     return limbs[:, first], np.add.reduceat(counts[order], first)
 
 
-def quotient(limbs: np.ndarray, bits: int) -> np.ndarray:
-    return (limbs[0] >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(limbs.shape[1], np.int64)
-
-
-def has(bitmap: np.ndarray, bits: int, limbs: np.ndarray) -> np.ndarray:
-    at = quotient(limbs, bits)
+def has(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
 
 
@@ -223,13 +272,15 @@ def lang_key(lang: str) -> int:
     return zlib.crc32(lang.encode())
 
 
-def frequent_grams(coded: DataFrame, size: int, id_bits: int, block_bits: int, shorter: DataFrame | None, spec: PhraseSpec = PhraseSpec()) -> DataFrame:
-    """(lang, ids, f, key) of the n-grams of `size` words that are frequent; key is the first permuted limb.
+def frequent_grams(coded: DataFrame, layout: Layout, block_bits: int, shorter: DataFrame | None, spec: PhraseSpec = PhraseSpec()) -> DataFrame:
+    """(lang, ids, f, key) of the n-grams of `layout.size` words that are frequent; key is the first permuted limb.
     `shorter`: the same for one word less, or None if single words are all that is known."""
+    size, block_bits = layout.size, min(block_bits, layout.width)
     ends = None
     if shorter is not None:
-        bits = min(spec.most_bits, max(16, (spec.slots * shorter.count()).bit_length()))
-        ends = bits, coded.sparkSession.sparkContext.broadcast(bitmap_of(shorter, bits))  # 2**(most_bits - 3) bytes at most
+        below = Layout(size - 1, layout.bits)
+        bits = min(spec.most_bits, below.width, max(16, (spec.slots * shorter.count()).bit_length()))
+        ends = below, bits, coded.sparkSession.sparkContext.broadcast(bitmap_of(shorter, below, bits))  # 2**(most_bits - 3) bytes at most
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[np.ndarray]] = {}
@@ -240,12 +291,12 @@ def frequent_grams(coded: DataFrame, size: int, id_bits: int, block_bits: int, s
                 keys, counts = counted(np.concatenate(found, axis=1))
                 if not len(counts):
                     continue
-                cuts = np.searchsorted(quotient(keys, block_bits), np.arange((1 << block_bits) + 1))
+                cuts = np.searchsorted(layout.quotient(keys, block_bits), np.arange((1 << block_bits) + 1))
                 full = np.flatnonzero(np.diff(cuts))
                 narrow = counts.astype(np.min_scalar_type(int(counts.max())))
                 yield pd.DataFrame({
-                    "lang": [lang] * len(full), "block": full.astype(np.int32),
-                    "keys": [np.ascontiguousarray(keys[:, cuts[b]:cuts[b + 1]]).tobytes() for b in full],
+                    "lang": [lang] * len(full), "block": full.astype(np.int32), "n": np.diff(cuts)[full],
+                    "keys": [layout.write(keys[:, cuts[b]:cuts[b + 1]], int(b), block_bits) for b in full],
                     "counts": [narrow[cuts[b]:cuts[b + 1]].tobytes() for b in full]})
             held.clear()
 
@@ -255,39 +306,38 @@ def frequent_grams(coded: DataFrame, size: int, id_bits: int, block_bits: int, s
                 first = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(ids != 0, size).all(axis=1)) if len(ids) >= size else np.zeros(0, np.int64)
                 first = first[first + size > lead]
                 key = lang_key(lang)
-                for part in np.array_split(first, max(1, len(first) // spec.entries + 1)):
+                for part in np.array_split(first, len(first) // spec.entries + 1):
                     words = np.stack([ids[part + k] for k in range(size)])
                     if ends is not None and len(part):
-                        bits, bitmap = ends[0], ends[1].value
-                        ok = has(bitmap, bits, permute(pack(words[:-1], id_bits), key))
-                        words = words[:, ok]
-                        words = words[:, has(bitmap, bits, permute(pack(words[1:], id_bits), key))]
-                    held.setdefault(lang, []).append(permute(pack(words, id_bits), key))
+                        below, bits, bitmap = ends
+                        for end in (slice(0, -1), slice(1, None)):
+                            words = words[:, has(bitmap.value, below.quotient(below.permute(below.pack(words[end]), key), bits))]
+                    held.setdefault(lang, []).append(layout.permute(layout.pack(words), key))
                     total += words.shape[1]
                     if total >= spec.entries:
                         yield from flush()
                         total = 0
         yield from flush()
 
-    def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        limbs = len(pack(np.zeros((size, 1), np.int32), id_bits))
-        keys = [np.frombuffer(k, _U).reshape(limbs, -1) for k in parts["keys"]]
-        counts = [np.frombuffer(c, f"u{len(c) // k.shape[1]}").astype(np.int64) for c, k in zip(parts["counts"], keys)]
+    def merge(group: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        lang, block = group
+        keys = [layout.read(k, n, block, block_bits) for k, n in zip(parts["keys"], parts["n"])]
+        counts = [np.frombuffer(c, f"u{len(c) // n}").astype(np.int64) for c, n in zip(parts["counts"], parts["n"])]
         merged, f = counted(np.concatenate(keys, axis=1), np.concatenate(counts))
         often = f >= spec.least
         merged, f = merged[:, often], f[often]
-        ids = unpack(restore(merged, lang_key(key[0])), size, id_bits)
-        return pd.DataFrame({"lang": pd.Series([key[0]] * len(f), dtype=object), "ids": pd.Series(list(ids.T.astype(np.int32)), dtype=object), "f": f, "key": merged[0].view(np.int64)})
+        ids = layout.unpack(layout.restore(merged, lang_key(lang))).T.astype(np.int32)
+        return pd.DataFrame({"lang": pd.Series([lang] * len(f), dtype=object), "ids": pd.Series(list(ids), dtype=object), "f": f, "key": merged[0].view(np.int64)})
 
-    filters = coded.mapInPandas(fill, "lang string, block int, keys binary, counts binary")
+    filters = coded.mapInPandas(fill, "lang string, block int, n long, keys binary, counts binary")
     return stage(filters.groupBy("lang", "block").applyInPandas(merge, "lang string, ids array<int>, f long, key long"), f"grams{size}")
 
 
-def bitmap_of(grams: DataFrame, bits: int) -> np.ndarray:
+def bitmap_of(grams: DataFrame, layout: Layout, bits: int) -> np.ndarray:
     """The quotients of `bits` bits that occur, as a bitmap; comes to the driver in pages of 4 KB that are full of its bits."""
-    slot = F.shiftrightunsigned(F.col("key"), 64 - bits) + 1
+    slot = F.shiftrightunsigned(F.col("key"), layout.width - bits) + 1
     pages = grams.groupBy(F.bitmap_bucket_number(slot).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    out = np.zeros(max(1 << (bits - 3), 4096), np.uint8)
+    out = np.zeros(max(1 << max(0, bits - 3), 4096), np.uint8)
     for page, found in pages.collect():
         out[(page - 1) * 4096:page * 4096] = np.frombuffer(found, np.uint8)
     return out
@@ -304,18 +354,19 @@ def collocations(docs: DataFrame, spec: PhraseSpec = PhraseSpec()) -> DataFrame:
     - equal scores go by occurrences, then by the phrase in byte order, so no ties are left;
     - an empty table, or one without frequent phrases, gives an empty result.
 
-    Products are decimals of 38 digits. Nothing but bitmaps of bounded size is broadcast by hand.
+    Products are decimals of 38 digits. Bitmaps and dictionaries of bounded size are
+    all that is broadcast by hand.
     """
     chunks = chunks_of(docs, spec)
     dictionary, total = word_table(chunks, spec)
-    coded = encoded(chunks, dictionary)
+    coded = encoded(chunks, dictionary, spec)
     top_id = dictionary.agg(F.max("gid")).first()[0] or 1
     most = total.agg(F.max("n")).first()[0] or 1
-    id_bits, block_bits = int(top_id).bit_length(), max(0, (int(most) // spec.entries).bit_length())
+    id_bits, block_bits = int(top_id).bit_length(), max(0, (int(most) // spec.block).bit_length())
     grams = dictionary.select("lang", F.array("gid").alias("ids"), "f")
     shorter = None
     for size in range(2, spec.longest + 1):
-        shorter = frequent_grams(coded, size, id_bits, block_bits, shorter, spec)
+        shorter = frequent_grams(coded, Layout(size, id_bits), block_bits, shorter, spec)
         grams = grams.unionByName(shorter.drop("key"))
     return ranked(stage(grams, "grams"), dictionary, total, spec)
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from tables import docs
 
-from examlens.llm.phrases import PhraseSpec, collocations, counted, lang_key, pack, permute, restore, unpack
+from examlens.llm.phrases import Layout, PhraseSpec, collocations, counted, lang_key
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -55,10 +55,21 @@ def test_permutation_is_lossless():
     rng = np.random.default_rng(1)
     for bits in (3, 14, 21, 32):
         for size in (2, 3, 4, 5):
+            layout, en = Layout(size, bits), lang_key("en")
             words = rng.integers(1, 1 << bits, (size, 500)).astype(np.int64)
-            keys = permute(pack(words, bits), lang_key("en"))
-            assert (unpack(restore(keys, lang_key("en")), size, bits) == words).all()
+            keys = layout.permute(layout.pack(words), en)
+            assert (layout.unpack(layout.restore(keys, en)) == words).all() and layout.width <= 64
             assert len(np.unique(keys.T, axis=0)) == len(np.unique(words.T, axis=0))
+            # Written by blocks and read again
+            keys, _ = counted(keys)
+            for block_bits in (0, 2):
+                at = layout.quotient(keys, block_bits)
+                for block in np.unique(at):
+                    part = keys[:, at == block]
+                    assert (layout.read(layout.write(part, int(block), block_bits), part.shape[1], int(block), block_bits) == part).all()
+    small = Layout(2, 3)
+    every = np.array([[a, b] for a in range(8) for b in range(8)]).T
+    assert sorted(small.permute(small.pack(every), 7)[0].tolist()) == list(range(64))
 
 
 def test_filters_merge():
@@ -74,7 +85,7 @@ def test_filters_merge():
 
 def test_against_plain_loops(spark):
     rows = made()
-    for spec in (PhraseSpec(least=4, top=50), PhraseSpec(least=3, top=9, inside=60, chunk=64, entries=32, slots=1)):
+    for spec in (PhraseSpec(least=4, top=50), PhraseSpec(least=3, top=9, inside=60, chunk=64, entries=32, block=16, slots=1, words=2)):
         got = sorted(map(tuple, collocations(frame(spark, rows), spec).collect()))
         assert got == plain(rows, spec) and got
 
