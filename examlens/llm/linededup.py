@@ -27,6 +27,7 @@ class SpreadSpec:
 
 
 SALTS = 16
+AROUND = " \t\n\v\f\r"  # a line is compared without these at its ends
 
 
 def boilerplate(lines: DataFrame, spec: SpreadSpec = SpreadSpec()) -> DataFrame:
@@ -48,7 +49,8 @@ def boilerplate(lines: DataFrame, spec: SpreadSpec = SpreadSpec()) -> DataFrame:
 def drop_boilerplate(docs: DataFrame, site: str = "source", spec: SpreadSpec = SpreadSpec()) -> DataFrame:
     """doc_id, n_lines, n_removed and the text without boilerplate lines, one row for each row of `docs`.
 
-    Lines end at a line feed and are compared without white space around them.
+    Lines end at a line feed and are compared without ASCII white space around them,
+    so with or without a carriage return or tab at their ends.
 
     - a null text stays null with 0 lines; an empty line is never boilerplate;
     - rows without a site keep their other lines like any other, but add no site;
@@ -57,7 +59,7 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", spec: SpreadSpec = S
     """
     text = docs.select("doc_id", F.col(site).alias("site"), "text").withColumn("doc", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text"))
     lines = stage(
-        text.select("doc", "site", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line", F.trim(F.col("line")))
+        text.select("doc", "site", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line", F.btrim(F.col("line"), F.lit(AROUND)))
         .where("line <> ''").select("doc", "site", "at", F.xxhash64("line").alias("line")), "lines",
     )
     bad = boilerplate(lines, spec).select("line")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import SeedSpec
-from .linededup import SpreadSpec
+from .linededup import AROUND, SpreadSpec
 from .mixing import BUCKETS, MixSpec
 from .phrases import PhraseSpec
 from .resample import ResampleSpec
@@ -69,12 +69,13 @@ select doc_id, item_id, max(n)::int as words, max(m)::int as matches from counte
 
 
 def lines_sql(spec: SpreadSpec = SpreadSpec()) -> str:
+    around = " || ".join(f"chr({ord(c)})" for c in AROUND)
     return f"""
 with d as (select row_number() over () as row, doc_id, source, text, string_split(text, chr(10)) as l from documents),
-e as (select row, source, trim(unnest(l), ' ') as line from d),
+e as (select row, source, trim(unnest(l), {around}) as line from d),
 bad as (select line from e where line <> '' group by line having count(distinct source) >= {spec.min_sites}),
 f as (select row, unnest(l) as raw, unnest(range(len(l))) as nr from d),
-g as (select f.row, count(bad.line) as gone, string_agg(case when bad.line is null then raw end, chr(10) order by nr) as text from f left join bad on trim(raw, ' ') = bad.line group by f.row)
+g as (select f.row, count(bad.line) as gone, string_agg(case when bad.line is null then raw end, chr(10) order by nr) as text from f left join bad on trim(raw, {around}) = bad.line group by f.row)
 select doc_id, coalesce(len(l), 0)::int as n_lines, coalesce(gone, 0)::int as n_removed,
   case when d.text is null then null when coalesce(gone, 0) = 0 then d.text else coalesce(g.text, '') end as text
 from d left join g using (row)"""

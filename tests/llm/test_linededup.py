@@ -25,3 +25,11 @@ def test_near_and_far_from_the_threshold(spark):
         for r in drop_boilerplate(docs(spark, rows), spec=spec).collect():
             want = "\n".join(x for x in rows[r.doc_id][1].split("\n") if len(sites[x.strip()]) < 5)
             assert r.text == want and r.n_lines == 3
+
+
+def test_white_space_at_the_ends_is_no_difference(spark):
+    """The same line with and without a carriage return, tab or form feed, half of the sites each."""
+    ends = ["", "\r", "\t", "\f\v", " \r"]
+    rows = [(i, f"own {i}\r\n{ends[i % 5]}All rights{ends[i % 5]}\nend {i}", "en", f"s{i}", 0) for i in range(8)]
+    for r in drop_boilerplate(docs(spark, rows)).collect():
+        assert r.text == f"own {r.doc_id}\r\nend {r.doc_id}" and r.n_removed == 1
