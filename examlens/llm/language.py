@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, sampled
+from .common import crc_mod, stage
 
 # Families of common languages by ISO 639-1 code. Any other value is a family of its own.
 FAMILIES = {
@@ -29,7 +29,7 @@ FAMILIES = {
     "finnic": "et fi",
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and a few signs and fractions that are none
 # Bytes that aren't letters count as one space.
 PLAIN = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 
@@ -44,6 +44,10 @@ class LanguageSpec:
     held_out: int = 2
 
 
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for c in map(lambda m: m[0], WORDLIKE.finditer(text)))
+
+
 def grams(text: str, dims: int) -> np.ndarray:
     """Unit vector of the square roots of the counts of hashed byte 1- to 3-grams of the whole text."""
     b = PLAIN[np.frombuffer(f" {text.lower()} ".encode(), np.uint8)]
@@ -96,7 +100,7 @@ class LanguageModel:
         return winner, min(of[winner], default=np.inf)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return "und", 0.0
         margins = grams(text, self.dims) @ self.weights + self.shifts
         margin = dict(zip(self.duels, margins.tolist(), strict=True))
@@ -106,24 +110,22 @@ class LanguageModel:
 
 
 def learn(docs: DataFrame, spec: LanguageSpec = LanguageSpec()) -> LanguageModel:
-    """Learns from a bounded sample of labelled rows outside the held-out fold: lowest hashes of doc_id, per language."""
+    """Learns from a bounded sample of labelled rows outside the held-out fold: lowest hashes of id and text, per language."""
     known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(crc_mod(F.col("doc_id"), spec.folds) != spec.held_out)
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
-    bound = min(spec.per_language, spec.sample // max(len(counts), 1))
-    picked = None
-    for lang, n in sorted(counts.items()):
-        part = sampled(known.where(F.col("lang") == lang), F.col("doc_id"), n, bound)
-        picked = part if picked is None else picked.union(part)
-    if picked is None:
-        return LanguageModel(np.zeros((0, spec.dims), np.float32), np.array([], dtype=object), spec)
+    counts = stage(known.groupBy("lang").agg(F.count("*").alias("n")), "langs")  # a row for each language
+    bound = min(spec.per_language, spec.sample // max(counts.count(), 1))
+    # One scan: a row is picked if its hash is among the lowest `bound` of n, about; equal rows are one.
+    order = F.xxhash64("doc_id", "text")
+    share = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = known.join(counts, "lang").where(share * F.col("n") < bound).select("lang", "text", order.alias("order")).dropDuplicates(["lang", "order"])
     dims = spec.dims
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b[[bool(LETTER.search(t)) for t in b["text"]]]
+            b = b[[has_letter(t) for t in b["text"]]]
             yield pd.DataFrame({"lang": b["lang"], "order": b["order"], "x": [grams(t, dims).astype(np.float16).tobytes() for t in b["text"]]})
 
-    rows = picked.select("lang", "text", F.xxhash64("doc_id", "text").alias("order")).mapInPandas(vectors, "lang string, order long, x binary").toPandas()
+    rows = picked.mapInPandas(vectors, "lang string, order long, x binary").toPandas()
     rows = rows.sort_values(["lang", "order"], kind="stable")
     x = np.frombuffer(b"".join(map(bytes, rows["x"])), np.float16).reshape(-1, dims).astype(np.float32)
     return LanguageModel(x, rows["lang"].to_numpy(dtype=object), spec)
