@@ -113,10 +113,12 @@ class QualityModel:
 
 def learn(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec()) -> QualityModel:
     """Learns from a bounded sample of labelled rows outside the held-out fold; rows without a label or text teach nothing."""
-    known = labels.select("doc_id", F.col("quality").alias("label")).where("label in (0, 1) and doc_id is not null").where(crc_mod(F.col("doc_id"), spec.folds) != 0)
+    known = labels.select("doc_id", F.col("quality").alias("label")).where("label in (0, 1) and doc_id is not null").where(crc_mod(F.col("doc_id"), spec.folds) != 0).distinct()
     picked = sampled(known, F.col("doc_id"), known.count(), spec.sample)
     # The sample's ids are bounded by spec.sample, whatever the size of the tables.
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    # An id on many rows teaches by one of its texts, so what comes to the driver is bounded by the sample.
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     bits = spec.bits
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

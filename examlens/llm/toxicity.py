@@ -32,8 +32,10 @@ HOMOGLYPHS = {
 }
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 EXCEPTIONS = ("trash can", "trash bin", "class clown", "pond scum", "sore loser", "pathetic fallacy")
-# A sign stands for a letter only beside one.
-SIGN = re.compile(r"(?<=[^\W\d_])[013457@$](?=[^\W\d_])|\b[013457@$](?=[^\W\d_]{2})|(?<=[^\W\d_])[013457](?=[013457@$]*[^\W\d_])|(?<![$@\w])[@$](?=[^\W\d_]{2})")
+# Signs stand for letters as a run between two letters, or alone before two letters with no sign or letter in front.
+RUN, MORE = r"[013457@$]++(?=[^\W\d_])", r"(?=[^\W\d_](?:[^\W\d_]|[013457@$]++[^\W\d_]))"
+SIGN = re.compile(rf"(?<=[^\W\d_]){RUN}|(?<!\w)[013457]{MORE}|(?<![013457@$])(?<![^\W\d_])[@$]{MORE}")
+LETTERS = str.maketrans(SIGNS)
 
 
 class _Fold(dict):
@@ -56,13 +58,9 @@ _FOLD = _Fold()
 
 
 def fold(text: str | None) -> str:
-    """Folded words with a blank before and after each."""
-    text = text or ""
-    while True:
-        plain = SIGN.sub(lambda m: SIGNS[m[0]], text)
-        if plain == text:
-            return f" {' '.join(plain.translate(_FOLD).split())} "
-        text = plain
+    """Folded words with a blank before and after each; one pass over the text."""
+    plain = SIGN.sub(lambda m: m[0].translate(LETTERS), text or "")
+    return f" {' '.join(plain.translate(_FOLD).split())} "
 
 
 @dataclass(frozen=True)
@@ -166,13 +164,16 @@ def learn(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(
 
     Equal texts count once. Without both labels the lexicon is empty.
     """
-    known = labels.select("doc_id", F.col("toxic").alias("label")).where("label in (0, 1) and doc_id is not null").where(crc_mod(F.col("doc_id"), spec.folds) != 0)
+    known = labels.select("doc_id", F.col("toxic").alias("label")).where("label in (0, 1) and doc_id is not null").where(crc_mod(F.col("doc_id"), spec.folds) != 0).distinct()
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
     if len(counts) < 2:
         return ToxicityModel(spec, {})
     picked = sampled(known.where("label = 0"), F.col("doc_id"), counts[0], spec.sample).union(sampled(known.where("label = 1"), F.col("doc_id"), counts[1], spec.sample))
     # The sample's ids are bounded by spec.sample for each label, whatever the size of the tables.
-    sample = stage(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("text", "label").distinct(), "toxic")
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    # An id on many rows teaches by one of its texts.
+    one = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = stage(one.select("text", "label").distinct(), "toxic")
     n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     lengths = spec.beginnings
 

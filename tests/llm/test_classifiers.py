@@ -135,3 +135,39 @@ def test_lexicon_choice():
     got = toxicity.choose([(" bad", 60, 0), (" badly ", 30, 0), (" the ", 90, 890), (" rare ", 2, 0), (" mild ", 20, 150)], 100, 900, spec)
     assert set(got) == {" bad"}
     assert tuples is not None
+
+
+def test_no_letter_is_no_language():
+    only = language.LanguageModel(np.ones((2, 512), np.float32), np.array(["en", "en"], dtype=object), language.LanguageSpec(dims=512))
+    for text in ("½ ²", "12 ½ _", "¼", "--"):
+        assert only.predict(text) == ("und", 0.0)
+    assert only.predict("½ a")[0] == "en"
+
+
+def test_folding_takes_one_pass():
+    """Runs of signs of any length between letters, and no time in their square."""
+    import time
+
+    start = time.perf_counter()
+    for n in (1, 2, 5, 1_000_000):
+        assert toxicity.fold("a" + "1" * n + "b") == f" a{'i' * n}b "
+    assert toxicity.fold("1" * 1_000_000) == "  " and toxicity.fold("a" + "$" * 1_000_000).split() == ["a"]
+    assert time.perf_counter() - start < 20
+    assert toxicity.fold("1diot tr4$h 21st @ss $$x 5") == " idiot trash st ass x "
+
+
+def test_an_id_on_many_rows_is_learned_once(spark):
+    """What comes to the driver is bounded by the sample, whatever is repeated."""
+    many = spark.range(100_000).selectExpr("case when id < 60000 then 7 when id < 90000 then null else id end as doc_id", "concat('some words of text ', id % 50000) as text", "'en' as lang")
+    known = spark.range(100_000).selectExpr("case when id < 60000 then 7 else id end as doc_id", "cast(id % 2 as int) as quality", "cast(id % 2 as int) as toxic")
+    seen = []
+    fit = quality.QualityModel.fit
+    quality.QualityModel.fit = lambda self, examples: seen.append(len(examples)) or fit(self, examples[:50])
+    try:
+        quality.learn(many, known, quality.QualitySpec(sample=500, epochs=1))
+    finally:
+        quality.QualityModel.fit = fit
+    assert 0 < seen[0] <= 800
+    assert toxicity.learn(many, known, toxicity.ToxicitySpec(sample=300)) is not None
+    model = language.learn(many, language.LanguageSpec(dims=512, sample=400, per_language=400, rounds=5))
+    assert model.langs == ["en"]
