@@ -2,21 +2,21 @@
 
 A number is accepted by the last *confirmed* question, so acceptance depends on what
 was read before. Only small rows follow that order: one per numbered line, with the
-number of words, options and marks up to the next numbered line. They are folded
-exam by exam, which gives the span of lines of every item and its verdict; the text
+number of words, options and marks up to the next numbered line. A scan over them
+(`numbers.py`) gives the span of lines of every item and its verdict; the text
 moves once, to the items that are wanted.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examlens.config import PARSER, Parser
 from examlens.functions.ordered import carry_forward
 from examlens.functions.text import LETTERS, SPACES, WS, extract, trimmed, word_count
+from examlens.operators.numbers import (
+    END, MISSING_PENALTY, OPTION_POINTS, OPTION_WORDS, OPTION_WORDS_POINTS, SOURCE_PENALTY, STEM_POINTS, STEM_WORDS, TRUNCATED_PENALTY, Scan, scan_numbers)
 
 # Line patterns.
 SCRATCH = r"(?is)(?<![A-Za-z0-9_])RASCUNHO(?![A-Za-z0-9_]).*"
@@ -29,11 +29,6 @@ SHARED_LEAD = (
     "(?iu)^(Leia|Com base|Considere|A partir|Segundo|Observe|Analise"
     "|O texto|O trecho|O fragmento|Os textos)"
 )
-# Points and reasons of the confidence score.
-STEM_WORDS, STEM_POINTS = 10, 30
-OPTION_POINTS, OPTION_WORDS, OPTION_WORDS_POINTS = 15, 3, 10
-SOURCE_PENALTY, TRUNCATED_PENALTY, MISSING_PENALTY = 20, 15, 10
-
 _PIECE = "\x01"
 _FIRST = 15  # on a line with several options the first is set last, and is continued
 
@@ -95,134 +90,6 @@ def split_inline_options(classified: DataFrame) -> DataFrame:
 
 # --- numbering -------------------------------------------------------------
 
-_ITEM = (
-    "struct<num:int,page:int,line:int,end_line:int,score:int,stem_words:int,useful_options:int,"
-    "confirmed:boolean,forced:boolean,requires_source:boolean,skip:array<int>>"
-)
-# The open item (on .. skip), the last unbroken run of confirmed ones (b0 .. bf), how many are
-# confirmed, a number to be discarded, a bare number that waits for its text, how many items
-# a restart has taken back, and what was found.
-_STATE = (
-    "struct<last:int,on:boolean,num:int,page:int,img:boolean,line:int,sw:int,se:boolean,ow:array<int>,role:int,skip:array<int>,"
-    "b0:int,b1:int,bn:int,bs:int,bu:int,bf:boolean,nc:int,forced:int,pn:int,pp:int,pimg:boolean,pl:int,cut:int,"
-    f"items:array<{_ITEM}>,seen:array<struct<page:int,line_no:int,num:int,accepted:boolean>>>"
-)
-_START = dict(
-    last=-1, on=False, num=-1, page=-1, img=False, line=-1, sw=0, se=False, ow=None, role=0, skip=None,
-    b0=-1, b1=-1, bn=0, bs=0, bu=0, bf=False, nc=0, forced=-1, pn=-1, pp=-1, pimg=False, pl=-1, cut=0, items=None, seen=None,
-)
-_LISTS = {"ow": "array<int>", "skip": "array<int>", "items": f"array<{_ITEM}>", "seen": "array<struct<page:int,line_no:int,num:int,accepted:boolean>>"}
-_END = 2**31 - 1
-
-
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
-def _with(state: Column, **changes: Column) -> Column:
-    fields = [(changes[k] if k in changes else state[k]).alias(k) for k in _START]
-    return F.struct(*fields, *[v.alias(k) for k, v in changes.items() if k not in _START])
-
-
-def _count(words: Column, least: int) -> Column:
-    return F.aggregate(words, F.lit(0), lambda a, w: a + (w >= least).cast("int"))
-
-
-def _closed(s: Column, end: Column, cfg: Parser) -> Column:
-    """The open item judged and filed; it ends before line ``end``."""
-    filled, good, useful = (_count(s["ow"], n) for n in (1, OPTION_WORDS, 2))
-    source = s["img"] & (s["sw"] < cfg.source_stem_words)
-    score = F.greatest(F.lit(0), F.least(F.lit(100), (
-        F.when(s["sw"] >= STEM_WORDS, STEM_POINTS).otherwise(0) + filled * OPTION_POINTS + F.when(good == 5, OPTION_WORDS_POINTS).otherwise(0)
-        - F.when(source, SOURCE_PENALTY).otherwise(0) - F.when((s["sw"] > 5) & ~s["se"], TRUNCATED_PENALTY).otherwise(0) - (5 - filled) * MISSING_PENALTY)))
-
-    def file(v: Column) -> Column:
-        forced = s["forced"] == s["num"]
-        ok = (s["sw"] >= cfg.min_stem_words) & (v["useful"] >= cfg.min_useful_options) & (v["score"] >= cfg.min_score) & ~forced
-        item = F.struct(
-            s["num"], s["page"], s["line"], end, v["score"], s["sw"], v["useful"], ok, forced, v["source"], s["skip"]).cast(_ITEM)
-        more = ok & (s["bn"] > 0) & (s["num"] == s["b1"] + 1)
-        run = lambda grown, fresh, old: F.when(more, grown).when(ok, fresh).otherwise(old)
-        return _with(
-            s, on=F.lit(False), items=F.concat(s["items"], F.array(item)), forced=F.when(forced, -1).otherwise(s["forced"]),
-            last=F.when(ok, s["num"]).otherwise(s["last"]), nc=s["nc"] + ok.cast("int"),
-            b0=run(s["b0"], s["num"], s["b0"]), b1=F.when(ok, s["num"]).otherwise(s["b1"]), bn=run(s["bn"] + 1, F.lit(1), s["bn"]),
-            bs=run(s["bs"] + v["score"], v["score"], s["bs"]), bu=run(s["bu"] + v["useful"], v["useful"], s["bu"]), bf=run(s["bf"], s["nc"] == 0, s["bf"]),
-        ).cast(_STATE)
-
-    return _let(F.struct(score.alias("score"), useful.alias("useful"), source.alias("source")), file)
-
-
-def _gated(s: Column, c: Column, allow_reset: bool, cfg: Parser) -> Column:
-    """What a numbered line ``c`` means to the state, and the text of a refused one added to the open item."""
-    bare = c["kind"] == "alone"
-    as_text = (s["pn"] >= 0) & ~bare  # the first line after an accepted bare number is its text
-    forward = F.when(s["last"] < 0, c["num"] <= cfg.max_first_number).otherwise((c["num"] > s["last"]) & (c["num"] <= s["last"] + cfg.max_jump))
-    weak = (s["bn"] >= cfg.weak_min_items) & s["bf"] & ((s["bs"] <= s["bn"] * F.lit(cfg.weak_max_score)) | (s["bu"] <= s["bn"] * F.lit(cfg.weak_max_useful)))
-    restart = F.lit(allow_reset) & ~forward & (s["last"] >= 0) & (c["num"] == 1) & weak
-
-    def apply(v: Column) -> Column:
-        taken, reset, waits = v["taken"], v["reset"], s["pn"] >= 0
-        refused = s["on"] & ~taken & ~v["as_text"] & F.when(bare, (s["role"] == 0) & ~waits).otherwise(True)
-        stem = refused & (s["role"] == 0)
-        mine = bare & taken
-        return _with(
-            s,
-            last=F.when(reset, -1).otherwise(s["last"]), nc=F.when(reset, 0).otherwise(s["nc"]), bn=F.when(reset, 0).otherwise(s["bn"]),
-            cut=F.when(reset, F.size(s["items"])).otherwise(s["cut"]),
-            forced=F.when(reset & s["on"] & s["num"].between(s["b0"], s["b1"] + 1), s["num"]).otherwise(s["forced"]),
-            sw=s["sw"] + F.when(stem, c["raw_w"]).otherwise(0), se=F.when(stem & (c["raw_w"] > 0), c["raw_e"]).otherwise(s["se"]),
-            ow=F.transform(s["ow"], lambda w, i: w + F.when(refused & (s["role"] == i + 1), c["raw_w"]).otherwise(0)),
-            skip=F.when(mine & s["on"], F.concat(s["skip"], F.array(c["line_no"]))).otherwise(s["skip"]),
-            pn=F.when(mine, c["num"]).otherwise(s["pn"]), pp=F.when(mine, c["page"]).otherwise(s["pp"]), pimg=F.when(mine, c["img"]).otherwise(s["pimg"]),
-            pl=F.when(bare & (taken | waits), c["line_no"]).otherwise(s["pl"]),
-            seen=F.concat(s["seen"], F.array(F.struct(c["page"].alias("page"), c["line_no"].alias("line_no"), c["num"].alias("num"), taken.alias("accepted")))),
-            opens=v["as_text"] | (~bare & taken) | (bare & (taken | waits) & c["after"].isNotNull() & (c["after"] != "option")),
-            direct=~bare & taken, as_text=v["as_text"],
-            waits=bare & (taken | waits) & c["after"].isNull(),
-        )
-
-    return _let(F.struct(as_text.alias("as_text"), (~as_text & (forward | restart)).alias("taken"), (~as_text & restart).alias("reset")), apply)
-
-
-def _opened(g: Column, d: Column, c: Column) -> Column:
-    """The new item, if one opens, and the lines up to the next number."""
-    new, own = g["opens"], g["direct"]
-    pick = lambda mine, waiting, old: F.when(new & own, mine).when(new, waiting).otherwise(old)
-    none = F.array_repeat(F.lit(0), 5)
-
-    def read(o: Column) -> Column:
-        stem = o["on"] & (o["role"] == 0)
-        return F.struct(*[{
-            "sw": o["sw"] + F.when(stem, c["head_w"]).otherwise(0),
-            "se": F.when(stem, F.coalesce(c["head_e"], o["se"])).otherwise(o["se"]),
-            "ow": F.transform(o["ow"], lambda w, i: F.when(~o["on"], w).otherwise(F.coalesce(F.get(c["set"], i), w + F.when(o["role"] == i + 1, c["head_w"]).otherwise(0)))),
-            "role": F.when(o["on"], F.coalesce(c["tail"], o["role"])).otherwise(o["role"]),
-        }.get(k, o[k]).alias(k) for k in _START]).cast(_STATE)
-
-    return _let(_with(
-        d, on=d["on"] | new,
-        num=pick(c["num"], g["pn"], d["num"]), page=pick(c["page"], g["pp"], d["page"]), img=pick(c["img"], g["pimg"], d["img"]),
-        line=pick(c["line_no"], g["pl"], d["line"]),
-        sw=F.when(new, F.when(own, c["own_w"]).when(g["as_text"], c["raw_w"]).otherwise(0)).otherwise(d["sw"]),
-        se=F.when(new, F.when(own, c["own_e"]).when(g["as_text"], c["raw_e"]).otherwise(False)).otherwise(d["se"]),
-        ow=F.when(new, none).otherwise(d["ow"]), role=F.when(new, 0).otherwise(d["role"]), skip=F.when(new, F.array().cast("array<int>")).otherwise(d["skip"]),
-        pn=F.when(g["waits"] | (~new & ~c["kind"].isin("alone")), g["pn"]).otherwise(-1),
-    ).cast(_STATE), read)
-
-
-def _step(allow_reset: bool, cfg: Parser):
-    def step(s: Column, c: Column) -> Column:
-        def close(g: Column) -> Column:
-            line = F.when(g["direct"], c["line_no"]).otherwise(g["pl"])
-            state = F.struct(*[g[k].alias(k) for k in _START]).cast(_STATE)
-            ended = F.when(g["opens"] & g["on"], _closed(g, line, cfg)).otherwise(state)
-            return _let(ended, lambda d: _opened(g, d, c))
-
-        return _let(_gated(s, c, allow_reset, cfg), close)
-
-    return step
-
 
 def _option_sets(rest: Column) -> Column:
     """Option letters of a line with their words, in the order in which they are set."""
@@ -233,8 +100,8 @@ def _option_sets(rest: Column) -> Column:
 
 
 def number_spans(classified: DataFrame, pages: DataFrame | None = None, cfg: Parser = PARSER) -> DataFrame:
-    """One row per exam: ``cands``, its numbered lines with what follows up to the next one,
-    the first line of a shared text, and the last line. No text leaves the lines."""
+    """A row for each numbered line with what follows up to the next one, one for what comes before the first (``span`` -1),
+    and with each the first line of a shared text and the span's last line. No text leaves the lines."""
     t = F.col("text")
     ends = lambda c: F.regexp_like(trimmed(c), F.lit("[.?!:;]$"))
     slim = classified.filter("exam_id is not null and line_no is not null").select(
@@ -271,30 +138,11 @@ def number_spans(classified: DataFrame, pages: DataFrame | None = None, cfg: Par
     else:
         img = pages.filter("has_images").select("exam_id", F.col("page").alias("_page"), F.lit(True).alias("_img"))
         seen = by_span.withColumn("_page", F.col("own.page")).join(img, ["exam_id", "_page"], "left")
-    cand = F.when(F.col("own").isNotNull(), F.struct(
-        F.col("own.line_no"), F.col("own.page"), F.coalesce("_img", F.lit(False)).alias("img"), F.col("own.kind"), F.col("own.num"),
-        F.col("own.own_w"), F.col("own.own_e"), F.col("own.raw_w"), F.col("own.raw_e"), F.col("after.kind").alias("after"),
+    return seen.select(
+        "exam_id", "span", "own.line_no", "own.page", F.coalesce("_img", F.lit(False)).alias("img"), "own.kind", "own.num",
+        "own.own_w", "own.own_e", "own.raw_w", "own.raw_e", F.col("after.kind").alias("after"),
         "head_w", F.col("end.raw_e").alias("head_e"), F.array(*[F.col(f"set_{x}.words").cast("int") for x in LETTERS]).alias("set"),
-        (F.ascii("opt.letter") - 64).alias("tail")))
-    return seen.groupBy("exam_id").agg(
-        F.array_sort(F.collect_list(cand)).alias("cands"), F.max("shared_line").alias("shared_line"), F.max("last_line").alias("last_line"))
-
-
-@lru_cache(maxsize=16)
-def _fold(allow_reset: bool, cfg: Parser) -> Column:
-    """The fold over ``cands``; building it takes seconds of calls into the JVM, so it is kept."""
-    start = F.struct(*[(F.array_repeat(F.lit(0), 5) if k == "ow" else F.array().cast(_LISTS[k]) if v is None else F.lit(v)).alias(k) for k, v in _START.items()]).cast(_STATE)
-    return F.aggregate("cands", start, _step(allow_reset, cfg), lambda s: F.when(s["on"], _closed(s, F.lit(_END), cfg)).otherwise(s))
-
-
-def scan_numbers(spans: DataFrame, allow_reset: bool = True, cfg: Parser = PARSER) -> DataFrame:
-    """D3, D10, D11 in one fold over the numbered lines of an exam: ``items`` and ``seen``."""
-    done = spans.select("exam_id", "shared_line", "last_line", _fold(allow_reset, cfg).alias("s"))
-    back = lambda i, n: n["confirmed"] & (i < F.col("s.cut"))
-    items = F.transform(F.col("s.items"), lambda n, i: F.struct(
-        *[n[k].alias(k) for k in ("num", "page", "line", "end_line", "score", "stem_words", "useful_options", "requires_source", "skip")],
-        (n["confirmed"] & ~back(i, n)).alias("confirmed"), (back(i, n) | n["forced"]).alias("rolled_back")))
-    return done.select("exam_id", "shared_line", "last_line", items.alias("items"), F.col("s.seen").alias("seen"))
+        (F.ascii("opt.letter") - 64).alias("tail"), "shared_line", "last_line")
 
 
 def sequence_gate(classified: DataFrame, allow_reset: bool = False, pages: DataFrame | None = None, cfg: Parser = PARSER) -> DataFrame:
@@ -303,46 +151,45 @@ def sequence_gate(classified: DataFrame, allow_reset: bool = False, pages: DataF
     A number is measured against the last confirmed question before the open one.
     """
     scan = scan_numbers(number_spans(classified, pages, cfg), allow_reset, cfg)
-    return scan.select("exam_id", F.inline("seen"))
+    return scan.seen.drop("skip_of")
 
 
-def drop_weak_lead_block(scan: DataFrame) -> DataFrame:
+def drop_weak_lead_block(scan: Scan) -> DataFrame:
     """Every numbered item with its verdict; items of a weak first block that a
     restart at 1 follows are rolled back, and so is the one that was open then."""
-    return scan.select("exam_id", F.inline("items")).withColumn(
-        "status", F.when(F.col("confirmed"), "real_question_confirmed").otherwise("instruction_block")).drop("confirmed", "skip")
+    return scan.items.withColumn(
+        "status", F.when(F.col("confirmed"), "real_question_confirmed").otherwise("instruction_block")).drop("confirmed")
 
 
 # --- segments --------------------------------------------------------------
 
 
-def segment_questions(classified: DataFrame, scan: DataFrame, confirmed_only: bool = False, cfg: Parser = PARSER) -> DataFrame:
+def segment_questions(classified: DataFrame, scan: Scan, confirmed_only: bool = False, cfg: Parser = PARSER) -> DataFrame:
     """Item and role (stem or option letter) of every line that belongs to one.
 
     Lines from the first shared-text lead to the first question have ``num`` -1. ``mark``
     orders the option markers: a repeated marker replaces what its letter had. Lines meet
     their item by range of line numbers, so a long exam is many tasks.
     """
-    wanted = F.filter("items", lambda n: n["confirmed"]) if confirmed_only else F.col("items")
-    none = F.array().cast("array<int>")
-    spans = F.transform(wanted, lambda n: F.struct(n["num"].alias("num"), n["page"].alias("item_page"), n["line"].alias("item_line"), n["end_line"].alias("end_line"), n["skip"].alias("skip")))
-    first = F.coalesce(F.get("items", F.lit(0))["line"], F.lit(_END))
-    shared = F.struct(F.lit(-1).alias("num"), F.lit(None).cast("int").alias("item_page"), F.col("shared_line").alias("item_line"), first.alias("end_line"), none.alias("skip"))
-    all_spans = F.concat(spans, F.when(F.col("shared_line") < first, F.array(shared)).otherwise(F.array().cast(
-        "array<struct<num:int,item_page:int,item_line:int,end_line:int,skip:array<int>>>")))
+    wanted = scan.items.where("confirmed") if confirmed_only else scan.items
+    spans = wanted.select("exam_id", "num", F.col("page").alias("item_page"), F.col("line").alias("item_line"), "end_line")
+    first = scan.exams.join(scan.items.groupBy("exam_id").agg(F.min("line").alias("first")), "exam_id", "left").withColumn("first", F.coalesce("first", F.lit(END)))
+    shared = first.where("shared_line < first").select(
+        "exam_id", F.lit(-1).alias("num"), F.lit(None).cast("int").alias("item_page"), F.col("shared_line").alias("item_line"), F.col("first").alias("end_line"))
     last = F.least(F.col("end_line") - 1, F.col("last_line"))
-    rows = scan.select("exam_id", "last_line", F.inline(all_spans)).select(
-        "exam_id", "num", "item_page", "item_line", "end_line", "skip",
+    rows = spans.unionByName(shared).join(scan.exams.select("exam_id", "last_line"), "exam_id").select(
+        "exam_id", "num", "item_page", "item_line", "end_line",
         F.explode(F.sequence(F.expr(f"item_line div {cfg.block_lines}"), F.floor(last / cfg.block_lines))).alias("_block"))
+    skip = scan.seen.where("skip_of is not null").select("exam_id", "line_no", F.col("skip_of").alias("item_line"), F.lit(True).alias("_skip"))
     lines = classified.drop("num", "page").withColumn("_block", F.expr(f"cast(line_no as bigint) div {cfg.block_lines}"))
-    met = lines.join(rows, ["exam_id", "_block"]).filter("line_no >= item_line and line_no < end_line")
+    met = lines.join(rows, ["exam_id", "_block"]).filter("line_no >= item_line and line_no < end_line").join(skip, ["exam_id", "item_line", "line_no"], "left")
     w = Window.partitionBy("exam_id", "item_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     option = (F.col("kind") == "option") & (F.col("num") >= 0)
     roles = met.withColumn("opt", F.last(F.when(option, F.struct("line_no", "letter")), ignorenulls=True).over(w))
     start = (F.col("line_no") == F.col("item_line")) & (F.col("num") >= 0)
     numbered = F.col("kind").isin("alone", "start")
     dropped = (
-        (~start & (F.col("kind") == "alone") & F.col("opt").isNotNull()) | F.array_contains("skip", F.col("line_no"))
+        (~start & (F.col("kind") == "alone") & F.col("opt").isNotNull()) | F.col("_skip").isNotNull()
         | ((F.col("num") < 0) & numbered))
     return roles.filter(~dropped).select(
         "exam_id", "num", F.col("item_page").alias("page"), "item_line", "line_no", start.alias("is_start"), "kind", "letter",
@@ -459,7 +306,7 @@ def confirm_questions(scored: DataFrame, cfg: Parser = PARSER) -> DataFrame:
     return scored.withColumn("status", F.when(ok, "real_question_confirmed").otherwise("instruction_block"))
 
 
-def read_numbers(lines: DataFrame, pages: DataFrame | None = None, cfg: Parser = PARSER) -> tuple[DataFrame, DataFrame]:
+def read_numbers(lines: DataFrame, pages: DataFrame | None = None, cfg: Parser = PARSER) -> tuple[DataFrame, Scan]:
     """The labelled lines and the scan of their numbers."""
     classified = classify_lines(strip_scratch(lines))
     return classified, scan_numbers(number_spans(classified, pages, cfg), True, cfg)

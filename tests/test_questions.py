@@ -186,5 +186,5 @@ def test_gate_against_a_plain_loop(spark):
     texts = [[x for num, options in items for x in question(num, options=GOOD[:options])] for items in exams]
     starts = [[i for i, t in enumerate(ls) if not t.startswith("(")] for ls in texts]
     want = {(e, i): v for e, items in enumerate(exams) for i, v in zip(starts[e], gate(items), strict=True)}
-    got = scan(spark, *texts).select("exam_id", F.inline("seen")).collect()
+    got = scan(spark, *texts).seen.collect()
     assert {(r.exam_id, r.line_no): r.accepted for r in got} == want
