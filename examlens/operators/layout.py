@@ -190,34 +190,48 @@ def assign_columns(body: DataFrame, layout: DataFrame) -> DataFrame:
     )
 
 
-def _line_numbers(fragments: Column, cfg: Layout) -> Column:
-    """Ordinals of the text lines of fragments ordered by place: a fragment joins the line
-    if it is near the last one, measured by the mean font of the line so far."""
-    state = "struct<y: double, fonts: double, n: int, line: int, out: array<int>>"
+def _line_numbers(stretches: Column, cfg: Layout) -> Column:
+    """Ordinals of the lines of stretches ordered by place: a stretch joins the line if its gap is
+    within the mean font of the line so far."""
+    state = "struct<fonts: double, n: bigint, line: int, out: array<int>>"
 
     def step(acc: Column, f: Column) -> Column:
-        far = (acc["n"] > 0) & (F.abs(f["y"] - acc["y"]) > F.greatest(acc["fonts"] / F.nullif(acc["n"], F.lit(0)) * cfg.line_y_factor, F.lit(cfg.line_y_floor)))
+        far = (acc["n"] > 0) & (f["gap"] > F.greatest(acc["fonts"] / F.nullif(acc["n"], F.lit(0)) * cfg.line_y_factor, F.lit(cfg.line_y_floor)))
         line = acc["line"] + far.cast("int")
         return F.struct(
-            f["y"].alias("y"), (F.when(far, 0.0).otherwise(acc["fonts"]) + f["font_size"]).alias("fonts"),
-            (F.when(far, 0).otherwise(acc["n"]) + 1).alias("n"), line.alias("line"), F.concat(acc["out"], F.array(line)).alias("out"),
+            (F.when(far, 0.0).otherwise(acc["fonts"]) + f["fonts"]).alias("fonts"), (F.when(far, 0).otherwise(acc["n"]) + f["n"]).alias("n"),
+            line.alias("line"), F.concat(acc["out"], F.array(line)).alias("out"),
         ).cast(state)
 
-    start = F.struct(F.lit(0.0).alias("y"), F.lit(0.0).alias("fonts"), F.lit(0).alias("n"), F.lit(0).alias("line"), F.array().cast("array<int>").alias("out")).cast(state)
-    return F.aggregate(fragments, start, step)["out"]
+    start = F.struct(F.lit(0.0).alias("fonts"), F.lit(0).alias("n"), F.lit(0).alias("line"), F.array().cast("array<int>").alias("out")).cast(state)
+    return F.aggregate(stretches, start, step)["out"]
 
 
 def group_lines(columned: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
     """Number of the text line within (page, column).
 
-    The tolerance follows the mean font of the line so far, so it is a fold over
-    the column's fragments from top to bottom; a page is what the task holds.
+    A fragment is measured against the one above it, by the mean font of the line so far. So a gap
+    up to the fixed floor never breaks a line, and one beyond the column's largest tolerance always does.
+    Fragments between gaps of the first kind are a stretch with a sum of fonts; stretches between breaks
+    of the second kind are a run, and only the few stretches of a run are folded.
     """
-    rest = [c for c in columned.columns if c not in (*PAGE, "column", "y", "x", "str")]
-    fragments = F.array_sort(F.collect_list(F.struct("y", "x", "str", *rest)))
-    columns = columned.groupBy(*PAGE, "column").agg(fragments.alias("_fs"))
-    numbered = columns.select(*PAGE, "column", F.inline(F.arrays_zip("_fs", _line_numbers(F.col("_fs"), cfg).alias("line_ord"))))
-    return numbered.select(*[c if c in (*PAGE, "column") else F.col("_fs")[c].alias(c) for c in columned.columns], "line_ord")
+    key = [*PAGE, "column"]
+    order = Window.partitionBy(*key).orderBy("y", "x", "str")
+    gap = F.abs(F.col("y") - F.lag("y").over(order))
+    widest = F.greatest(F.max("font_size").over(Window.partitionBy(*key)) * cfg.line_y_factor, F.lit(cfg.line_y_floor))
+    measured = columned.select("*", gap.alias("_gap"), widest.alias("_widest"))
+    up_to = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int")).over(up_to)
+    cut = measured.select("*", count(F.col("_gap") > cfg.line_y_floor).alias("_stretch"), count(F.col("_gap") > F.col("_widest")).alias("_run"))
+    fragment = F.struct(*columned.columns)
+    stretches = cut.groupBy(*key, "_run", "_stretch").agg(
+        F.collect_list(fragment).alias("_fs"), F.sum("font_size").alias("fonts"), F.count("*").alias("n"), F.max(F.when(F.col("_gap") > cfg.line_y_floor, F.col("_gap"))).alias("gap"))
+    listed = F.array_sort(F.collect_list(F.struct("_stretch", "fonts", "n", F.coalesce("gap", F.lit(0.0)).alias("gap"), "_fs")))
+    runs = stretches.groupBy(*key, "_run").agg(listed.alias("_ss")).withColumn("_lines", _line_numbers(F.col("_ss"), cfg))
+    before = Window.partitionBy(*key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    placed = runs.withColumn("_first", F.coalesce(F.sum(F.element_at("_lines", -1) + 1).over(before), F.lit(0)))
+    rows = placed.select("_first", F.inline(F.arrays_zip(F.col("_ss")["_fs"].alias("_fs"), F.col("_lines").alias("_line"))))
+    return rows.select((F.col("_first") + F.col("_line")).cast("int").alias("line_ord"), F.inline("_fs")).select(*columned.columns, "line_ord")
 
 
 def build_lines(grouped: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:

@@ -128,3 +128,23 @@ def test_line_grouping_against_a_plain_loop(spark):
                 want[(e, p, r[2])] = line
     got = y.group_lines(spark.createDataFrame(rows, FRAG).withColumn("column", F.lit("single"))).collect()
     assert {(r.exam_id, r.page, r.str): r.line_ord for r in got} == want
+
+
+def test_line_grouping_by_stretches_and_runs(spark):
+    """Gaps below the floor, between floor and largest tolerance, and above it; fonts of several sizes."""
+    from examlens.config import LAYOUT
+
+    rng = random.Random(3)
+    for steps in ((0, 1, 2, 3, 4, 5, 8), (0, 12), (0, 3, 6)):
+        fs, at = [], 0.0
+        for i in range(300):
+            at += rng.choice(steps)
+            fs.append((at, float(rng.randint(0, 50)), f"s{i}", float(rng.choice([6, 10, 20]))))
+        want, last, fonts, n, line = [], 0.0, 0.0, 0, 0
+        for f in sorted(fs):
+            if n and abs(f[0] - last) > max(fonts / n * LAYOUT.line_y_factor, LAYOUT.line_y_floor):
+                line, fonts, n = line + 1, 0.0, 0
+            last, fonts, n = f[0], fonts + f[3], n + 1
+            want.append((*f, line))
+        df = spark.createDataFrame([(1, 1, *f, "single") for f in fs], "exam_id long, page int, y double, x double, str string, font_size double, column string")
+        assert sorted((r.y, r.x, r.str, r.font_size, r.line_ord) for r in y.group_lines(df).collect()) == sorted(want)
