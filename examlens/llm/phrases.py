@@ -227,12 +227,12 @@ class Layout:
     def write(self, keys: np.ndarray, block: int, block_bits: int) -> bytes:
         """Sorted keys of one block. The first limb is kept as the step from the key before, byte by byte in
         planes: of dense filters only remainders are left. Further limbs are kept whole."""
-        base = _U(block << (self.width - block_bits) if block_bits else 0)
+        base = _U(int(block) << (self.width - block_bits) if block_bits else 0)
         steps = np.diff(keys[0], prepend=base)
         return b"".join([planes(steps, (int(steps.max()).bit_length() + 7) // 8), *[planes(k, -(-self.width // 8)) for k in keys[1:]]])
 
     def read(self, data: bytes, n: int, block: int, block_bits: int) -> np.ndarray:
-        base = _U(block << (self.width - block_bits) if block_bits else 0)
+        base = _U(int(block) << (self.width - block_bits) if block_bits else 0)
         tail = n * -(-self.width // 8) * (self.limbs - 1)
         head = data[: len(data) - tail]
         rest = data[len(head):]

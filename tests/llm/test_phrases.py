@@ -66,7 +66,7 @@ def test_permutation_is_lossless():
                 at = layout.quotient(keys, block_bits)
                 for block in np.unique(at):
                     part = keys[:, at == block]
-                    assert (layout.read(layout.write(part, int(block), block_bits), part.shape[1], int(block), block_bits) == part).all()
+                    assert (layout.read(layout.write(part, int(block), block_bits), part.shape[1], np.int32(block), block_bits) == part).all()
     small = Layout(2, 3)
     every = np.array([[a, b] for a in range(8) for b in range(8)]).T
     assert sorted(small.permute(small.pack(every), 7)[0].tolist()) == list(range(64))
