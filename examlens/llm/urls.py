@@ -56,12 +56,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return ends.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-9) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9) -> DataFrame:
     """(kind, host, rank) from seeds (kind, host, seed) over edges (kind, src, dst, links).
 
     Each round a host keeps (1 - damping) of its seed and gets damping times what its
     neighbours pass on in proportion to their links. Mass at a host without links out is lost,
-    so ranks of a kind sum to 1 at most. Rounds end when no sum moves by more than the tolerance.
+    so ranks of a kind sum to 1 at most. Rounds end when no further host is reached and the sum of all
+    ranks moves by no more than the tolerance; what can still move shrinks by `damping` each round.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("links").alias("out"))
     shares = stage(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("links") / F.col("out")).alias("share")), "shares")
@@ -69,15 +70,14 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     rank = base.select("kind", "host", F.col("base").alias("rank"))
     if shares.isEmpty():
         return rank
-    mass = -1.0
-    for _ in range(rounds):
+    mass, reached = -1.0, -1
+    while True:
         moved = shares.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("rank") * damping).alias("rank"))
         rank = stage(moved.union(base.select("kind", "host", "base")).groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "rank")
-        now = rank.agg(F.sum("rank")).first()[0]  # ranks only grow towards their limit, so the sum tells
-        if now is None or now - mass <= tolerance:
-            break
-        mass = now
-    return rank
+        now, hosts = rank.agg(F.sum("rank"), F.count("*")).first()  # ranks only grow towards their limit, so the sum tells
+        if now is None or (now - mass <= tolerance and hosts == reached):
+            return rank
+        mass, reached = now, hosts
 
 
 def host_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, margin: float = 0.0) -> DataFrame:

@@ -60,6 +60,14 @@ def test_ranks_against_plain_iteration(spark):
         rank = {h: 0.15 * seeds.get(h, 0) + 0.85 * sum(rank[s] * n / out[s] for s, d, n in edges if d == h) for h in "abcd"}
     got = propagate(
         spark.createDataFrame([("allow", h, s) for h, s in seeds.items()], "kind string, host string, seed double"),
-        spark.createDataFrame([("allow", *e) for e in edges], "kind string, src string, dst string, links long"), rounds=200)
+        spark.createDataFrame([("allow", *e) for e in edges], "kind string, src string, dst string, links long"))
     assert all(abs(r["rank"] - rank[r.host]) < 1e-6 for r in got.collect())
     assert len(RULES) == 4
+
+
+def test_a_chain_of_many_hosts(spark):
+    """Distrust goes back along any number of links; a host behind the blocked one gets none."""
+    name = lambda i: "far.net" if i == 45 else f"h{i}.com"
+    rows = [(i, f"http://{name(i)}/", f'<a href="http://{name(i + 1)}/x">x</a>') for i in range(45)] + [(45, "http://far.net/", '<a href="http://after.com/">x</a>'), (46, "http://after.com/", None)]
+    got = {r.page_id: r.verdict for r in judge_urls(pages(spark, rows)).collect()}
+    assert got == {**{i: "block" for i in range(46)}, 46: "allow"}
