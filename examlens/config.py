@@ -34,7 +34,7 @@ class Parser:
     # Lines of one exam are worked on in ranges of this many line numbers, so
     # that a very long exam is spread over many tasks.
     block_lines: int = 4096
-    # The numbered lines of so many line numbers are scanned in one go.
+    # So many numbered lines are scanned in one go (up to twice as many where they are dense).
     scan_lines: int = 65536
     # Summaries of that many blocks are chained in one task.
     group_blocks: int = 4096

@@ -2,7 +2,7 @@
 
 Rows are read in the order of lines; items and verdicts go out as rows as soon as they are known,
 and only the open item, the last unbroken run and a few numbers are kept. An exam of many lines is
-cut into blocks that run in tasks of their own. A block first runs as if it were the exam's beginning;
+cut into blocks of numbered lines that run in tasks of their own. A block first runs as if it were the exam's beginning;
 then the state at a block's end is handed to the next one, and blocks that were entered otherwise
 run again, until every entry is the end of the block before. Words added to an open item and counts of
 items are sums, so an entry that differs in them alone changes the end by the difference. A number is
@@ -201,6 +201,16 @@ def _run(spans: DataFrame, allow_reset: bool, cfg: Parser, rows: bool) -> DataFr
     return ordered.mapInArrow(run, ROW)
 
 
+def _in_blocks(spans: DataFrame, cfg: Parser) -> DataFrame:
+    """Spans with their ``block``: ranges of line numbers, put together until they hold ``scan_lines`` spans. What counts is
+    how many numbered lines an exam has, not how its lines are numbered; only exams with more of them have a second block."""
+    ranged = spans.withColumn("_range", F.greatest(F.expr(f"cast(span as bigint) div {cfg.scan_lines}"), F.lit(0)))
+    before = F.sum("_n").over(Window.partitionBy("exam_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counted = ranged.groupBy("exam_id", "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    later = counted.select("exam_id", "_range", F.expr(f"_before div {cfg.scan_lines}").alias("block")).where("block > 0")
+    return ranged.join(later, ["exam_id", "_range"], "left").withColumn("block", F.coalesce("block", F.lit(0))).drop("_range")
+
+
 @dataclass
 class Scan:
     """``items``: every numbered item with its span of lines and its verdict; ``seen``: every numbered line with the verdict of
@@ -213,14 +223,14 @@ class Scan:
 
 def scan_numbers(spans: DataFrame, allow_reset: bool = True, cfg: Parser = PARSER) -> Scan:
     """The scan over ``spans``, a row for each numbered line of an exam with what follows up to the next one."""
-    blocks = spans.withColumn("block", F.greatest(F.expr(f"cast(span as bigint) div {cfg.scan_lines}"), F.lit(0)))
+    blocks = _in_blocks(materialize(spans, "spans"), cfg)
     plain = blocks.withColumns({"entry": F.lit(None).cast("string"), "final": F.lit(True)})
     found = materialize(_run(plain, allow_reset, cfg, True), "numbers")
     ends = found.where("what = 'end'")
     several = ends.groupBy("exam_id").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").select("exam_id")
     if not several.isEmpty():
         several = materialize(several, "several")
-        long = materialize(blocks.join(several, "exam_id", "left_semi"), "long")
+        long = blocks.join(several, "exam_id", "left_semi")
         states = _hand_over(long, ends.join(several, "exam_id", "left_semi"), allow_reset, cfg)
         again = _run(long.join(states.select("exam_id", "block", "entry", "final"), ["exam_id", "block"]), allow_reset, cfg, True)
         found = materialize(found.join(several, "exam_id", "left_anti").unionByName(again), "numbers")

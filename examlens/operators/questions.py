@@ -103,13 +103,14 @@ def number_spans(classified: DataFrame, pages: DataFrame | None = None, cfg: Par
     """A row for each numbered line with what follows up to the next one, one for what comes before the first (``span`` -1),
     and with each the first line of a shared text and the span's last line. No text leaves the lines."""
     t = F.col("text")
-    ends = lambda c: F.regexp_like(trimmed(c), F.lit("[.?!:;]$"))
+    # The end of a text decides; one character may still follow that counts as a line's end but is not trimmed.
+    ends = lambda c: F.regexp_like(F.substring(trimmed(c), -2, 2), F.lit("[.?!:;]$"))
+    numbered = F.col("kind").isin("alone", "start")
     slim = classified.filter("exam_id is not null and line_no is not null").select(
         "exam_id", "page", "line_no", "kind", "num", "letter",
-        word_count(F.col("rest")).alias("own_w"), ends(F.col("rest")).alias("own_e"), word_count(t).alias("raw_w"), ends(t).alias("raw_e"),
+        F.when(numbered, word_count(F.col("rest"))).alias("own_w"), F.when(numbered, ends(F.col("rest"))).alias("own_e"), word_count(t).alias("raw_w"), ends(t).alias("raw_e"),
         F.when(F.col("kind") == "option", _option_sets(F.col("rest"))).alias("sets"),
     )
-    numbered = F.col("kind").isin("alone", "start")
     line = F.col("line_no")
     spans = carry_forward(
         slim, ["exam_id"], "line_no", {"span": F.when(numbered, line)}, cfg.block_lines,

@@ -4,7 +4,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from examlens.config import PARSER
-from examlens.operators.numbers import Reader, scan_numbers
+from examlens.operators.numbers import Reader, _in_blocks, scan_numbers
 
 SPAN = (
     "exam_id bigint, span int, line_no int, page int, img boolean, kind string, num int, own_w int, own_e boolean, raw_w int, raw_e boolean, after string, "
@@ -39,6 +39,18 @@ def test_blocks_change_nothing(spark):
         want = rows(scan_numbers(df, reset, replace(cfg, scan_lines=10**6)))
         assert len(want[1]) == 520 and any(r[9] for r in want[0]) and (not reset or any(r[10] for r in want[0]))
         assert rows(scan_numbers(df.repartition(5, F.rand(1)), reset, replace(cfg, scan_lines=100))) == want
+        assert rows(scan_numbers(df, reset, replace(cfg, scan_lines=10))) == want
+
+
+def test_blocks_count_numbered_lines(spark):
+    """Sparse line numbers make no blocks; many numbered lines do, in order and each of bounded size."""
+    df = spark.createDataFrame([(1, -1)] + [(1, 100_000 * i) for i in range(1, 11)] + [(2, i) for i in range(-1, 1000)], "exam_id bigint, span int")
+    got = _in_blocks(df, replace(PARSER, scan_lines=64)).groupBy("exam_id", "block").agg(
+        F.count("*").alias("n"), F.min("span").alias("a"), F.max("span").alias("z")).orderBy("exam_id", "block").collect()
+    assert [(r.exam_id, r.block, r.n) for r in got if r.exam_id == 1] == [(1, 0, 11)]
+    dense = [r for r in got if r.exam_id == 2]
+    assert len(dense) > 8 and sum(r.n for r in dense) == 1001 and max(r.n for r in dense) <= 128
+    assert all(x.z < y.a for x, y in zip(dense, dense[1:]))
 
 
 def test_state_travels_as_text():
