@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from examlens.config import CLASSIFICATION, Classification
-from examlens.functions.ordered import position, running_sum
+from examlens.functions.ordered import position
 from examlens.functions.text import trimmed
+from examlens.operators.budget import run_days
 
 DIFFICULTIES = ("easy", "medium", "hard")
 ITEMS = "items array<struct<index:double,subject:string,topic:string,difficulty:string,cognitive_level:string>>"
@@ -124,14 +125,9 @@ def usage_cost(usage: DataFrame, cfg: Classification = CLASSIFICATION) -> DataFr
 def daily_budget(usage: DataFrame, cfg: Classification = CLASSIFICATION, block: int = 65536) -> DataFrame:
     """Per day, in arrival order ``seq``, batches run while the cost before them is below the limit.
 
-    The running cost is exact (decimal) and computed in ranges of ``seq``, so a
-    day is never one task. What does not run is due the next day.
+    What does not run is first in the queue of the next day and counts against its limit (see `budget.py`).
     """
-    cost = F.col("cost_usd").cast("decimal(38,12)")
-    d = running_sum(usage, ["day"], F.floor(F.col("seq") / block), [F.col("seq")], cost, "cost_before")
-    runs = F.lit(True) if cfg.daily_usd <= 0 else F.col("cost_before") < F.lit(cfg.daily_usd).cast("decimal(38,12)")
-    return d.withColumn("runs", runs).withColumn(
-        "due_day", F.when(F.col("runs"), F.col("day")).otherwise(F.date_add("day", 1)))
+    return run_days(usage, cfg.daily_usd, block)
 
 
 def apply_classifications(questions: DataFrame, patches: DataFrame, failed: DataFrame) -> DataFrame:

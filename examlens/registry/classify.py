@@ -168,6 +168,16 @@ STEPS = [
 ]
 
 
+# The queue, batch by batch: the limit of a day is used up, or the next batch comes on a later day.
+QUEUE = [
+    ("queued", "select exam_id, idx, day_no, cast(round((input_tokens/1e6*0.3e0+output_tokens/1e6*2.5e0)*1e12) as hugeint) cost, row_number() over (order by day_no, seq) i from cost"),
+    ("walk(exam_id, idx, day_no, i, run_day, spent, used)", """select cast(null as bigint), cast(null as bigint), cast(null as bigint), cast(0 as bigint), cast(-1 as bigint), cast(0 as hugeint), cast(0 as hugeint) union all
+ select q.exam_id, q.idx, q.day_no, q.i, greatest(q.day_no, w.run_day + case when w.used >= 50000000000 then 1 else 0 end),
+ case when q.day_no > w.run_day or w.used >= 50000000000 then 0 else w.used end, case when q.day_no > w.run_day or w.used >= 50000000000 then 0 else w.used end + q.cost
+ from walk w join queued q on q.i = w.i + 1"""),
+]
+
+
 def _o(select, *more):
     return with_views(*STEPS, *more, select)
 
@@ -188,7 +198,7 @@ ORACLES = {
     "match_classifications": _o("select * from three"),
     "match_retries": _o("select t.question_id, case when r.err is null then r.subject end subject from three t left join resp r on r.exam_id*100+r.idx+1=t.question_id where t.outcome='retry'"),
     "usage_cost": _o("select exam_id, idx, input_tokens, output_tokens, total_tokens, round(input_tokens/1e6*0.3e0+output_tokens/1e6*2.5e0,9) cost_usd from cost"),
-    "daily_budget": _o("select exam_id, idx, strftime(date '2024-01-01'+day_no,'%Y-%m-%d') as day, cast(before as double) cost_before, before<0.05 runs, strftime(date '2024-01-01'+day_no+case when before<0.05 then 0 else 1 end,'%Y-%m-%d') due_day from (select *, coalesce(sum(cast(round(input_tokens/1e6*0.3e0+output_tokens/1e6*2.5e0,12) as decimal(38,12))) over (partition by day_no order by seq rows between unbounded preceding and 1 preceding),0) before from cost) t"),
+    "daily_budget": _o("select exam_id, idx, strftime(date '2024-01-01'+cast(day_no as int),'%Y-%m-%d') as day, cast(spent as double)/1e12 cost_before, run_day=day_no runs, strftime(date '2024-01-01'+cast(run_day as int),'%Y-%m-%d') due_day from walk where i>0", *QUEUE),
     "apply_classifications": _o("select q.question_id, q.exam_id, q.q_order, case when t.outcome='classified' then t.subject else q.subject end subject, t.topic, t.difficulty, case when t.outcome in ('classified','failed') then t.outcome else q.classification_status end classification_status from fx_questions q left join (select question_id, outcome, subject, case when outcome='classified' then topic end topic, case when outcome='classified' then difficulty end difficulty from three) t on t.question_id=q.question_id"),
     "classify_with": _o("select question_id, 's'||length(question_text)%3 subject, 't' topic, 'easy' difficulty from batches"),
     "join_pages": "select doc_id, replace(text,chr(10),chr(10)||chr(10)) as text, len(string_split(text,chr(10))) pages, 'direct' reader from documents union all "

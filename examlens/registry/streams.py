@@ -115,5 +115,5 @@ ORACLES = {
     "stream_sessions": with_views(*rz.STEPS,
         "select s.session_id, cast(a as int) answered, cast(c as int) correct, s.total_questions, round(c/s.total_questions*100,2) score from sess s join cnt on cnt.session_id=s.session_id where s.finished_at is null and a>=s.total_questions"),
     "stream_status": _STATUS.replace(" as at from", ' as "at" from'),
-    "due_batches": rc._o("select * from b where due_day<='2024-01-02'", ("b", rc.ORACLES["daily_budget"].split("\n")[-1])),
+    "due_batches": rc._o("select * from b where due_day<='2024-01-02'", *rc.QUEUE, ("b", rc.ORACLES["daily_budget"].split("\n")[-1])),
 }

@@ -1,7 +1,9 @@
 """Enrichment, lifecycle, quiz, classification, text tier and table writes on small inputs."""
 
+import datetime
 import hashlib
 import json
+import random
 from dataclasses import replace
 
 import pytest
@@ -170,6 +172,26 @@ def test_daily_budget(spark):
     assert all(r.runs for r in c.daily_budget(df, replace(CLASSIFICATION, daily_usd=0.0)).collect())
 
 
+def test_daily_budget_carries_over(spark):
+    """Thirty days with overflow, idle days, free batches and a backlog after the last day, against a plain queue."""
+    rng = random.Random(5)
+    rows = [(d, i, rng.choice([0.0, 0.1, 0.25, 0.3, 1.7, None])) for d in range(30) if d % 9 not in (4, 5, 6) for i in range(rng.randint(0, 12))]
+    rows += [(29, 100 + i, 0.7) for i in range(20)]
+    first = datetime.date(2024, 1, 1)
+    df = spark.createDataFrame([(first + datetime.timedelta(d), s, x, "x") for d, s, x in rows], "day date, seq bigint, cost_usd double, k string")
+    want, day, spent = {}, -1, 0
+    for d, s, x in sorted(rows, key=lambda r: r[:2]):
+        if d > day or spent >= 100:
+            day, spent = max(d, day + (spent >= 100)), 0
+        want[d, s] = (day, spent, day == d)
+        spent += round((x or 0) * 100)
+    for block in (3, 65536):
+        got = c.daily_budget(df.repartition(4), block=block).collect()
+        assert {((r.day - first).days, r.seq): ((r.due_day - first).days, round(float(r.cost_before) * 100), r.runs) for r in got} == want
+    assert max(v[0] for v in want.values()) > 35
+    assert c.daily_budget(df.limit(0)).collect() == []
+
+
 def test_chunks_against_brute_force(spark):
     texts = ["", "a" * 50, "\n".join("x" * n for n in (5, 9, 30, 1, 1, 1, 20)), PAGE_SEPARATOR.join("y" * n for n in (10, 12, 3, 40))]
 
