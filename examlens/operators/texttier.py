@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from examlens.config import CHUNK_CHARS, MIN_EXTRACT_CHARS, PAGE_SEPARATOR
 from examlens.functions.text import collapsed, trimmed
+from examlens.operators.ledger import dealt
 
 CHARS_PER_PAGE = 500
 MIN_DIRECT_CHARS = 100
+TASK_BYTES = 128 * 1024 * 1024
 
 
 def join_pages(text_pages: DataFrame, ocr: bool = False) -> DataFrame:
@@ -94,10 +96,13 @@ def merge_chunk_questions(found: DataFrame) -> DataFrame:
     return found.groupBy("exam_id", "q_order").agg(first).select("exam_id", "q_order", "f.*")
 
 
-def extract_with(files: DataFrame, fn: Callable[[str, bytes], tuple[str, float]]) -> DataFrame:
-    """The user's reader called per file, in the tasks that read the files.
+def extract_with(
+    files: DataFrame, fn: Callable[[str, bytes], tuple[str, float]], task_bytes: int = TASK_BYTES
+) -> DataFrame:
+    """The user's reader called per file, in tasks of ``task_bytes`` and at most one file more.
 
-    An exception of the reader becomes that file's error, not the job's.
+    An exception of the reader becomes that file's error, not the job's. The
+    sizes are added up before, from ``length`` where the files have it.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,4 +116,5 @@ def extract_with(files: DataFrame, fn: Callable[[str, bytes], tuple[str, float]]
                     rows.append((path, "", 0.0, f"{type(exc).__name__}:{exc}"))
             yield pd.DataFrame(rows, columns=["path", "text", "confidence", "error"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, text string, confidence double, error string")
+    size = F.col("length") if "length" in files.columns else F.length("content")
+    return dealt(files, "path", size, task_bytes).select("path", "content").mapInPandas(run, "path string, text string, confidence double, error string")

@@ -113,6 +113,9 @@ def fallback_exams(
     question at all fails the whole exam; its rows are not stored.
     ``routed(exam_id, tier, acceptable, fallback_reason)`` comes from E4.
     """
+    # Both come out of whole plans and are joined at several steps.
+    routed = materialize(routed.select("exam_id", "tier", "acceptable", "fallback_reason"), "routed")
+    answer_keys = materialize(answer_keys, "answers")
     texts = materialize(read_texts(routed, files, tier, ledger, ask_again), "texts")
     parts = materialize(structure_texts(texts, tier, ledger, ask_again), "parts")
     listed = parts.select("exam_id", "chunk", F.posexplode("questions").alias("position", "q"))
@@ -138,8 +141,7 @@ def fallback_exams(
     kept = rows.groupBy("exam_id").agg(
         F.count("*").alias("inserted"), F.min_by("source_page", "q_order").alias("page_offset"))
     d = (
-        routed.filter("tier = 'fallback'").select("exam_id", "tier", "acceptable", "fallback_reason")
-        .join(verdict, "exam_id").join(kept, "exam_id", "left")
+        routed.filter("tier = 'fallback'").join(verdict, "exam_id").join(kept, "exam_id", "left")
         .join(quality.questions_expected(exams, answer_keys), "exam_id", "left")
         .withColumns({
             "inserted": F.coalesce("inserted", F.lit(0)), "duration_ms": F.lit(None).cast("bigint"), "cost_usd": F.lit(0.0),
