@@ -6,7 +6,8 @@ hit inside an exception phrase does not count. The sum of the hits' weights and
 the text's words make the score.
 
 The lexicon is learned from labelled texts: words and word beginnings that toxic texts have
-far more often than clean ones, weighted by their log odds.
+far more often than clean ones, weighted by their log odds. So are the exception phrases: an
+entry's word with a neighbour next to which it stands in clean texts far more often than in toxic ones.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ HOMOGLYPHS = {
     "α": "a", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ℓ": "l",
 }
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-EXCEPTIONS = ("trash can", "trash bin", "class clown", "pond scum", "sore loser", "pathetic fallacy")
 # Signs stand for letters as a run between two letters, or alone before two letters with no sign or letter in front.
 RUN, MORE = r"[013457@$]++(?=[^\W\d_])", r"(?=[^\W\d_](?:[^\W\d_]|[013457@$]++[^\W\d_]))"
 SIGN = re.compile(rf"(?<=[^\W\d_]){RUN}|(?<!\w)[013457]{MORE}|(?<![013457@$])(?<![^\W\d_])[@$]{MORE}")
@@ -70,7 +70,8 @@ class ToxicitySpec:
     least_texts: int = 3  # toxic texts that an entry needs
     evidence: float = 18.0  # log-likelihood ratio that it needs
     odds: float = 1.5  # log odds that it needs
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    least_clean: int = 3  # clean texts that an exception phrase needs
+    exceptions: tuple[str, ...] = ()  # phrases that count as exceptions besides the learned ones
     folds: int = 5
     threshold: float = 0.5
 
@@ -81,6 +82,7 @@ class ToxicityModel:
     lexicon: dict[str, float]  # folded entries, each with its leading blank; one that ends in a blank is a whole word
     shift: float = -3.0
     slopes: tuple[float, float] = (1.0, 0.0)
+    learned: tuple[str, ...] = ()  # exception phrases found in clean texts
     _automaton: object = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
@@ -92,7 +94,7 @@ class ToxicityModel:
             a = ahocorasick.Automaton()
             for entry, weight in self.lexicon.items():
                 a.add_word(entry, (len(entry), weight))
-            for phrase in self.spec.exceptions:
+            for phrase in (*self.spec.exceptions, *self.learned):
                 a.add_word(f"{fold(phrase)}", (len(fold(phrase)), -1.0))
             if len(a):
                 a.make_automaton()
@@ -113,8 +115,8 @@ class ToxicityModel:
             else:
                 hits[start] = max(weight, hits.get(start, 0.0))
         for a, z in spared:
-            for start in [s for s in hits if a <= s < z]:
-                del hits[start]
+            for start in range(a, z):
+                hits.pop(start, None)
         total = sum(hits.values())
         return math.log1p(total), total / max(folded.count(" ") - 1, 1)
 
@@ -147,6 +149,13 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int, spec: Tox
     return kept
 
 
+def phrases(text: str | None, lexicon: dict[str, float], beginnings: tuple[int, ...]) -> set[str]:
+    """Every word of a folded text that an entry hits, with the word before and the word behind it."""
+    words = fold(text).split()
+    hit = [f" {w} " in lexicon or any(f" {w[:n]}" in lexicon for n in beginnings) for w in words]
+    return {f"{words[i]} {words[i + 1]}" for i in range(len(words) - 1) if hit[i] or hit[i + 1]}
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Coefficients of a small logistic regression, by Newton steps; the first column is the shift."""
     w = np.zeros(x.shape[1])
@@ -186,6 +195,18 @@ def learn(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(
     worth = seen.where((F.col("bad") >= spec.least_texts) & (F.col("bad") * n.get(0, 0) > F.col("good") * n.get(1, 0) * math.exp(spec.odds) / 2)).collect()  # entries, bounded by the sample
     model = ToxicityModel(spec, choose([(r.term, r.bad, r.good) for r in worth], n.get(1, 0), n.get(0, 0), spec))
 
+    def beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(t, y) for text, y in zip(b["text"], b["label"], strict=True) for t in phrases(text, model.lexicon, lengths)]
+            yield pd.DataFrame(found, columns=["phrase", "label"])
+
+    pairs = sample.mapInPandas(beside, "phrase string, label int").groupBy("phrase").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
+    # As clean as an entry has to be toxic; phrases, bounded by the sample.
+    odds = F.log((F.col("good") + 0.5) / (n.get(0, 0) + 1)) - F.log((F.col("bad") + 0.5) / (n.get(1, 0) + 1))
+    clean = pairs.where((F.col("good") >= spec.least_clean) & (odds >= spec.odds)).select("phrase").collect()
+    model.learned = tuple(sorted(r.phrase for r in clean))
+    model._automaton = None
+
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             m = [model.measures(t) for t in b["text"]]

@@ -1,4 +1,6 @@
+import collections
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -120,7 +122,8 @@ def test_toxicity_awkward(spark):
 
 
 def test_folding_and_exceptions():
-    model = toxicity.ToxicityModel(toxicity.ToxicitySpec(), {" idiot": 3.0, " trash ": 2.0, " scum": 2.0})
+    spec = toxicity.ToxicitySpec(exceptions=("trash can", "pond scum"))
+    model = toxicity.ToxicityModel(spec, {" idiot": 3.0, " trash ": 2.0, " scum": 2.0})
     for text in ("idiot", "IDIOT!", "1d10t", "іdіоt", "ïdíöt", "an idiotic one", "i​diot", "$cum", "tr@sh.", "scum$$$"):
         assert model.measures(text)[0] > 0, text
     for text in ("", None, "videot", "trashy", "the trash can", "pond scum", "101 45 7", "$$$ @@@"):
@@ -130,6 +133,39 @@ def test_folding_and_exceptions():
     assert model.score("x") < 0.5
 
 
+def test_exceptions_are_learned(spark):
+    """A word that only toxic texts hold, but for one neighbour with which only clean texts have it."""
+    rows = [(i, f"you are trash and text {i}", "en", "a", 0) for i in range(200)]
+    rows += [(200 + i, f"a calm text number {i} about gardens", "en", "a", 0) for i in range(400)]
+    rows += [(600 + i, f"put number {i} in the Trash c4n please", "en", "a", 0) for i in range(25)]
+    known = labels(spark, [(i, 0, int(i < 200), "x", 0.0) for i in range(625)])
+    model = toxicity.learn(docs(spark, rows), known)
+    assert any(k.strip().startswith("tras") for k in model.lexicon)
+    assert "trash can" in model.learned and not any("and" in p.split() or "are" in p.split() for p in model.learned)
+    assert model.measures("the trash can") == (0.0, 0.0) and model.score("you are trash") > 0.5 > model.score("the trash can")
+    assert model.measures("trash in the trash can")[0] > 0
+    # As the plain rule has it, over the texts that were learned from.
+    taught = {d for d, *_ in rows if zlib.crc32(str(d).encode()) % 5}
+    good, bad = collections.Counter(), collections.Counter()
+    for d, text, *_ in rows:
+        if d in taught:
+            w = toxicity.fold(text).split()
+            hit = [any(f" {x} ".startswith(k) for k in model.lexicon) for x in w]
+            (bad if d < 200 else good).update({f"{w[i]} {w[i + 1]}" for i in range(len(w) - 1) if hit[i] or hit[i + 1]})
+    n1 = sum(d < 200 for d in taught)
+    odds = lambda p: np.log((good[p] + 0.5) / (len(taught) - n1 + 1)) - np.log((bad[p] + 0.5) / (n1 + 1))
+    assert set(model.learned) == {p for p in good if good[p] >= 3 and odds(p) >= 1.5}
+
+
+def test_many_exceptions_take_no_square():
+    import time
+
+    model = toxicity.ToxicityModel(toxicity.ToxicitySpec(exceptions=("trash can",)), {" idiot": 3.0, " trash ": 2.0})
+    start = time.perf_counter()
+    assert model.measures("idiot " * 50_000 + "trash can " * 50_000)[0] == pytest.approx(np.log1p(150_000.0))
+    assert time.perf_counter() - start < 20
+
+
 def test_lexicon_choice():
     spec = toxicity.ToxicitySpec()
     got = toxicity.choose([(" bad", 60, 0), (" badly ", 30, 0), (" the ", 90, 890), (" rare ", 2, 0), (" mild ", 20, 150)], 100, 900, spec)
