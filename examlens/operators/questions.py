@@ -170,7 +170,8 @@ def segment_questions(classified: DataFrame, scan: Scan, confirmed_only: bool =
 
     Lines from the first shared-text lead to the first question have ``num`` -1. ``mark``
     orders the option markers: a repeated marker replaces what its letter had. Lines meet
-    their item by range of line numbers, so a long exam is many tasks.
+    their item by range of line numbers, so a long exam is many tasks. The rows of items by block are as many
+    as the line numbers have blocks, which no estimate of sizes sees: they are merged, never sent whole to every task.
     """
     wanted = scan.items.where("confirmed") if confirmed_only else scan.items
     spans = wanted.select("exam_id", "num", F.col("page").alias("item_page"), F.col("line").alias("item_line"), "end_line")
@@ -183,7 +184,7 @@ def segment_questions(classified: DataFrame, scan: Scan, confirmed_only: bool =
         F.explode(F.sequence(F.expr(f"item_line div {cfg.block_lines}"), F.floor(last / cfg.block_lines))).alias("_block"))
     skip = scan.seen.where("skip_of is not null").select("exam_id", "line_no", F.col("skip_of").alias("item_line"), F.lit(True).alias("_skip"))
     lines = classified.drop("num", "page").withColumn("_block", F.expr(f"cast(line_no as bigint) div {cfg.block_lines}"))
-    met = lines.join(rows, ["exam_id", "_block"]).filter("line_no >= item_line and line_no < end_line").join(skip, ["exam_id", "item_line", "line_no"], "left")
+    met = lines.join(rows.hint("merge"), ["exam_id", "_block"]).filter("line_no >= item_line and line_no < end_line").join(skip, ["exam_id", "item_line", "line_no"], "left")
     w = Window.partitionBy("exam_id", "item_line").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     option = (F.col("kind") == "option") & (F.col("num") >= 0)
     roles = met.withColumn("opt", F.last(F.when(option, F.struct("line_no", "letter")), ignorenulls=True).over(w))

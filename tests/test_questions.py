@@ -188,3 +188,14 @@ def test_gate_against_a_plain_loop(spark):
     want = {(e, i): v for e, items in enumerate(exams) for i, v in zip(starts[e], gate(items), strict=True)}
     got = scan(spark, *texts).seen.collect()
     assert {(r.exam_id, r.line_no): r.accepted for r in got} == want
+
+
+def test_items_by_block_are_not_broadcast(spark):
+    """With sparse line numbers the rows of items by block are far more than the items."""
+    ls = [t for n in range(1, 4) for t in question(n)]
+    df = lines(spark, ls, ls).withColumn("line_no", F.col("line_no") * 100000)
+    classified = q.classify_lines(q.strip_scratch(df))
+    got = q.segment_questions(classified, q.scan_numbers(q.number_spans(classified)))
+    assert len(got.collect()) == 2 * len(ls)
+    joins = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x and "_block" in x]
+    assert joins and not any("Broadcast" in x for x in joins)
