@@ -1,6 +1,7 @@
 """Layout, answer keys and the ordered helpers on small inputs."""
 
 import random
+import re
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from examlens.functions.ordered import carry_forward, position, running_sum
 from examlens.operators import keys as k
 from examlens.operators import layout as y
+from examlens.sources.sinks import materialize
 
 FRAG = "exam_id bigint, page int, str string, x double, y double, width double, font_size double"
 PAGES = "exam_id bigint, page int, page_width double, page_height double, has_images boolean"
@@ -148,3 +150,36 @@ def test_line_grouping_by_stretches_and_runs(spark):
             want.append((*f, line))
         df = spark.createDataFrame([(1, 1, *f, "single") for f in fs], "exam_id long, page int, y double, x double, str string, font_size double, column string")
         assert sorted((r.y, r.x, r.str, r.font_size, r.line_ord) for r in y.group_lines(df).collect()) == sorted(want)
+
+
+def test_lines_are_built_where_fragments_are(spark):
+    """From columned fragments to lines there is one shuffle, and every fragment is on its line."""
+    rows = [(e, 1, f"t{i:02d}", 10.0 * (i % 4), 100.0 + 4 * (i // 4) + 8 * (i // 8), 5.0, 10.0) for e in range(3) for i in range(24)]
+    df = spark.createDataFrame(rows, FRAG).withColumn("column", F.lit("single"))
+    got = y.build_lines(y.group_lines(df))
+    found = got.collect()
+    # Gaps of 4 stay on the line (0.55 x 10 = 5.5), gaps of 12 break it.
+    assert sorted((r.exam_id, r.line_ord) for r in found) == [(e, k) for e in range(3) for k in range(3)]
+    assert all(sorted(re.findall("t[0-9]{2}", r.text)) == [f"t{8 * r.line_ord + i:02d}" for i in range(8)] for r in found)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_zone_keys_are_made_of_zone_text_only(spark):
+    """No filter on the key runs on fragments that have not met their page."""
+    rows = [(0, p, "  HEAD ", 10.0, 10.0, 5.0, 10.0) for p in (1, 2)] + [(0, 1, "body", 10.0, 400.0, 5.0, 10.0)]
+    pg = page(spark, 2)
+    got = y.repeated_zone_text(y.tag_zones(spark.createDataFrame(rows, FRAG), pg), pg)
+    assert [(r.str_key, r.on_pages, r.n_pages) for r in got.collect()] == [("head", 2, 2)]
+    filters = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x and "regexp_replace" in x]
+    assert all("page_height" in x for x in filters)
+
+
+def test_written_once_small_and_narrow(spark):
+    """Lines come from the columns they are made of; what is written between is compressed by zstd."""
+    df = spark.createDataFrame([(0, 1, "a", 10.0, 400.0, 5.0, 10.0)], FRAG).withColumn("note", F.concat(F.lit("n"), "str"))
+    made = y.page_lines(df, page(spark))
+    assert "note" not in made._jdf.queryExecution().optimizedPlan().toString()
+    written = materialize(made, "test")
+    assert [r.text for r in written.collect()] == ["a"]
+    assert all(f.endswith(".zstd.parquet") for f in written.inputFiles())
