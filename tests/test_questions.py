@@ -199,3 +199,19 @@ def test_items_by_block_are_not_broadcast(spark):
     assert len(got.collect()) == 2 * len(ls)
     joins = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x and "_block" in x]
     assert joins and not any("Broadcast" in x for x in joins)
+
+
+def test_growing_tables_are_not_broadcast(spark, tmp_path):
+    """Pages and numbered lines come from files whose compressed bytes look small."""
+    ls = [t for n in range(1, 4) for t in question(n)]
+    spark.createDataFrame([(0, 1, True), (1, 1, False)], "exam_id long, page int, has_images boolean").write.parquet(f"{tmp_path}/pages")
+    pg = spark.read.parquet(f"{tmp_path}/pages")
+    classified = q.classify_lines(q.strip_scratch(lines(spark, ls, ls)))
+    spans = q.number_spans(classified, pg)
+    segments = q.segment_questions(classified, q.scan_numbers(spans))
+    flagged = q.flag_requires_source(q.assemble_questions(segments).filter("num >= 0"), pg)
+    assert len(flagged.collect()) == 6
+    for df, column in ((spans, "_img"), (segments, "_skips"), (flagged, "_img")):
+        joins = [x for x in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in x]
+        assert joins and df._jdf.queryExecution().sparkPlan().toString().count(column)
+        assert not any("BroadcastHashJoin" in x and ("page" in x or "item_line" in x) for x in joins)
