@@ -57,6 +57,8 @@ def read_texts(routed: DataFrame, files: DataFrame, tier: Tier, ledger: str, ask
     """
     wanted = routed.filter("tier = 'fallback'").select("exam_id", "fallback_reason")
     there = files.join(wanted.select("exam_id"), "exam_id", "left_semi").filter(F.col("content").isNotNull())
+    # What is asked is read several times: to size it, to deal it to tasks, and with the answers.
+    there = materialize(there, "there")
 
     def read(source: DataFrame, name: str, fn: Callable) -> DataFrame:
         asked = source.select(
@@ -92,6 +94,7 @@ def structure_texts(texts: DataFrame, tier: Tier, ledger: str, ask_again: bool =
         F.col("doc_id").alias("exam_id"), "chunk",
         call_id(F.lit("structure"), F.col("doc_id"), F.col("chunk"), F.sha2("text", 256)).alias("call_id"),
         F.concat(F.lit(PROMPT), "text").alias("prompt"))
+    asked = materialize(asked, "asked")  # read several times, cut into chunks once
     structure = tier.structure
     answered = call_once(asked, lambda prompt: (structure(prompt),), ["prompt"], _ANSWER, f"{ledger}/structure",
                          target=tier.task_calls, ask_again=ask_again)

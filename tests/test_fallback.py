@@ -160,3 +160,23 @@ def test_no_exam_for_the_tier(spark, tmp_path):
     exams = spark.createDataFrame([], "exam_id bigint, template_id string, has_key boolean")
     rows, outcome = fb.fallback_exams(none, files, keys, exams, tier, str(tmp_path / "ledger"))
     assert rows.collect() == [] and outcome.collect() == []
+
+
+def test_what_is_asked_is_made_once(spark, tmp_path, monkeypatch):
+    """Requests are read several times by ``call_once``: they come from files, not from the chunking plan."""
+    asked = []
+
+    def kept(requests, *args, **kw):
+        asked.append(requests)
+        return lg.call_once(requests, *args, **kw)
+
+    monkeypatch.setattr(fb, "call_once", kept)
+    text = "\n".join(f"{i}. um texto de questao" for i in range(1, 9))
+    routed = spark.createDataFrame([(1, "fallback", "r")], "exam_id bigint, tier string, fallback_reason string")
+    files = spark.createDataFrame([(1, "a.pdf", bytearray(text.encode()))], "exam_id bigint, filename string, content binary")
+    tier = fb.Tier(lambda n, c: (bytes(c).decode(), 1.0), lambda n, c: ("", 0.0), lambda p: '{"questions": []}', min_chars=1, max_chars=60)
+    texts = fb.read_texts(routed, files, tier, str(tmp_path / "ledger"))
+    assert fb.structure_texts(texts, tier, str(tmp_path / "ledger")).count() > 2
+    first, _, chunks = asked
+    assert first.inputFiles() and chunks.inputFiles()
+    assert not any("collect_list" in p or "aggregate(" in p for p in (r._jdf.queryExecution().optimizedPlan().toString() for r in asked))
