@@ -53,7 +53,7 @@ def accept_answers(attempts: DataFrame, sessions: DataFrame, questions: DataFram
     d = (
         attempts.withColumn("answer", normalize_answer(F.col("raw_answer")))
         .join(s, "session_id", "left")
-        .join(q, ["_exam", "q_order"], "left")
+        .join(q.hint("merge"), ["_exam", "q_order"], "left")
     )
     code = (
         F.when(F.col("answer").isNull(), "INVALID_INPUT")
@@ -83,7 +83,7 @@ def first_answers(attempts: DataFrame, sessions: DataFrame, questions: DataFrame
     return (
         first.join(open_sessions, "session_id")
         .select("session_id", F.col("_exam").alias("exam_id"), "q_order", "f.*")
-        .join(questions.select("exam_id", "q_order"), ["exam_id", "q_order"], "left_semi")
+        .join(questions.select("exam_id", "q_order").hint("merge"), ["exam_id", "q_order"], "left_semi")
     )
 
 
@@ -96,7 +96,7 @@ def upsert_answers(attempts: DataFrame) -> DataFrame:
 def grade_answers(accepted: DataFrame, questions: DataFrame) -> DataFrame:
     """H4: an answer is right if it equals the key; without a key it is wrong."""
     key = questions.select("exam_id", "q_order", normalize_answer(F.col("correct_answer")).alias("correct_answer"))
-    return accepted.join(key, ["exam_id", "q_order"], "left").withColumn(
+    return accepted.join(key.hint("merge"), ["exam_id", "q_order"], "left").withColumn(
         "is_correct", F.coalesce(F.col("answer") == F.col("correct_answer"), F.lit(False)))
 
 

@@ -209,15 +209,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_staged: dict[tuple[str, str, str], DataFrame] = {}
+_staged: dict[tuple[str, ...], DataFrame] = {}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view as a table: derived by Spark once per session and folder, then read."""
+def view(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """The view as a table: derived by Spark once per session and folder, then read. With ``columns`` only
+    these are derived, for queries that use no others; a view that is there as a whole is read."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
+    if columns and key not in _staged:
+        key += columns
     if key not in _staged:
-        _staged[key] = materialize(derive(spark, sf_dir, name), name)
-    return _staged[key]
+        derived = derive(spark, sf_dir, name)
+        _staged[key] = materialize(derived.select(*columns) if columns else derived, name)
+    return _staged[key].select(*columns) if columns else _staged[key]
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

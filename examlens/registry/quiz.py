@@ -28,7 +28,8 @@ def _sessions(s, d):
 
 
 def _known(s, d):
-    return _q(s, d)
+    """The questions with their keys; their texts are neither graded nor derived for it."""
+    return view(s, d, "fx_questions", "exam_id", "q_order", "correct_answer")
 
 
 def _graded(s, d):
@@ -78,7 +79,7 @@ QUERIES = {
     "upsert_answers": lambda s, d: z.upsert_answers(_attempts(s, d)),
     "finish_sessions": _finished,
     "auto_finalize": lambda s, d: z.auto_finalize(_sessions(s, d), _graded(s, d), _now()),
-    "session_results": lambda s, d: z.session_results(_finished(s, d), _graded(s, d), _known(s, d)),
+    "session_results": lambda s, d: z.session_results(_finished(s, d), _graded(s, d), _q(s, d)),
     "answer_states": lambda s, d: z.answer_states(_graded(s, d), _options(s, d)),
     "session_summary": lambda s, d: z.session_summary(_finished(s, d)),
     "question_preview": lambda s, d: _q(s, d).select("question_id", z.question_preview(F.col("question_text")).alias("preview")),

@@ -47,10 +47,10 @@ def _answers(s, d):
 
 
 def _session_stream(s, d):
-    q = view(s, d, "fx_questions")
+    q = rz._known(s, d)
     sessions = view(s, d, "fx_sessions").filter("finished_at is null").select("session_id", "total_questions")
     attempts = _stream(s, view(s, d, "fx_answers"), 100)
-    known = attempts.join(q.select("exam_id", "q_order"), ["exam_id", "q_order"], "left_semi")  # an unknown question is no answer
+    known = attempts.join(q.select("exam_id", "q_order").hint("merge"), ["exam_id", "q_order"], "left_semi")  # an unknown question is no answer
     graded = z.grade_answers(
         known.withColumn("answer", st.normalize_answer(F.col("raw_answer"))).filter("answer is not null"), q)
     return graded.join(sessions, "session_id").withColumn("is_finish", F.lit(False))

@@ -79,7 +79,7 @@ def read_first_answers(updates: DataFrame, sessions: DataFrame, questions: DataF
     return (
         first.select("session_id", "q_order", "f.*")
         .join(open_sessions, "session_id")
-        .join(questions.select("exam_id", "q_order"), ["exam_id", "q_order"], "left_semi")
+        .join(questions.select("exam_id", "q_order").hint("merge"), ["exam_id", "q_order"], "left_semi")
         .withColumn("answered_at", F.col("answered_at").cast("timestamp_ntz"))
     )
 

@@ -254,3 +254,23 @@ def test_table_replacement(spark, tmp_path):
         assert got == [(1, 1, "new"), (3, 1, "d")]
     sinks.replace_in_table(spark, path, new.limit(0), spark.createDataFrame([(1,), (3,)], "exam_id bigint"), 4)
     assert sinks.read_exam_table(spark, path, new.schema).count() == 0
+
+
+def test_a_view_of_some_columns_derives_no_others(spark, tmp_path, monkeypatch):
+    from examlens.registry import fixtures as fx
+
+    spark.createDataFrame([(i, "w " * 40) for i in range(20)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    narrow = fx.view(spark, str(tmp_path), "fx_questions", "exam_id", "q_order", "correct_answer")
+    assert narrow.columns == ["exam_id", "q_order", "correct_answer"]
+    stored = spark.read.parquet(narrow.inputFiles()[0].rsplit("/", 1)[0])
+    assert stored.columns == narrow.columns
+    whole = fx.view(spark, str(tmp_path), "fx_questions")
+    assert sorted(map(repr, narrow.collect())) == sorted(map(repr, whole.select(*narrow.columns).collect())) and narrow.count() == 20
+
+
+def test_questions_are_not_broadcast_to_answers(spark, tmp_path):
+    spark.createDataFrame([(1, 1, "A")], "exam_id bigint, q_order int, correct_answer string").write.parquet(f"{tmp_path}/q")
+    known = spark.read.parquet(f"{tmp_path}/q")
+    accepted = spark.createDataFrame([(1, 1, 1, "A")], "session_id bigint, exam_id bigint, q_order int, answer string")
+    graded = z.grade_answers(accepted, known)
+    assert "BroadcastHashJoin" not in graded._jdf.queryExecution().sparkPlan().toString() and graded.collect()[0].is_correct
