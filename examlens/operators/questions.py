@@ -36,18 +36,26 @@ _PIECE = "\x01"
 _FIRST = 15  # on a line with several options the first is set last, and is continued
 
 
+def _has(c: Column | str, word: str) -> Column:
+    """Is the upper-cased word in the text? A plain search that all a pattern's lines pass, in front of the slow pattern:
+    filters on what a pattern gives are pushed down and run it again."""
+    return F.contains(F.upper(c), F.lit(word))
+
+
 def strip_scratch(lines: DataFrame) -> DataFrame:
     """Cut scratch-paper marks; lines with nothing left are dropped."""
-    text = F.regexp_replace("text", SCRATCH, "")
-    text = F.when(text == F.col("text"), text).otherwise(F.rtrim(text, F.lit(SPACES)))
+    cut = F.regexp_replace("text", SCRATCH, "")
+    stripped = F.when(cut == F.col("text"), cut).otherwise(F.rtrim(cut, F.lit(SPACES)))
+    text = F.when(_has("text", "RASCUNHO"), stripped).otherwise(F.col("text"))
     return lines.withColumn("text", text).filter(F.col("text") != "")
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
     """Kind of each line with what it captures; first matching kind wins."""
     t = F.col("text")
-    alone, start, option = extract(t, NUMBER_ALONE), extract(t, NUMBER_START), extract(t, OPTION)
-    first = extract(t, SHARED_RANGE, 1)
+    letter = F.ascii(t).between(65, 90) | F.ascii(t).between(97, 122)  # no number or option mark begins so
+    alone, start, option = (F.when(~letter, extract(t, p)) for p in (NUMBER_ALONE, NUMBER_START, OPTION))
+    first = F.when(_has(t, "QUEST"), extract(t, SHARED_RANGE, 1))
     kind = (
         F.when(alone.isNotNull(), "alone")
         .when(start.isNotNull(), "start")
@@ -80,8 +88,9 @@ def _inline(rest: Column) -> Column:
 
 def split_inline_options(classified: DataFrame) -> DataFrame:
     """One row per option on an option line."""
+    # An option line has a part; the outer form asks for no filter on it, which would be pushed down and run the patterns again.
     parts = classified.filter("kind = 'option'").select(
-        "exam_id", "page", "line_no", "letter", F.posexplode(_inline(F.col("rest"))).alias("k", "part")
+        "exam_id", "page", "line_no", "letter", F.posexplode_outer(_inline(F.col("rest"))).alias("k", "part")
     )
     first = F.col("k") == 0
     return parts.select(

@@ -215,3 +215,13 @@ def test_growing_tables_are_not_broadcast(spark, tmp_path):
         joins = [x for x in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in x]
         assert joins and df._jdf.queryExecution().sparkPlan().toString().count(column)
         assert not any("BroadcastHashJoin" in x and ("page" in x or "item_line" in x) for x in joins)
+
+
+def test_plain_searches_stand_before_the_patterns(spark):
+    """Most lines have no mark: no pattern is run on them, and lines that pass the search are read as before."""
+    texts = ["abc 1. x", "\u00a07. x", "\u30009", "Rascunho", "a rascunhO b", "rascunhos", "QUEST\u00d5ES 1 a 3", "que\u017ftoes 2 e 4", "quest 1 a 2", " (B) x", "\u00c9 (B)", "z (B) x", "", None]
+    got = {r.line_no: (r.kind, r.text) for r in q.classify_lines(q.strip_scratch(lines(spark, texts))).collect()}
+    kinds = ["body", "start", "alone", None, "body", "body", "range", "range", "body", "option", "body", "body", None, None]
+    assert [got.get(i, (None,))[0] for i in range(len(texts))] == kinds and got[4][1] == "a"
+    plan = q.split_inline_options(q.classify_lines(q.strip_scratch(lines(spark, texts))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?is)(?<!") == 3 * plan.count("RASCUNHO) THEN CASE WHEN (regexp_replace") > 0
