@@ -236,7 +236,8 @@ def scan_numbers(spans: DataFrame, allow_reset: bool = True, cfg: Parser = PARSE
         found = materialize(found.join(several, "exam_id", "left_anti").unionByName(again), "numbers")
     resets = found.where("what = 'reset'").groupBy("exam_id").agg(F.max("place").alias("cut"))
     back = F.col("confirmed") & (F.col("place") < F.coalesce("cut", F.lit(0)))
-    items = found.where("what = 'item'").join(resets, "exam_id", "left").select(
+    # A row of each exam is merged, not broadcast: the file looks small by its compressed size, and exams grow with the input.
+    items = found.where("what = 'item'").join(resets.hint("merge"), "exam_id", "left").select(
         "exam_id", "num", "page", "line", "end_line", "score", "stem_words", "useful_options", "requires_source",
         (F.col("confirmed") & ~back).alias("confirmed"), (back | F.col("forced")).alias("rolled_back"))
     seen = found.where("what = 'seen'").select("exam_id", "page", F.col("line").alias("line_no"), "num", "accepted", "skip_of")

@@ -122,6 +122,11 @@ def _items(spark, sf):
     return _assembled(spark, sf).filter("num >= 0")
 
 
+def _attached(spark, sf):
+    a = _assembled(spark, sf)  # one scan of the numbers for the items and the texts
+    return q.attach_shared_text(a.filter("num >= 0"), q.shared_texts(a)).select("exam_id", "item_line", "num", "shared_id", "context_text")
+
+
 def _flat(df):
     return df.withColumn("details", F.array_join("details", "; "))
 
@@ -152,8 +157,7 @@ QUERIES = {
     "split_inline_options": lambda s, d: q.split_inline_options(_classified(s, d)),
     "assemble_questions": lambda s, d: _items(s, d).select("exam_id", "item_line", "num", "page", "text", "a", "b", "c", "d", "e"),
     "shared_texts": lambda s, d: q.shared_texts(_assembled(s, d)),
-    "attach_shared_text": lambda s, d: q.attach_shared_text(_items(s, d), q.shared_texts(_assembled(s, d))).select(
-        "exam_id", "item_line", "num", "shared_id", "context_text"),
+    "attach_shared_text": _attached,
     "flag_requires_source": lambda s, d: q.flag_requires_source(_items(s, d), view(s, d, "fx_pages")).select(
         "exam_id", "item_line", "num", "page", "requires_source"),
     "confidence_score": lambda s, d: _flat(_scored(s, d)).select(

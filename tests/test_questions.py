@@ -217,6 +217,19 @@ def test_growing_tables_are_not_broadcast(spark, tmp_path):
         assert not any("BroadcastHashJoin" in x and ("page" in x or "item_line" in x) for x in joins)
 
 
+def test_rows_of_one_exam_each_are_not_broadcast(spark):
+    """First lines, last lines, resets and shared texts are as many as exams; their files look small."""
+    ls = ["Leia o texto a seguir para responder as questoes 1 a 2", "Um texto base.", *[t for n in range(1, 4) for t in question(n)]]
+    classified = q.classify_lines(q.strip_scratch(lines(spark, ls, ls)))
+    found = q.scan_numbers(q.number_spans(classified))
+    assembled = q.assemble_questions(q.segment_questions(classified, found))
+    attached = q.attach_shared_text(assembled.filter("num >= 0"), q.shared_texts(assembled))
+    assert sorted((r.exam_id, r.num, r.shared_id) for r in attached.collect()) == [(e, n, "shared-1-2" if n < 3 else None) for e in (0, 1) for n in (1, 2, 3)]
+    for df in (found.items, assembled, attached):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_plain_searches_stand_before_the_patterns(spark):
     """Most lines have no mark: no pattern is run on them, and lines that pass the search are read as before."""
     texts = ["abc 1. x", "\u00a07. x", "\u30009", "Rascunho", "a rascunhO b", "rascunhos", "QUEST\u00d5ES 1 a 3", "que\u017ftoes 2 e 4", "quest 1 a 2", " (B) x", "\u00c9 (B)", "z (B) x", "", None]
