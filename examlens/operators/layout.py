@@ -54,7 +54,8 @@ def clip_page_range(df: DataFrame, pages: DataFrame, ranges: DataFrame) -> DataF
         "exam_id", start.alias("_from"), F.greatest(start, end).alias("_to")
     )
     wanted = pages.select(*PAGE).join(bounds, "exam_id").filter(F.col("page").between(F.col("_from"), F.col("_to")))
-    return df.join(wanted.select(*PAGE), PAGE, "left_semi")
+    # Rows meet their page by hash: they are not sorted, and what a task keeps are the pages of its partition.
+    return df.join(wanted.select(*PAGE).hint("shuffle_hash"), PAGE, "left_semi")
 
 
 def tag_zones(fragments: DataFrame, pages: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:

@@ -224,6 +224,11 @@ def view(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return _staged[key].select(*columns) if columns else _staged[key]
 
 
+def once(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view for a query that reads it once: part of the query's plan, not written first; a table that is there is read."""
+    return _staged.get((spark.sparkContext.applicationId, sf_dir, name)) or derive(spark, sf_dir, name)
+
+
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = SPARK_SQL[name]
     inputs = {}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from examlens.operators import layout as y
-from examlens.registry.fixtures import view, with_views
+from examlens.registry.fixtures import once, view, with_views
 
 _FRAG = ["exam_id", "page", "line_no", "k", "str", "x", "y", "width", "font_size"]
 
@@ -38,7 +38,7 @@ _LINE = ["exam_id", "page", "line_no", "text", "column", "line_y", "line_x", "fo
 
 QUERIES = {
     "normalize_fragments": lambda s, d: y.normalize_fragments(_frags(s, d), _pages(s, d)),
-    "clip_page_range": lambda s, d: y.clip_page_range(_frags(s, d), _pages(s, d), view(s, d, "fx_exam_info")),
+    "clip_page_range": lambda s, d: y.clip_page_range(once(s, d, "fx_fragments"), _pages(s, d), view(s, d, "fx_exam_info")),
     "tag_zones": _tagged,
     "repeated_zone_text": lambda s, d: y.repeated_zone_text(_tagged(s, d), _pages(s, d)),
     "strip_headers_footers": _body,

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from examlens.functions.ordered import carry_forward, position, running_sum
 from examlens.operators import keys as k
 from examlens.operators import layout as y
+from examlens.registry import layout as rl
+from examlens.registry.fixtures import view
 from examlens.sources.sinks import materialize
 
 FRAG = "exam_id bigint, page int, str string, x double, y double, width double, font_size double"
@@ -26,6 +28,27 @@ def test_widest_gap_last_on_a_tie(spark):
     assert got.double_column and got.split_x == 66  # middle of 61..70, rounded up
 
 
+def test_clipped_rows_are_not_sorted(spark):
+    """Rows meet their page by hash; repeated and null rows stay what they are."""
+    rows = spark.createDataFrame([(0, 1, "a"), (0, 2, "b"), (0, 2, "b"), (0, 3, "c"), (1, 1, "d"), (2, 1, "e"), (None, 1, "f"), (0, None, "g")], "exam_id bigint, page int, str string")
+    pages = spark.createDataFrame([(0, 1), (0, 2), (0, 2), (0, 3), (1, 1), (None, 1), (0, None)], "exam_id bigint, page int")
+    got = y.clip_page_range(rows, pages, spark.createDataFrame([(0, 2, 2)], "exam_id bigint, page_start int, page_end int"))
+    assert sorted(r.str for r in got.collect()) == ["b", "b", "d"]
+    assert "ShuffledHashJoin" in got._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_fragments_read_once_are_not_written(spark, tmp_path):
+    """The clip is the only reader of its fragments: they are part of its plan, unless an earlier query left them as a table."""
+    docs = [(i, " ".join(f"w{n}" for n in range(40)), "en", "web", 100) for i in range(12)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    clipped = rl.QUERIES["clip_page_range"](spark, str(tmp_path))
+    assert not any("fx_fragments" in f for f in clipped.inputFiles())
+    rows = sorted(clipped.collect())
+    view(spark, str(tmp_path), "fx_fragments")
+    again = rl.QUERIES["clip_page_range"](spark, str(tmp_path))
+    assert any("fx_fragments" in f for f in again.inputFiles()) and sorted(again.collect()) == rows and rows
+
+
 def test_few_fragments_are_one_column(spark):
     rows = [(0, 1, str(i), float(i), 100.0, 1.0, 10.0) for i in range(9)]
     assert not y.detect_columns(spark.createDataFrame(rows, FRAG), page(spark)).collect()[0].double_column
