@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from examlens.operators import questions as q
 from examlens.registry.fixtures import view, with_views
+from examlens.sources.sinks import materialize
 
 
 def steps(lines: str, pages: str | None = None, allow_reset: bool = True) -> list[tuple[str, str]]:
@@ -123,7 +124,7 @@ def _items(spark, sf):
 
 
 def _attached(spark, sf):
-    a = _assembled(spark, sf)  # one scan of the numbers for the items and the texts
+    a = materialize(_assembled(spark, sf), "assembled")  # one scan and one assembly for the items and the texts
     return q.attach_shared_text(a.filter("num >= 0"), q.shared_texts(a)).select("exam_id", "item_line", "num", "shared_id", "context_text")
 
 

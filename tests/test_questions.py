@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from examlens.config import PARSER
 from examlens.operators import questions as q
 from examlens.registry.fixtures import view
+from examlens.registry.questions import QUERIES
 
 STEM = "Qual das alternativas abaixo descreve melhor o que foi pedido aqui?"
 GOOD = ["(A) uma coisa bem dita", "(B) outra coisa bem dita", "(C) mais uma coisa dita", "(D) ainda outra coisa dita", "(E) por fim coisa dita"]
@@ -230,6 +231,15 @@ def test_rows_of_one_exam_each_are_not_broadcast(spark):
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_items_and_shared_texts_are_assembled_once(spark, tmp_path):
+    """The query reads items and texts from one assembly: no line is classified, shuffled and gathered for each of them."""
+    spark.range(20).selectExpr("id doc_id", "repeat('uma palavra ', 20) text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["attach_shared_text"](spark, str(tmp_path))
+    assert {(r.exam_id, r.num) for r in got.collect() if r.shared_id == "shared-1-3"} == {(0, 1), (0, 2), (0, 3)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Relation") == 2
+
+
 def test_plain_searches_stand_before_the_patterns(spark):
     """Most lines have no mark: no pattern is run on them, and lines that pass the search are read as before."""
     texts = ["abc 1. x", "\u00a07. x", "\u30009", "Rascunho", "a rascunhO b", "rascunhos", "QUEST\u00d5ES 1 a 3", "que\u017ftoes 2 e 4", "quest 1 a 2", " (B) x", "\u00c9 (B)", "z (B) x", "", None]
