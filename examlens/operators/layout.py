@@ -1,7 +1,9 @@
 """Positioned text fragments to lines in reading order.
 
 Everything that looks at neighbouring fragments works inside one page, so the
-fragments are shuffled once by (exam, page) and keep that partitioning.
+fragments are shuffled once by (exam, page) and keep that partitioning; fragments that
+are stored by page are not shuffled. They meet tables of pages by hash, so that they are
+sorted only where lines are made of them, and what a task keeps are the pages of its partition.
 """
 
 from __future__ import annotations
@@ -19,6 +21,11 @@ from examlens.sources.sinks import materialize
 PAGE = ["exam_id", "page"]
 
 
+def _by_page(pages: DataFrame) -> DataFrame:
+    """A table of pages that fragments meet: neither sorted nor sent to all tasks."""
+    return pages.hint("shuffle_hash")
+
+
 def normalize_fragments(raw: DataFrame, pages: DataFrame) -> DataFrame:
     """A3: blank strings dropped, y from the top, one decimal, height from the font if unknown."""
     one = lambda c: F.round(c, 1)
@@ -28,7 +35,7 @@ def normalize_fragments(raw: DataFrame, pages: DataFrame) -> DataFrame:
     font = F.abs(F.col("font_size"))
     return (
         raw.filter(trimmed(F.col("str")) != "")
-        .join(pages.select(*PAGE, "page_height"), PAGE)
+        .join(_by_page(pages.select(*PAGE, "page_height")), PAGE)
         .select(
             *keep,
             one(F.col("x")).alias("x"),
@@ -54,14 +61,13 @@ def clip_page_range(df: DataFrame, pages: DataFrame, ranges: DataFrame) -> DataF
         "exam_id", start.alias("_from"), F.greatest(start, end).alias("_to")
     )
     wanted = pages.select(*PAGE).join(bounds, "exam_id").filter(F.col("page").between(F.col("_from"), F.col("_to")))
-    # Rows meet their page by hash: they are not sorted, and what a task keeps are the pages of its partition.
-    return df.join(wanted.select(*PAGE).hint("shuffle_hash"), PAGE, "left_semi")
+    return df.join(_by_page(wanted.select(*PAGE)), PAGE, "left_semi")
 
 
 def tag_zones(fragments: DataFrame, pages: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
     """B1: header or footer zone by height on the page."""
     rel = F.col("y") / F.col("page_height")
-    return fragments.join(pages.select(*PAGE, "page_height"), PAGE, "left").select(
+    return fragments.join(_by_page(pages.select(*PAGE, "page_height")), PAGE, "left").select(
         *fragments.columns,
         F.when(rel < cfg.header_zone, "header").when(rel > 1 - cfg.footer_zone, "footer").alias("zone"),
     )
@@ -110,7 +116,7 @@ def strip_headers_footers(tagged: DataFrame, repeated: DataFrame, pages: DataFra
     in their (exam, page) partitions.
     """
     per_page = _with_repeated(pages.select(*PAGE), repeated)
-    return tagged.join(per_page, PAGE, "left").filter(
+    return tagged.join(_by_page(per_page), PAGE, "left").filter(
         F.col("zone").isNull() | (F.coalesce("_n", F.lit(0)) < 2) | ~_is_furniture(zone_key(F.col("str")))
     ).select(*[c for c in tagged.columns if c != "zone"])
 
@@ -122,7 +128,7 @@ def _bucket(cfg: Layout):
 
 def x_histogram(body: DataFrame, pages: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
     """Fragments per horizontal bucket, zeros included."""
-    counts = body.join(pages.select(*PAGE, "page_width"), PAGE).groupBy(*PAGE, _bucket(cfg).alias("bucket")).agg(
+    counts = body.join(_by_page(pages.select(*PAGE, "page_width")), PAGE).groupBy(*PAGE, _bucket(cfg).alias("bucket")).agg(
         F.count("*").alias("n")
     )
     grid = pages.select(*PAGE, F.explode(F.sequence(F.lit(0), F.lit(cfg.buckets - 1))).alias("bucket"))
@@ -155,13 +161,18 @@ def _split_x(per_page: DataFrame, cfg: Layout) -> DataFrame:
     )
 
 
+def _counted(placed: DataFrame, key: list[str], cfg: Layout) -> DataFrame:
+    """Fragments of each ``key`` (``_n``) and of its central buckets (``_bs``): they are counted by bucket, only these counts are spread."""
+    low, high = _center(cfg)
+    by_bucket = placed.groupBy(*key, _bucket(cfg).alias("_b")).agg(F.count("*").alias("_c"))
+    counts = [F.coalesce(F.sum(F.when(F.col("_b") == b, F.col("_c"))), F.lit(0)) for b in range(low, high + 1)]
+    return by_bucket.groupBy(*key).agg(F.sum("_c").alias("_n"), F.array(*counts).alias("_bs"))
+
+
 def detect_columns(body: DataFrame, pages: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
     """Pages with a wide, sparse gap near the middle have two columns."""
     sizes = pages.select(*PAGE, "page_width")
-    low, high = _center(cfg)
-    placed = body.join(sizes, PAGE).withColumn("_b", _bucket(cfg))
-    counts = [F.count_if(F.col("_b") == b) for b in range(low, high + 1)]
-    per_page = placed.groupBy(*PAGE, "page_width").agg(F.count("*").alias("_n"), F.array(*counts).alias("_bs"))
+    per_page = _counted(body.join(_by_page(sizes), PAGE), [*PAGE, "page_width"], cfg)
     found = _split_x(per_page, cfg).select(*PAGE, "split_x")
     return sizes.join(found, PAGE, "left").select(
         *PAGE, F.col("split_x").isNotNull().alias("double_column"), "split_x", "page_width"
@@ -187,7 +198,7 @@ def columns_in_place(sheets: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
 
 def assign_columns(body: DataFrame, layout: DataFrame) -> DataFrame:
     """Left, right or single."""
-    return body.join(layout.select(*PAGE, "split_x"), PAGE, "left").select(
+    return body.join(_by_page(layout.select(*PAGE, "split_x")), PAGE, "left").select(
         *body.columns,
         _side().alias("column"),
     )
@@ -210,8 +221,8 @@ def _line_numbers(stretches: Column, cfg: Layout) -> Column:
     return F.aggregate(stretches, start, step)["out"]
 
 
-def group_lines(columned: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
-    """Number of the text line within (page, column).
+def _stretches(columned: DataFrame, cfg: Layout) -> DataFrame:
+    """Rows of fragments (``_fs``) that are on one line, with the number of the line within (page, column).
 
     A fragment is measured against the one above it, by the mean font of the line so far. So a gap
     up to the fixed floor never breaks a line, and one beyond the column's largest tolerance always does.
@@ -235,7 +246,12 @@ def group_lines(columned: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
     before = Window.partitionBy(*key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     placed = runs.withColumn("_first", F.coalesce(F.sum(F.element_at("_lines", -1) + 1).over(before), F.lit(0)))
     rows = placed.select(*key, "_first", F.inline(F.arrays_zip(F.col("_ss")["_fs"].alias("_fs"), F.col("_lines").alias("_line"))))
-    return rows.select(*key, (F.col("_first") + F.col("_line")).cast("int").alias("line_ord"), F.inline("_fs")).select(*columned.columns, "line_ord")
+    return rows.select(*key, (F.col("_first") + F.col("_line")).cast("int").alias("line_ord"), "_fs")
+
+
+def group_lines(columned: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
+    """Number of the text line within (page, column)."""
+    return _stretches(columned, cfg).select(*PAGE, "column", "line_ord", F.inline("_fs")).select(*columned.columns, "line_ord")
 
 
 def build_lines(grouped: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
@@ -254,6 +270,24 @@ def build_lines(grouped: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
     ).select(*key, "text", F.col("_left")["y"].alias("line_y"), F.col("_left")["x"].alias("line_x"), "font_size")
 
 
+def lines_in_place(columned: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
+    """B7 and B8 composed: the gathered fragments of a line are put in order and joined where they are."""
+    key = [*PAGE, "column", "line_ord"]
+    narrow = columned.select(*PAGE, "column", "x", "y", "str", "width", "font_size")
+    lines = _stretches(narrow, cfg).groupBy(*key).agg(F.sort_array(F.flatten(F.collect_list("_fs"))).alias("_fs"))
+
+    def part(f: Column, i: Column) -> Column:
+        last = F.get("_fs", i - 1)
+        font = F.when(last["font_size"] == 0, F.lit(10.0)).otherwise(last["font_size"])
+        gap = f["x"] - (last["x"] + last["width"])
+        return F.concat(F.when(gap > font * cfg.space_factor, F.lit(" ")).otherwise(F.lit("")), f["str"])
+
+    first = F.col("_fs")[0]
+    return lines.select(
+        *key, trimmed(F.array_join(F.transform("_fs", part), "")).alias("text"),
+        first["y"].alias("line_y"), first["x"].alias("line_x"), F.array_max(F.col("_fs")["font_size"]).alias("font_size"))
+
+
 def reading_order(lines: DataFrame) -> DataFrame:
     """Line numbers over the exam: pages, then left before right, then top to bottom."""
     rank = F.when(F.col("column") == "right", 1).otherwise(0)
@@ -263,30 +297,26 @@ def reading_order(lines: DataFrame) -> DataFrame:
 def page_lines(fragments: DataFrame, pages: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
     """B1 to B8 composed: the lines of every page, not yet numbered over the exam.
 
-    The fragments are gathered by page, so they are read and shuffled once; the
-    search for repeated strings and the rest both start from that shuffle. Only what
-    lines are made of goes along.
+    Only what lines are made of goes along. A page that is there twice is read twice, each time by its own sizes (``_p``).
     """
-    columns = ["str", "x", "y", "width", "font_size"]
-    placed = fragments.filter("exam_id is not null and page is not null")
-    sheets = placed.groupBy(*PAGE).agg(F.collect_list(F.struct(*columns)).alias("_fs"))
-
-    def in_zone(f: Column) -> Column:
-        rel = f["y"] / F.col("page_height")
-        return F.coalesce((rel < cfg.header_zone) | (rel > 1 - cfg.footer_zone), F.lit(False))
-
-    sizes = pages.select(*PAGE, "page_height", "page_width")
-    zone_keys = F.array_distinct(F.transform(F.filter("_fs", in_zone), lambda f: zone_key(f["str"])))
-    keys = sheets.join(sizes, PAGE).select(*PAGE, F.explode(zone_keys).alias("str_key"))
-    known = _with_repeated(sizes, _on_most_pages(keys, pages, cfg))
-    body = F.filter(
-        "_fs",
-        lambda f: ~in_zone(f) | (F.coalesce("_n", F.lit(0)) < 2) | ~_is_furniture(zone_key(f["str"])),
-    )
-    cleaned = sheets.join(known, PAGE, "left").select(*PAGE, "page_width", body.alias("_fs"))
-    return build_lines(group_lines(columns_in_place(cleaned, cfg), cfg), cfg)
+    placed = fragments.filter("exam_id is not null and page is not null").select(*PAGE, "x", "y", "str", "width", "font_size")
+    order = Window.partitionBy(*PAGE).orderBy("page_height", "page_width")
+    sizes = pages.select(*PAGE, "page_height", "page_width").withColumn("_p", F.row_number().over(order))
+    rel = F.col("y") / F.col("page_height")
+    in_zone = F.coalesce((rel < cfg.header_zone) | (rel > 1 - cfg.footer_zone), F.lit(False))
+    # The key depends on the zone, so that no filter on it is run on all fragments before they meet their page.
+    key = F.when(in_zone, zone_key(F.col("str")))
+    zoned = placed.join(_by_page(sizes), PAGE).filter(in_zone).select(*PAGE, "_p", key.alias("str_key"))
+    known = _with_repeated(sizes, _on_most_pages(zoned.distinct(), pages, cfg))
+    body = placed.join(_by_page(known), PAGE, "left").filter(
+        ~in_zone | (F.coalesce("_n", F.lit(0)) < 2) | ~_is_furniture(zone_key(F.col("str")))).drop("_n", "_strs")
+    found = _split_x(_counted(body.filter("_p is not null"), [*PAGE, "_p", "page_width"], cfg), cfg)
+    splits = found.groupBy(*PAGE).agg(F.map_from_entries(F.collect_list(F.struct("_p", "split_x"))).alias("_splits"))
+    split_x = F.element_at("_splits", F.col("_p"))
+    columned = body.join(_by_page(splits), PAGE, "left").withColumn("split_x", split_x).withColumn("column", _side())
+    return lines_in_place(columned, cfg)
 
 
 def reconstruct_layout(fragments: DataFrame, pages: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
-    """B1 to B9 composed. The lines are written once, being read for counts and for rows."""
-    return reading_order(materialize(page_lines(fragments, pages, cfg), "lines"))
+    """B1 to B9 composed. The lines are written once and by page, being read for counts and for rows."""
+    return reading_order(materialize(page_lines(fragments, pages, cfg), "lines", PAGE))

@@ -21,7 +21,7 @@ def parsed_rows(
     """Fragments of the wanted pages to question rows with their score."""
     # The page table is joined at several steps, the lines are read for numbers and for text.
     seen = materialize(layout.clip_page_range(pages, pages, exams), "pages")
-    wanted = fragments.join(seen.select("exam_id", "page"), ["exam_id", "page"], "left_semi")
+    wanted = fragments.join(seen.select("exam_id", "page").hint("shuffle_hash"), ["exam_id", "page"], "left_semi")
     lines = layout.reconstruct_layout(wanted, seen, cfg=layout_cfg).select("exam_id", "page", "line_no", "text")
     lines = materialize(lines, "numbered")
     parsed = questions.parse_questions(lines, seen, cfg=parser_cfg)

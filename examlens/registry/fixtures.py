@@ -210,6 +210,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _staged: dict[tuple[str, ...], DataFrame] = {}
+# Views that are stored by the columns that their rows are worked on by, and the rows of their parent that go to one bucket.
+_STORED_BY = {"fx_fragments": (["exam_id", "page"], "fx_lines", 100_000)}
+
+
+def _stored(df: DataFrame, spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name not in _STORED_BY:
+        return materialize(df, name)
+    by, parent, rows = _STORED_BY[name]
+    of_shuffle = rows * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df, name, by, max(1, -(-view(spark, sf_dir, parent).count() // of_shuffle)))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -220,7 +230,7 @@ def view(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
         key += columns
     if key not in _staged:
         derived = derive(spark, sf_dir, name)
-        _staged[key] = materialize(derived.select(*columns) if columns else derived, name)
+        _staged[key] = materialize(derived.select(*columns), name) if columns else _stored(derived, spark, sf_dir, name)
     return _staged[key].select(*columns) if columns else _staged[key]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from examlens.operators import layout as y
 from examlens.registry.fixtures import once, view, with_views
+from examlens.sources.sinks import materialize
 
 _FRAG = ["exam_id", "page", "line_no", "k", "str", "x", "y", "width", "font_size"]
 
@@ -48,7 +49,7 @@ QUERIES = {
     "group_lines": lambda s, d: y.group_lines(_columned(s, d)),
     "group_lines_exact": lambda s, d: y.group_lines(_columned(s, d)),  # the name of the rule when there were two
     "build_lines": _built,
-    "reading_order": lambda s, d: y.reading_order(_built(s, d)).select(*_LINE),
+    "reading_order": lambda s, d: y.reading_order(materialize(_built(s, d), "built", y.PAGE)).select(*_LINE),
     "reconstruct_layout": lambda s, d: y.reconstruct_layout(_frags(s, d), _pages(s, d)).select(*_LINE),
 }
 

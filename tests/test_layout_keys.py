@@ -206,3 +206,44 @@ def test_written_once_small_and_narrow(spark):
     written = materialize(made, "test")
     assert [r.text for r in written.collect()] == ["a"]
     assert all(f.endswith(".zstd.parquet") for f in written.inputFiles())
+
+
+def documents(spark, path, n=40):
+    """A folder with a documents table whose exams have several pages."""
+    docs = [(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(150)), "en", "web", 600) for i in range(n)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_fragments_stored_by_page_are_not_shuffled(spark, tmp_path):
+    """Each use of the stored fragments reads its buckets; what is shuffled are tables of pages, and no join sorts fragments."""
+    d = documents(spark, tmp_path)
+    for name in ("assign_columns", "group_lines", "group_lines_exact", "build_lines"):
+        got = rl.QUERIES[name](spark, d)
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert "ShuffledHashJoin" in plan
+        plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        scans = [x for x in plan.split("\n") if "FileScan" in x and "fx_fragments" in x]
+        assert scans and all("Bucketed: true" in x for x in scans)
+        shuffled = [a for a, b in zip(plan.split("\n"), plan.split("\n")[1:]) if "Exchange" in a and " str#" in b.split("FileScan")[0]]
+        assert not shuffled
+
+
+def test_lines_are_built_once_for_their_order(spark, tmp_path):
+    got = rl.QUERIES["reading_order"](spark, documents(spark, tmp_path))
+    files = got.inputFiles()
+    assert files and all("built-" in f for f in files)
+    assert [r.line_no for r in got.filter("exam_id = 1").orderBy("line_no").collect()] == list(range(1, got.filter("exam_id = 1").count() + 1))
+
+
+def test_stored_by_buckets(spark):
+    """Repeated and null keys stay; what works by the key needs no shuffle; no table is left in the catalog, the setting is as before."""
+    rows = [(i % 5 or None, i % 3, f"r{i // 2}") for i in range(60)]
+    df = spark.createDataFrame(rows, "exam_id long, page int, str string")
+    kept = {t.name for t in spark.catalog.listTables()}
+    got = materialize(df, "test", ["exam_id", "page"], 2)
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+    plan = got.groupBy("exam_id", "page").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SelectedBucketsCount: 8 out of 8" in plan
+    assert {t.name for t in spark.catalog.listTables()} == kept
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0") == "0"
