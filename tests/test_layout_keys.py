@@ -247,3 +247,28 @@ def test_stored_by_buckets(spark):
     assert "Exchange" not in plan and "SelectedBucketsCount: 8 out of 8" in plan
     assert {t.name for t in spark.catalog.listTables()} == kept
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0") == "0"
+
+
+def test_lines_in_place_agree(spark):
+    """Lines of gathered columns are those of B7 and B8, with gaps of all kinds and null values; nothing is looked up by an expression over the column."""
+    rnd = random.Random(4)
+    some = lambda v: None if rnd.random() < 0.04 else v
+    rows = []
+    for e, steps in enumerate(((0, 1, 2, 3, 4, 5, 8), (0, 12), (0, 3, 6))):
+        at = 0.0
+        for i in range(200):
+            at += rnd.choice(steps)
+            rows.append((e, 1, f"s{i}", some(float(rnd.randint(0, 50))), some(at), some(5.0), some(rnd.choice([0.0, 6.0, 7.3, 10.0, 20.0]))))
+    df = spark.createDataFrame(rows, FRAG).withColumn("column", F.lit("single"))
+    inplace = y.lines_in_place(df)
+    assert sorted(map(str, inplace.collect())) == sorted(map(str, y.build_lines(y.group_lines(df)).collect()))
+    plan = inplace._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1 and "Window" not in plan
+
+
+def test_a_page_that_is_there_twice(spark):
+    """Its fragments come twice, each time by the sizes of that row; a page without sizes keeps its fragments."""
+    rows = [(0, p, f"t{p}", 10.0, 400.0, 5.0, 10.0) for p in (1, 2)]
+    pages = spark.createDataFrame([(0, 1, 100.0, 800.0, False), (0, 1, 200.0, 500.0, False)], PAGES)
+    got = y.page_lines(spark.createDataFrame(rows, FRAG), pages).collect()
+    assert sorted((r.page, r.text) for r in got) == [(1, "t1t1"), (2, "t2")]
