@@ -137,12 +137,14 @@ def _scored(spark, sf):
 
 
 def _log(spark, sf):
-    seg = _segments(spark, sf)
-    return q.parsing_log(seg, q.drop_weak_lead_block(_scan(spark, sf)), questions_of(spark, sf, "fx_lines_x"), q.shared_texts(q.assemble_questions(seg)))
+    read = classified, scan = q.read_numbers(view(spark, sf, "fx_lines_x"), view(spark, sf, "fx_pages"))  # one scan for all events
+    seg = q.segment_questions(classified, scan)
+    texts = q.shared_texts(q.assemble_questions(q.segment_questions(classified, scan, items=False)))
+    return q.parsing_log(seg, q.drop_weak_lead_block(scan), questions_of(spark, sf, "fx_lines_x", read), texts)
 
 
-def questions_of(spark, sf, name="fx_lines"):
-    return q.parse_questions(view(spark, sf, name), view(spark, sf, "fx_pages"))
+def questions_of(spark, sf, name="fx_lines", read=None):
+    return q.parse_questions(view(spark, sf, name), view(spark, sf, "fx_pages"), read=read)
 
 
 def _parsed(s, d):

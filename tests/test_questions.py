@@ -248,3 +248,17 @@ def test_plain_searches_stand_before_the_patterns(spark):
     assert [got.get(i, (None,))[0] for i in range(len(texts))] == kinds and got[4][1] == "a"
     plan = q.split_inline_options(q.classify_lines(q.strip_scratch(lines(spark, texts))))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?is)(?<!") == 3 * plan.count("RASCUNHO) THEN CASE WHEN (regexp_replace") > 0
+
+
+def test_log_reads_its_numbers_once(spark, tmp_path, monkeypatch):
+    """All events of the log come from one scan of lines that were labelled once, stored where they meet their items."""
+    docs = [(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(60)), "en", "web", 600) for i in range(20)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    calls = []
+    for name in ("scan_numbers", "classify_lines"):
+        monkeypatch.setattr(q, name, lambda *a, f=getattr(q, name), n=name, **k: calls.append(n) or f(*a, **k))
+    got = QUERIES["parsing_log"](spark, str(tmp_path))
+    assert sorted(calls) == ["classify_lines", "scan_numbers"]
+    files = got.inputFiles()
+    assert any("classified-" in f for f in files) and not any("fx_lines_x" in f for f in files)
+    assert {r.event for r in got.collect()} >= {"total", "real_question_confirmed", "shared_text"}
